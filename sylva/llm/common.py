@@ -36,8 +36,8 @@ def spool(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """Semi or anti join of ``df`` (wide rows) with ``ids`` (one column ``key``), NULL matching nothing.
+def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> DataFrame:
+    """Join of ``df`` (wide rows) with ``ids`` (a few longs) on ``key``, NULL matching nothing.
 
     ``ids`` must be cheap to read (a spooled table). It is broadcast when counted to be at most BROADCAST_IDS
     rows; beyond that it is an ordinary shuffled join with the same result."""
@@ -46,6 +46,19 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(ids, key, how)
 
 
+#: In a counted join at most so many keys can be hot.
+HOT_KEYS = 2_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key and knows in column ``count`` how many rows each key
+    has. Keys with at least 1/HOT_KEYS of all rows, of which there can't be more than HOT_KEYS, go by broadcast; so in
+    the shuffled join no key has more rows than that. Both sides are read twice: pass spooled or cheap tables."""
+    share = (table.agg(F.sum(count)).first()[0] or 0) / HOT_KEYS
+    hot = F.broadcast(table.where(F.col(count) > share))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(count) <= share), keys))
+
+
 def words_of(text: Column) -> Column:
     """Number of maximal runs of non-white-space characters; NULL counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, langid, mixing, secrets, sharding, toxicity
+from . import chat, decontaminate, exact_dedup, langid, main_text, mixing, ngram_join, secrets, sharding, toxicity
 from .common import documents, small_batches
 
 
@@ -38,6 +38,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return ngram_join.components(documents(spark, sf_dir))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", "url", main_text.main_text(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     base = F.col("base_spans")
@@ -77,6 +88,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_toxicity, op4_exact_dedup, op5_language_id, op8_secrets, op9_mixing, op10_chat)
+    f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_toxicity, op4_exact_dedup, op5_language_id, op6_ngram_join, op7_main_text, op8_secrets, op9_mixing, op10_chat)
 }
 ORACLE_SQL: dict[str, str] = {}
