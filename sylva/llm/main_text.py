@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 # Elements of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+UNSEEN = frozenset("noscript script style template".split())
 RAW = frozenset("iframe noembed noframes script style template textarea title xmp".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -115,7 +116,7 @@ def blocks_of(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN:
             block = None
         if m[1]:  # an end tag closes up to its element, if that is open
             open_ = node
