@@ -79,7 +79,7 @@ def human_bytes(n: Column) -> Column:
     """1.50 GiB and the like."""
     unit = F.least(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) / 10), F.lit(6)).cast("int")
     names = F.array(*[F.lit(x) for x in ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB")])
-    return F.when(unit == 0, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.format_string("%.2f %s", n / F.pow(F.lit(1024.0), unit), F.get(names, unit)))
+    return F.when(unit == 0, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.format_string("%.2f %s", F.bround(n / F.pow(F.lit(1024.0), unit), 2), F.get(names, unit)))
 
 
 def percent_skipped(skipped: Column, candidates: Column) -> Column:

@@ -347,7 +347,7 @@ def in_scope(s: Snapshots) -> DataFrame:
     return containment.in_scope(s.workspace, s.view("scope"), "path_key").select("path_key", "in_scope")
 
 
-@query("SELECT kind, key FROM fx_scope WHERE role = 'include' AND key = '/ws/none'", ("fx_scope",))
+@query("SELECT kind, key FROM fx_scope WHERE role = 'include' AND NOT EXISTS (SELECT 1 FROM (SELECT client_key AS p FROM fx_depot UNION ALL SELECT path_key FROM fx_workspace) s WHERE p = key OR (kind = 'dir' AND p LIKE key || '/%'))", ("fx_scope", "fx_depot", "fx_workspace"))
 def unmatched_entries(s: Snapshots) -> DataFrame:
     return containment.unmatched_entries(s.view("scope"), s.depot, s.workspace).select("kind", "key")
 
