@@ -26,10 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 22
+BITS = 21
 GRADES = 3
 #: Labelled documents that the model is fitted on, at most (about; chosen by a hash of doc_id).
-MAX_LABELLED = 12_000
+MAX_LABELLED = 8_000
 #: Expected severity from which a document counts as toxic.
 REVIEW = 0.5
 
@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")  # at most about max_labelled ids
     got = chosen.where(F.col("text").isNotNull()).select("doc_id", "toxic", "text").mapInPandas(cells, "doc_id long, toxic int, cells array<int>").toPandas().sort_values("doc_id", kind="stable")
-    rows, toxic = [np.asarray(x, np.int64) for x in got["cells"]], got["toxic"].to_numpy(int) > 0
+    rows, toxic = [np.asarray(x, np.int32) for x in got["cells"]], got["toxic"].to_numpy(int) > 0
+    del got
     once = list({r.tobytes(): i for i, r in reversed(list(enumerate(rows)))}.values())  # copies teach nothing more
     rows, toxic = [rows[i] for i in once], toxic[once]
     return fit_ordinal(rows, grades_of(rows, toxic), telling_cells(rows, toxic)) if rows else fit_ordinal([], np.zeros(1), np.zeros(0, np.int64))
