@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 
 def batch_ids(specs: DataFrame, max_bytes: int, max_rows: int, shards: int = 64) -> DataFrame:
-    """``specs`` (seq, spec) with (shard, batch): in each shard the running byte sum and row number divided by the limits,
-    so a batch holds at most a limit plus one row. Shards are contiguous ranges of seq, so order is kept, and each is
+    """``specs`` (seq, spec) with (shard, batch): in each shard the running byte sum and row number are divided by the
+    limits, and a batch is the rows that share both quotients (whose sum names it, as both only rise); so it holds at
+    most max_rows rows, and max_bytes plus one row. Shards are contiguous ranges of seq, so order is kept, and each is
     summed in a task of its own: no window runs over the whole list."""
     ends = specs.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
     lo, width = ends["lo"] or 0, max(1, -(-((ends["hi"] or 0) - (ends["lo"] or 0) + 1) // shards))
     at = specs.withColumn("shard", F.floor((F.col("seq") - lo) / width).cast("int")).withColumn("bytes", F.octet_length("spec") + 1)
     before = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     used, rows = F.coalesce(F.sum("bytes").over(before), F.lit(0)), F.row_number().over(Window.partitionBy("shard").orderBy("seq")) - 1
-    return at.withColumn("batch", F.greatest(F.floor(used / max_bytes), F.floor(rows / max_rows)).cast("int")).drop("bytes")
+    return at.withColumn("batch", (F.floor(used / max_bytes) + F.floor(rows / max_rows)).cast("int")).drop("bytes")
 
 
 def pack_batches(specs: DataFrame, max_bytes: int, max_rows: int, shards: int = 64) -> DataFrame:
@@ -45,7 +46,7 @@ def pack_batches(specs: DataFrame, max_bytes: int, max_rows: int, shards: int =
 
 
 def balanced_batches(specs: DataFrame, max_bytes: int, max_rows: int, min_batches: int, shards: int = 64) -> DataFrame:
-    """``batch_ids`` with limits lowered so that there are about ``min_batches`` batches, if the list has enough rows."""
+    """``batch_ids`` with limits lowered so that there are at least ``min_batches`` batches, if the list has enough rows."""
     t = specs.agg(F.sum(F.octet_length("spec") + 1).alias("b"), F.count(F.lit(1)).alias("n")).first()
     n = max(1, min(min_batches, t["n"] or 1))
     return batch_ids(specs, min(max_bytes, max(1, -(-(t["b"] or 1) // n))), min(max_rows, max(1, -(-(t["n"] or 1) // n))), shards)

@@ -657,7 +657,7 @@ def failures_by_group(s: Snapshots) -> DataFrame:
     return audit.failures_by_group(e)
 
 
-_BATCH = """SELECT seq, shard, CAST(greatest(floor(coalesce(sum(bytes) OVER (PARTITION BY shard ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000), floor((row_number() OVER (PARTITION BY shard ORDER BY seq) - 1) / 50)) AS INTEGER) AS batch
+_BATCH = """SELECT seq, shard, CAST(floor(coalesce(sum(bytes) OVER (PARTITION BY shard ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) + floor((row_number() OVER (PARTITION BY shard ORDER BY seq) - 1) / 50) AS INTEGER) AS batch
 FROM (SELECT seq, strlen(depot_file) + 1 AS bytes, CAST(floor((seq - lo) / ceil((hi - lo + 1) / 64.0)) AS INTEGER) AS shard FROM fx_depot, (SELECT min(seq) AS lo, max(seq) AS hi FROM fx_depot) t) u"""
 
 
