@@ -90,4 +90,39 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_toxicity, op4_exact_dedup, op5_language_id, op6_ngram_join, op7_main_text, op8_secrets, op9_mixing, op10_chat)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _crc_table() -> list[int]:
+    """The CRC-32 table by its rule."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+#: DuckDB SQL of the operators that SQL can say; the others' tests compare with brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": f"""
+WITH sized AS (SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, hex(coalesce(text, '')) AS h FROM documents),
+crc AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(h) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, ({_crc_table()})[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS text_crc32 FROM sized),
+draws AS (SELECT doc_id, s, -ln((CAST('0x' || substr(md5(doc_id || ':' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS draw FROM sized, range(25) r(s)),
+won AS (SELECT doc_id, arg_min(s, draw) FILTER (s < 24) AS shard, arg_min(s, draw) AS grown_shard FROM draws GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(doc_id || ':slot'), 1, 13) AS BIGINT) % 1365, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM crc JOIN won USING (doc_id)
+""",
+    "op4_exact_dedup": r"""
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) d WINDOW w AS (PARTITION BY t)
+""",
+    "op10_chat": rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '{IMITATION}' UNION ALL SELECT -7, 1, 'assistant', '{IMITATION}'),
+e AS (SELECT *, replace(replace(text, '\', '\b'), '<', '\l') AS body, replace(replace(replace(role, '\', '\b'), '<', '\l'), '"', '\q') AS name FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, name, body)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, name, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<turn role="' || name || '">' || body || '</turn>') + 1 + CASE WHEN role = 'assistant' THEN length('<learn></learn>') ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+}
