@@ -14,7 +14,8 @@ shares most (a copy's original shares most with its copies); verified links are
 compare only members of different components, again by hubs, and the last round compares every remaining cross pair of
 every list. So a link is left out only where its ends are in one component already.
 
-Verification is exact on whole texts. Equal sets are one node from the start. Components are found by minimum-label
+Verification is exact on whole texts; before texts are fetched, parity sketches of a few bits a token drop pairs whose
+symmetric difference is proved too large. Equal sets are one node from the start. Components are found by minimum-label
 propagation with pointer jumping over tables in the shared folder.
 
 Defined cases: NULL text or text without words has no shingle and is alone, its component its own doc_id; fewer than four
@@ -37,10 +38,13 @@ from .common import by_ids, join_counted, spool
 WORDS = 4
 PERCENT = 85
 #: A token in this many prefixes by hash order is heavy; doubled until at most HEAVY_MOST tokens are (32 MB broadcast).
-HEAVY = 24
+HEAVY = 12
 HEAVY_MOST = 2_000_000
 #: Hub rounds before the round that compares all remaining cross pairs.
-HUB_ROUNDS = 6
+HUB_ROUNDS = 2
+#: Lists from this length on are compared in blocks of about BLOCK_SETS sets.
+LONG = 48
+BLOCK_SETS = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -140,19 +144,37 @@ def _key(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens))).view(np.int64))
 
 
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """For each of 2**k hash cells, 2**k at least twice the set size up to 2**15, whether it holds an odd number of
+    tokens. Two sketches differ in at most as many cells as the sets' symmetric difference has tokens."""
+    size = 1 << min(15, max(6, int(2 * len(tokens)).bit_length()))
+    cells = np.bincount((tokens.view(np.uint64) >> np.uint64(40)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Lower bound of the symmetric difference of two sets; the larger sketch is folded to the size of the smaller."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, key, row, print, head) of every row: set size, set hash, what finds the row again, and the first
-    tokens by hash order."""
+    """(doc_id, n, key, row, print, head, sketch) of every row: set size, set hash, what finds the row again, the first
+    tokens by hash order, and the parity sketch."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = shingle_sets(list(batch["text"]))
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "row": batch["row"], "print": batch["print"], "n": np.array([len(s) for s in sets], np.int32)}
-                | {"key": np.array([_key(s) for s in sets], np.int64), "head": [s[: prefix_length(len(s), 2, percent)] for s in sets]}
+                | {"key": np.array([_key(s) for s in sets], np.int64), "head": [s[: prefix_length(len(s), 2, percent)] for s in sets], "sketch": [parity_sketch(s) for s in sets]}
             )
 
-    return findable(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "row", "print", "text").mapInPandas(sign, "doc_id string, row long, print long, n int, key long, head array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return findable(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "row", "print", "text").mapInPandas(sign, "doc_id string, row long, print long, n int, key long, head array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def findable(docs: DataFrame) -> DataFrame:
@@ -190,8 +212,9 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def boundary(prefixes: DataFrame, percent: int) -> int:
     """Largest set size whose pair subsets cost no more than scanning its lists, at the mean list length that a member
-    of a list meets (the sum of squared list lengths over the sum of lengths)."""
-    lists = prefixes.select(F.explode("head").alias("token")).groupBy("token").count().agg(F.sum(F.col("count") * F.col("count")).alias("s"), F.sum("count").alias("n")).first()
+    of a list meets (the sum of squared list lengths over the sum of lengths; long lists go by hubs and cost no more
+    than their length)."""
+    lists = prefixes.select(F.explode("head").alias("token")).groupBy("token").count().where(F.col("count") < HEAVY).agg(F.sum(F.col("count") * F.col("count")).alias("s"), F.sum("count").alias("n")).first()
     mean = (lists["s"] or 0) / max(1, lists["n"] or 0)
     size = 0
     while size < 2_000 and (q := prefix_length(size + 1, 2, percent)) * (q - 1) / 2 <= max(1, q - 1) * max(2.0, mean):
@@ -210,6 +233,27 @@ def postings(prefixes: DataFrame, small: int, percent: int) -> DataFrame:
     return prefixes.where(F.size("head") > 0).select("key", "n", F.explode(F.concat(subsets, singles)).alias("signature"))
 
 
+def distinct_lists(found: DataFrame) -> DataFrame:
+    """(signature, members) of the lists with more than one member, one for each set of members: the tokens of a passage
+    have the same list again and again. Sets are told apart by their number and two 64-bit sums of member hashes."""
+    lists = found.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where(F.col("members") > 1)
+    return lists.groupBy("members", "x", "y").agg(F.min("signature").alias("signature")).select("signature", "members")
+
+
+def close_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) less those whose sketches alone show that they can't link. ``sketches``: (key, n, sketch)."""
+
+    @F.pandas_udf("boolean")
+    def may_link(n_a: pd.Series, a: pd.Series, n_b: pd.Series, b: pd.Series) -> pd.Series:
+        # 100 * both >= percent * either, with both + either = n_a + n_b and either - both = the difference
+        most = ((100 - percent) * (n_a + n_b)) // (100 + percent)
+        return pd.Series([least_difference(x, y) <= m for x, y, m in zip(a, b, most, strict=True)], dtype=bool)
+
+    named = lambda side: sketches.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    at = pairs.join(named("a"), "a").join(named("b"), "b")
+    return at.where(may_link("n_a", "sketch_a", "n_b", "sketch_b")).select("a", "b")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. ``texts``: (key, text) of one document of each node."""
 
@@ -272,10 +316,56 @@ def cross_pairs(now: DataFrame, lists: DataFrame) -> DataFrame:
     return at.select("signature", "key", "n", "label").join(odd, "signature").select("key", "n", "label", "key2", "n2", "label2")
 
 
-def link_members(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
-    """(key, label) of all linked nodes of the lists ``members`` (signature, key, n, weight); None without links."""
+def block_pairs(now: DataFrame, lists: DataFrame, labels: DataFrame | None, sketches: DataFrame, percent: int) -> DataFrame:
+    """Close pairs (a, b) of long lists. A group of near copies fills many long lists with much the same members; so all
+    lists with one largest component form one group: that component and the odd members of its lists. Odd members meet
+    the whole group block by block; only pairs that the sketches leave become rows."""
+    at = join_counted(now, lists.select("signature", "members", "largest"), ["signature"], "members")
+    seen = at.groupBy("largest", "key").agg(F.first("label").alias("label"))
+    rest = seen.select("largest").distinct().withColumn("label", F.col("largest"))
+    if labels is not None:  # members of the component that are in other lists only
+        more = labels.join(rest, "label").select("largest", "key", "label")
+        seen = seen.unionByName(more).groupBy("largest", "key").agg(F.first("label").alias("label"))
+    sizes = seen.groupBy("largest").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    rows = spool(seen.join(sketches, "key").join(sizes, "largest").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "group")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    fields = ["largest", "i", "j", "key", "label", "n", "sketch"]
+    left = rows.where(F.col("label") != F.col("largest")).withColumn("j", every).withColumn("i", F.col("block")).select(*fields)
+    right = rows.withColumn("i", every).withColumn("j", F.col("block")).select(*fields)
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for size, mine in _by_sketch_size(a):
+            for other, theirs in _by_sketch_size(b):
+                width = min(size, other)
+                x, y = _folded(mine["sketch"], size, width), _folded(theirs["sketch"], other, width)
+                n_y, key_y, label_y = (theirs[c].to_numpy() for c in ("n", "key", "label"))
+                for row, n, key, label in zip(x, mine["n"], mine["key"], mine["label"], strict=True):
+                    difference = np.bitwise_count(y ^ row).sum(axis=1, dtype=np.int64)
+                    hit = np.flatnonzero((difference <= ((100 - percent) * (n_y + n)) // (100 + percent)) & (label_y != label))
+                    found += [(min(key, k), max(key, k)) for k in key_y[hit].tolist()]
+        return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
+
+    return left.groupBy("largest", "i", "j").cogroup(right.groupBy("largest", "i", "j")).applyInPandas(compare, "a long, b long")
+
+
+def _by_sketch_size(rows: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    yield from rows.groupby(rows["sketch"].map(len))
+
+
+def _folded(sketches: pd.Series, size: int, width: int) -> np.ndarray:
+    out = np.frombuffer(b"".join(map(bytes, sketches)), np.uint8).reshape(-1, size)
+    while out.shape[1] > width:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return np.ascontiguousarray(out).view(np.uint64)
+
+
+def link_members(docs: DataFrame, nodes: DataFrame, members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame | None:
+    """(key, label) of all linked nodes of the lists ``members`` (signature, key, n, weight); None without links.
+
+    Texts are fetched only for pairs that the sketches leave."""
     links = labels = None
-    total = members.count()
     for turn in range(HUB_ROUNDS + 1):
         now = members.withColumn("label", F.col("key"))
         if labels is not None:
@@ -284,14 +374,19 @@ def link_members(members: DataFrame, texts: DataFrame, percent: int) -> DataFram
         groups = now.groupBy("signature", "label").agg(F.count(F.lit(1)).alias("c"), F.min(rank).alias("hub"))
         lists = groups.groupBy("signature").agg(F.sum("c").alias("members"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("largest"), F.min("hub").alias("hub"))
         lists = spool(lists.where(F.col("most") < F.col("members")), "lists")
-        left = lists.agg(F.sum((F.col("members") - F.col("most")) * F.col("members"))).first()[0]
-        if not left:
+        if lists.isEmpty():
             break
-        last = turn == HUB_ROUNDS or (turn > 0 and left <= 4 * total + 100_000)
-        pairs = (cross_pairs if last else hub_pairs)(now, lists)
+        last = turn == HUB_ROUNDS
+        pairs = cross_pairs(now, lists.where(F.col("members") < LONG)) if last else hub_pairs(now, lists)
         pairs = pairs.where((F.col("label") != F.col("label2")) & (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent))
         pairs = pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
-        found = spool(verify(spool(pairs, "pairs"), texts, percent), "links")
+        close = close_pairs(pairs, sketches, percent)
+        if last:
+            close = close.unionByName(block_pairs(now, lists.where(F.col("members") >= LONG), labels, sketches, percent)).distinct()
+        close = spool(close, "close")
+        ends = close.select(F.col("a").alias("key")).unionByName(close.select(F.col("b").alias("key"))).distinct()
+        texts = spool(texts_of(docs, spool(nodes.join(ends, "key", "left_semi"), "named")).dropDuplicates(["key"]), "texts")
+        found = spool(verify(close, texts, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = connect(links)
         if last:
@@ -306,13 +401,13 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     heads = by_ids(signed.where(F.col("n") > 5).select("key", "row", "print", "n", "head"), nodes.select("row", "print"), ["row", "print"], "left_semi")
     prefixes = spool(prefixes_of(docs, heads, percent), "prefixes")
     found = postings(prefixes, boundary(prefixes, percent), percent)
-    shared = spool(found.groupBy("signature").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1), "shared")
+    shared = spool(distinct_lists(found), "shared")
     members = spool(join_counted(found, shared, ["signature"], "members"), "members")
     weights = members.groupBy("key").agg(F.sum("members").alias("weight"))  # a set that shares much with many is a good hub
     members = spool(members.drop("members").join(weights, "key"), "weighted")
-    named = spool(nodes.join(members.select("key").distinct(), "key", "left_semi"), "named")
-    texts = spool(texts_of(docs, named).dropDuplicates(["key"]), "texts")
-    labels = link_members(members, texts, percent)
+    reps = by_ids(signed.select("key", "n", "row", "print", "sketch"), nodes.select("row", "print"), ["row", "print"], "left_semi")
+    sketches = spool(reps.select("key", "n", "sketch").join(weights.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sketches")
+    labels = link_members(docs, nodes, members, sketches, percent)
     ids = nodes.select("key", "copies", F.col("first").alias("component_id"))
     if labels is not None:
         merged = nodes.join(labels, "key")

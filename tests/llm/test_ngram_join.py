@@ -68,10 +68,12 @@ def test_awkward_rows(spark):
     assert nj.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_copies_and_common_passages(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "long"), [(1, 48), (2, 6)])
+def test_near_copies_and_common_passages(spark, seed, long, monkeypatch):
     """Large groups of near copies with and without their original, chains, and a passage in many documents."""
     monkeypatch.setattr(nj, "HEAVY", 8)
+    monkeypatch.setattr(nj, "LONG", long)
+    monkeypatch.setattr(nj, "BLOCK_SETS", 20)
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(10**6)}"
     passage = [word() for _ in range(60)]
@@ -92,3 +94,13 @@ def test_near_copies_and_common_passages(spark, seed, monkeypatch):
         rows.append((n := n + 1, " ".join(w[:at] + passage + w[at:])))
     rng.shuffle(rows)
     check(spark, rows)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m, both in [(500, 500, 470), (500, 480, 0), (3, 4, 2), (40000, 39000, 38000), (700, 100, 100), (0, 5, 0)]:
+        tokens = np.unique(rng.integers(-(2**63), 2**63, n + m, dtype=np.int64))
+        a, b = np.sort(tokens[:n]), np.sort(np.concatenate((tokens[:both], tokens[n : n + m - both])))
+        d = nj.least_difference(nj.parity_sketch(a), nj.parity_sketch(b))
+        assert d <= len(a) + len(b) - 2 * both and d == nj.least_difference(nj.parity_sketch(b), nj.parity_sketch(a))
+    assert nj.least_difference(nj.parity_sketch(a), nj.parity_sketch(a)) == 0
