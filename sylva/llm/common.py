@@ -53,7 +53,10 @@ HOT_KEYS = 2_000
 def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row a key and knows in column ``count`` how many rows each key
     has. Keys with at least 1/HOT_KEYS of all rows, of which there can't be more than HOT_KEYS, go by broadcast; so in
-    the shuffled join no key has more rows than that. Both sides are read twice: pass spooled or cheap tables."""
+    the shuffled join no key has more rows than that. A table of at most BROADCAST_IDS / 2 rows goes by broadcast as a
+    whole. Both sides are read twice: pass spooled or cheap tables of a few numbers a row."""
+    if table.count() <= BROADCAST_IDS // 2:
+        return rows.join(F.broadcast(table), keys)
     share = (table.agg(F.sum(count)).first()[0] or 0) / HOT_KEYS
     hot = F.broadcast(table.where(F.col(count) > share))
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(count) <= share), keys))

@@ -10,9 +10,9 @@ its lists, with the mean list length measured on the data; sets near the boundar
 many prefixes by hash order; so passages that many documents share don't make lists, unless nearly all of a set is heavy.
 
 Lists. Pairs are not emitted for all of a list. Each list first compares all its members with one hub, the member that
-shares most (a copy's original shares most with its copies); verified links are contracted into components; later rounds
-compare only members of different components, again by hubs, and the last round compares every remaining cross pair of
-every list. So a link is left out only where its ends are in one component already.
+shares most (a copy's original shares most with its copies); verified links are contracted into components; the next round
+compares only members of different components, by other hubs; the last round compares every remaining cross pair of
+every list. Long lists go through blocks in the later rounds. So a link is left out only where its ends are in one component already.
 
 Verification is exact on whole texts; before texts are fetched, parity sketches of a few bits a token drop pairs whose
 symmetric difference is proved too large. Equal sets are one node from the start. Components are found by minimum-label
@@ -316,14 +316,15 @@ def cross_pairs(now: DataFrame, lists: DataFrame) -> DataFrame:
     return at.select("signature", "key", "n", "label").join(odd, "signature").select("key", "n", "label", "key2", "n2", "label2")
 
 
-def block_pairs(now: DataFrame, lists: DataFrame, labels: DataFrame | None, sketches: DataFrame, percent: int) -> DataFrame:
+def block_pairs(now: DataFrame, lists: DataFrame, labels: DataFrame | None, sketches: DataFrame, percent: int, first_only: bool) -> DataFrame:
     """Close pairs (a, b) of long lists. A group of near copies fills many long lists with much the same members; so all
     lists with one largest component form one group: that component and the odd members of its lists. Odd members meet
-    the whole group block by block; only pairs that the sketches leave become rows."""
+    the whole group block by block; only pairs that the sketches leave become rows. ``first_only``: of each member and
+    block only the pair with the smallest key, so a clique gets few hubs instead of all its pairs."""
     at = join_counted(now, lists.select("signature", "members", "largest"), ["signature"], "members")
     seen = at.groupBy("largest", "key").agg(F.first("label").alias("label"))
-    rest = seen.select("largest").distinct().withColumn("label", F.col("largest"))
     if labels is not None:  # members of the component that are in other lists only
+        rest = seen.select("largest").distinct().withColumn("label", F.col("largest"))
         more = labels.join(rest, "label").select("largest", "key", "label")
         seen = seen.unionByName(more).groupBy("largest", "key").agg(F.first("label").alias("label"))
     sizes = seen.groupBy("largest").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
@@ -343,7 +344,8 @@ def block_pairs(now: DataFrame, lists: DataFrame, labels: DataFrame | None, sket
                 for row, n, key, label in zip(x, mine["n"], mine["key"], mine["label"], strict=True):
                     difference = np.bitwise_count(y ^ row).sum(axis=1, dtype=np.int64)
                     hit = np.flatnonzero((difference <= ((100 - percent) * (n_y + n)) // (100 + percent)) & (label_y != label))
-                    found += [(min(key, k), max(key, k)) for k in key_y[hit].tolist()]
+                    near = key_y[hit]
+                    found += [(min(key, k), max(key, k)) for k in (near[:0] if not len(near) else [int(near.min())] if first_only else near.tolist())]
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
 
     return left.groupBy("largest", "i", "j").cogroup(right.groupBy("largest", "i", "j")).applyInPandas(compare, "a long, b long")
@@ -376,13 +378,14 @@ def link_members(docs: DataFrame, nodes: DataFrame, members: DataFrame, sketches
         lists = spool(lists.where(F.col("most") < F.col("members")), "lists")
         if lists.isEmpty():
             break
-        last = turn == HUB_ROUNDS
-        pairs = cross_pairs(now, lists.where(F.col("members") < LONG)) if last else hub_pairs(now, lists)
+        last, blocks = turn == HUB_ROUNDS, turn > 0
+        short = lists.where(F.col("members") < LONG) if blocks else lists
+        pairs = cross_pairs(now, short) if last else hub_pairs(now, short)
         pairs = pairs.where((F.col("label") != F.col("label2")) & (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent))
         pairs = pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
         close = close_pairs(pairs, sketches, percent)
-        if last:
-            close = close.unionByName(block_pairs(now, lists.where(F.col("members") >= LONG), labels, sketches, percent)).distinct()
+        if blocks:
+            close = close.unionByName(block_pairs(now, lists.where(F.col("members") >= LONG), labels, sketches, percent, not last)).distinct()
         close = spool(close, "close")
         ends = close.select(F.col("a").alias("key")).unionByName(close.select(F.col("b").alias("key"))).distinct()
         texts = spool(texts_of(docs, spool(nodes.join(ends, "key", "left_semi"), "named")).dropDuplicates(["key"]), "texts")
