@@ -15,6 +15,7 @@ columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -144,12 +145,13 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[lis
             yield sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
-_built: dict[int, ItemMatcher] = {}
+_built: dict[tuple[str, float], ItemMatcher] = {}
 
 
-def _matcher(held, rate: float) -> ItemMatcher:
-    """Once in a Python worker for each broadcast block."""
-    key = (held.id if hasattr(held, "id") else id(held), rate)
+def _matcher(name: str, held, rate: float) -> ItemMatcher:
+    """Once in a Python worker for each broadcast block. ``name`` is the block's own: a worker that serves many tasks may
+    see another block's broadcast at the same address."""
+    key = (name, rate)
     if key not in _built:
         _built.clear()
         _built[key] = ItemMatcher(held.value, rate)
@@ -163,10 +165,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     schema = "doc_id long, item_id long, distance int, budget int, end_char long"
     out = spark.createDataFrame([], schema)
     for block in blocks(benchmark, block_chars):
-        held = spark.sparkContext.broadcast(block)
+        held, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            matcher = _matcher(held, rate)
+        def search(batches: Iterator[pd.DataFrame], held=held, name=name) -> Iterator[pd.DataFrame]:
+            matcher = _matcher(name, held, rate)
             for batch in batches:
                 rows = [
                     (doc_id, matcher.items[n][0], d, k, end)
@@ -182,10 +184,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
 def holds_leak(text: Column, block, rate: float = ERROR_RATE) -> Column:
     """Boolean column: the text holds a test item of the broadcast block."""
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("boolean")
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = _matcher(block, rate)
+        matcher = _matcher(name, block, rate)
         for texts in batches:
             yield pd.Series([bool(matcher.matches(x if isinstance(x, str) else None, first_only=True)) for x in texts], dtype=bool)
 

@@ -76,6 +76,20 @@ def test_leak_rows_and_blocks(spark):
     assert dc.drop_leaks(docs, bench.where("false")).count() == 6
 
 
+def test_blocks_and_benchmarks_in_one_worker(spark):
+    """Blocks follow each other in one reused worker, where a new broadcast often gets the address of a freed one."""
+    rng = random.Random(8)
+    items = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(12))) for i in range(24)]
+    docs = spark.createDataFrame([(i, f"start {t} end") for i, t in items], "doc_id long, text string").coalesce(1)
+    for part in (items, items[:12], items[12:]):
+        bench = spark.createDataFrame(part, "item_id long, text string")
+        want, others = [(i, i) for i, _ in part], sorted({i for i, _ in items} - {i for i, _ in part})
+        for chars in (8_000_000, 300):
+            found = dc.find_leaks(docs, bench, block_chars=chars).coalesce(1)  # one task after another
+            assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == want
+            assert sorted(r["doc_id"] for r in dc.drop_leaks(docs, bench, block_chars=chars).collect()) == others
+
+
 def test_languages_held_out(spark):
     out = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
