@@ -235,7 +235,8 @@ def postings(prefixes: DataFrame, small: int, percent: int) -> DataFrame:
 
 def distinct_lists(found: DataFrame) -> DataFrame:
     """(signature, members) of the lists with more than one member, one for each set of members: the tokens of a passage
-    have the same list again and again. Sets are told apart by their number and two 64-bit sums of member hashes."""
+    have the same list again and again. Sets are told apart by their number and two 64-bit sums of member hashes, in which a key that
+    came twice would cancel: ``found`` has a (signature, key) once at most."""
     lists = found.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where(F.col("members") > 1)
     return lists.groupBy("members", "x", "y").agg(F.min("signature").alias("signature")).select("signature", "members")
 
@@ -299,8 +300,8 @@ def prefixes_of(docs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
             yield pd.Series([bool(np.isin(h, held.value, assume_unique=True).any()) for h in batch], dtype=bool)
 
     marked = spool(heads.withColumn("mixed", meets_heavy("head")), "marked")
-    again = texts_of(docs, marked.where("mixed"))
-    return marked.where("NOT mixed").select("key", "n", "head").unionByName(light_first(again, held, percent))
+    again = light_first(texts_of(docs, marked.where("mixed")), held, percent).dropDuplicates(["key"])  # repeated rows are found again each
+    return marked.where("NOT mixed").select("key", "n", "head").unionByName(again)
 
 
 def hub_pairs(now: DataFrame, lists: DataFrame) -> DataFrame:
@@ -401,7 +402,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     signed = spool(signatures(docs, percent), "signed")
     nodes = spool(signed.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "print")).alias("at")).select("key", "first", "copies", "at.row", "at.print"), "nodes")
-    heads = by_ids(signed.where(F.col("n") > 5).select("key", "row", "print", "n", "head"), nodes.select("row", "print"), ["row", "print"], "left_semi")
+    heads = by_ids(signed.where(F.col("n") > 5).select("key", "row", "print", "n", "head"), nodes.select("row", "print"), ["row", "print"], "left_semi").dropDuplicates(["key"])
     prefixes = spool(prefixes_of(docs, heads, percent), "prefixes")
     found = postings(prefixes, boundary(prefixes, percent), percent)
     shared = spool(distinct_lists(found), "shared")

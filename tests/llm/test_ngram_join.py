@@ -96,6 +96,23 @@ def test_near_copies_and_common_passages(spark, seed, long, monkeypatch):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("times", [2, 4])
+@pytest.mark.parametrize("heavy", [4, 1000])
+def test_repeated_near_copies(spark, times, heavy, monkeypatch):
+    """Whole groups of near copies that occur several times, under one doc_id a text or under NULL."""
+    monkeypatch.setattr(nj, "HEAVY", heavy)
+    rng = random.Random(times)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for g in range(30):
+        base = [word() for _ in range(rng.choice([12, 40, 120]))]
+        for i in range(2 + g % 3):
+            w = [*base[: len(base) - i % 2], *([word()] if i else [])]
+            rows += [(None if g % 7 == 6 and i else 10 * g + i, " ".join(w))] * times
+    rng.shuffle(rows)
+    check(spark, rows)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(5)
     for n, m, both in [(500, 500, 470), (500, 480, 0), (3, 4, 2), (40000, 39000, 38000), (700, 100, 100), (0, 5, 0)]:
