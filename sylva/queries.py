@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -287,15 +288,15 @@ def union_inventories(s: Snapshots) -> DataFrame:
 def digest_text_md5(s: Snapshots) -> DataFrame:
     """Text with CR LF line ends has the fingerprint of the text with LF."""
     crlf = F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8")
-    return s.table("documents").where(F.instr("text", "\r") == 0).select("doc_id", digests.digest_binary(crlf).alias("raw"), digests.digest_text(crlf).alias("normal"))
+    return s.table("documents").select("doc_id", digests.digest_binary(crlf).alias("raw"), digests.digest_text(crlf).alias("normal"))
 
 
 @query("SELECT doc_id, md5(text) AS bom8, md5(text) AS le, md5(text) AS be FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'")
 def digest_utf8_boms(s: Snapshots) -> DataFrame:
-    """UTF-8 and both UTF-16 byte orders with a mark have the fingerprint of the plain text."""
+    """UTF-8 and both UTF-16 byte orders with a mark have the fingerprint of the plain text with LF line ends."""
     mark = lambda bom, charset: F.concat(F.unhex(F.lit(bom)), F.encode("text", charset))
     of = digests.digest_utf8
-    return s.table("documents").where(F.instr("text", "\r") == 0).select("doc_id", of(mark("EFBBBF", "UTF-8")).alias("bom8"), of(mark("FFFE", "UTF-16LE")).alias("le"), of(mark("FEFF", "UTF-16BE")).alias("be"))
+    return s.table("documents").select("doc_id", of(mark("EFBBBF", "UTF-8")).alias("bom8"), of(mark("FFFE", "UTF-16LE")).alias("le"), of(mark("FEFF", "UTF-16BE")).alias("be"))
 
 
 @query("SELECT path_key, coalesce(abs(mtime_s - sync_time) <= 1, false) AS unchanged FROM fx_workspace LEFT JOIN fx_have USING (path_key)", ("fx_workspace", "fx_have"))
@@ -321,12 +322,27 @@ def merge_cache(s: Snapshots) -> DataFrame:
 
 @query("SELECT CAST(doc_id AS BIGINT) AS doc_id, text, false AS replaced FROM documents WHERE lang = 'de'")
 def decode_charset(s: Snapshots) -> DataFrame:
-    """German texts through Windows-1252 and back; UTF-8 that isn't falls back to it."""
+    """German texts as UTF-8; ``decode_charset_all`` has all documents and the fallback."""
     docs = s.table("documents").where("lang = 'de'")
     got = docs.select("doc_id", digests.decode_charset(F.encode("text", "UTF-8"), "utf8").alias("d"))
     return got.select("doc_id", "d.text", "d.replaced")
 
 
+@query()
+def decode_charset_all(s: Snapshots) -> DataFrame:
+    """All documents: a quarter in Windows-1252 (other characters as ?), a quarter as UTF-8 and a byte that neither
+    charset has, the rest as UTF-8. SQL can't encode Windows-1252, so tests compare with brute force."""
+
+    @F.pandas_udf("binary")
+    def cp1252(texts: pd.Series) -> pd.Series:
+        return pd.Series([x.encode("cp1252", "replace") if isinstance(x, str) else None for x in texts], dtype=object)
+
+    utf8, quarter = F.encode("text", "UTF-8"), F.pmod("doc_id", F.lit(4))
+    raw = F.when(quarter == 0, cp1252("text")).when(quarter == 1, F.concat(utf8, F.unhex(F.lit("81")))).otherwise(utf8)
+    got = s.table("documents").select("doc_id", digests.decode_charset(raw, "utf8").alias("d"))
+    return got.select("doc_id", "d.text", "d.replaced")
+
+
 # ---- scope ------------------------------------------------------------------------------------------------------------
 
 _IN = "(path_key LIKE '/ws/src1/%' OR path_key LIKE '/ws/src2/en/%' OR path_key = '/ws/src3/en/d3.txt')"
@@ -590,7 +606,7 @@ def file_type_map(s: Snapshots) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN length(text) < 1024 THEN length(text) || ' B' ELSE printf('%.2f KiB', length(text) / 1024.0) END AS size FROM documents WHERE length(text) < 1000000")
 def human_bytes(s: Snapshots) -> DataFrame:
-    return s.table("documents").where(F.length("text") < 1_000_000).select("doc_id", messages.human_bytes(F.length("text").cast("long")).alias("size"))
+    return s.table("documents").select("doc_id", messages.human_bytes(F.length("text").cast("long")).alias("size"))
 
 
 # ---- audit ------------------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Whole runs, sources and sinks on real files, streams, and every registered query against its oracle."""
 
+import hashlib
 import json
 import os
 import random
@@ -272,6 +273,29 @@ def _key(v):
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
+def test_queries_keep_every_document(spark, tmp_path):
+    """Line ends with CR, documents of a MiB and more, every language and charset, by brute force."""
+    texts = ["a\r\nb\n", "a\rb", "\r\r\n", "Käse für 5 €", "naïve \r\n漢字", "", None, "x" * 1023, "x" * 1024, "y" * 999_999, "y" * 1_000_000, "z" * 1_048_576, "z" * 2_500_000]
+    rows = [(4 * i + k, t, ("de", "en", "fr", "es")[i % 4]) for i, t in enumerate(texts) for k in range(4 if len(t or "") < 2000 else 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: {r[0]: tuple(r)[1:] for r in queries.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("human_bytes", "digest_text_md5", "digest_utf8_boms", "decode_charset_all")}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for d, t, _ in rows:
+        n = None if t is None else len(t)
+        size = None if n is None else f"{n} B" if n < 1 << 10 else f"{n / (1 << 10):.2f} KiB" if n < 1 << 20 else f"{n / (1 << 20):.2f} MiB"
+        assert got["human_bytes"][d] == (size,)
+        assert got["digest_text_md5"][d] == ((None, None) if t is None else (md5(t.replace("\n", "\r\n")), md5(t)))
+        assert got["digest_utf8_boms"][d] == ((None,) * 3 if t is None else (md5(t.replace("\r\n", "\n")),) * 3)
+        if t is None:
+            want = (None, None)
+        elif d % 4 == 0:  # bytes that aren't UTF-8 come back from Windows-1252
+            want = (t.encode("cp1252", "replace").decode("cp1252"), False)
+        else:
+            want = ((t.encode() + b"\x81").decode("cp1252", "replace"), True) if d % 4 == 1 else (t, False)
+        assert got["decode_charset_all"][d] == want
+    assert all(len(x) == len(rows) for x in got.values())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, sf, name):
     db = duckdb.connect()
