@@ -86,7 +86,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     held, rows, size = [], [], 0
     for i, text in enumerate(texts):
         codes = _codes(f" {text} ") if text else np.zeros(0, np.uint32)
-        for start in range(0, max(len(codes) - max(SIZES) + 1, 0), PIECE):
+        for start in range(0, max(len(codes) - max(SIZES) + 1, min(len(codes), 1)), PIECE):  # a text of one letter is a piece, too
             part = codes[start : start + PIECE + max(SIZES) - 1]
             held.append(part)
             rows.append(np.full(len(part), i, np.int64))

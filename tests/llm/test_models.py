@@ -108,6 +108,12 @@ def test_language_cases(spark):
     assert {r["doc_id"] for r in langid.keep_identified(df).collect()} >= {203, None} and not {r["doc_id"] for r in langid.keep_identified(df).collect()} & {200, 201, 202, 205}
 
 
+def test_one_letter_has_a_language():
+    filters = langid.build_filters({"en": langid.ngram_hashes(*next(langid._pieces(["I am a cat"])))[0]})
+    langs, scores = langid.score_texts(filters, ["a", "é", "漢", "1", "!", "", None, "ab", "a" * 9])
+    assert langs == ["en"] * 3 + ["und"] * 4 + ["en"] * 2 and scores[0] > 0.9
+
+
 def test_many_languages_in_the_filters():
     rng = np.random.default_rng(0)
     grams = {f"l{i}": rng.integers(0, 2**63, 300).astype(np.uint64) for i in range(130)}
