@@ -6,9 +6,12 @@ each hit's neighbourhood is verified with Myers' bit-parallel edit distance (app
 never move: the test items, a stated query set, go to the documents in blocks of bounded size.
 
 Texts are compared in lower case with every run of other characters than letters, digits and underscores as one space.
+The budget is one rule for all items, ERROR_RATE of the item's characters; pieces are as short as that makes them, and
+their more frequent hits cost verification, never budget. An item too short for one edit must occur unchanged, as whole
+words.
 
-Defined cases: NULL and empty documents match nothing; items that are NULL, or shorter than MIN_ITEM normalised
-characters, are no test items; equal items all report; repeated documents all report; a NULL doc_id stays NULL. Extra
+Defined cases: NULL and empty documents match nothing; items that are NULL or have no word are no test items; equal items
+all report; repeated documents all report; a NULL doc_id stays NULL, and ids beside it keep all their digits. Extra
 columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
@@ -23,10 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Share of an item's characters that may be edited, and the shortest piece worth searching for.
-ERROR_RATE = 0.1
-MIN_PIECE = 14
-MIN_ITEM = 24
+#: Share of an item's characters that may be edited.
+ERROR_RATE = 0.07
 #: Characters of test items that one pass over the documents looks for.
 BLOCK_CHARS = 8_000_000
 
@@ -38,8 +39,8 @@ def normalise(text: str | None) -> str:
 
 
 def budget_of(item: str, rate: float = ERROR_RATE) -> int:
-    """Edits allowed: ``rate`` of the length, but so few that every piece has MIN_PIECE characters."""
-    return max(0, min(int(rate * len(item)), len(item) // MIN_PIECE - 1))
+    """Edits allowed: ``rate`` of the length."""
+    return int(rate * len(item))
 
 
 def pieces_of(item: str, k: int) -> list[tuple[int, str]]:
@@ -102,6 +103,7 @@ class ItemMatcher:
         if not self.any or not text:
             return []
         text = normalise(text)
+        whole = f" {text} "
         starts: dict[int, set[int]] = defaultdict(set)
         for at, (size, uses) in self.automaton.iter(text):
             for n, offset in uses:
@@ -109,8 +111,13 @@ class ItemMatcher:
         out = []
         for n, places in starts.items():
             item, k = self.items[n][1], self.budget[n]
-            best, reach = None, -1
-            low = high = None
+            if k == 0:
+                if (at := whole.find(f" {item} ")) >= 0:
+                    out.append((n, 0, 0, at + len(item)))
+                    if first_only:
+                        return out
+                continue
+            best = low = high = None
             for s in sorted(places):  # neighbouring places share a window
                 a, b = max(0, s - k), s + len(item) + k
                 if low is not None and a <= high:
@@ -136,12 +143,12 @@ class ItemMatcher:
 
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The test items as lists of (item_id, normalised text), each of about ``block_chars`` characters at most."""
-    items = benchmark.select("item_id", "text").where(F.length("text") >= MIN_ITEM)
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 if chars <= block_chars else -(-2 * chars // block_chars)
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == b) if n > 1 else items
-        if block := [(r["item_id"], t) for r in rows.collect() if len(t := normalise(r["text"])) >= MIN_ITEM]:
+        if block := [(r["item_id"], t) for r in rows.collect() if (t := normalise(r["text"]))]:
             yield sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
@@ -161,8 +168,8 @@ def _matcher(name: str, held, rate: float) -> ItemMatcher:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row (doc_id, item_id, distance, budget, end_char) for each document and test item that it holds."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    schema = "doc_id long, item_id long, distance int, budget int, end_char long"
+    docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text"))  # pandas would round a long beside NULL
+    schema = "doc_id string, item_id string, distance int, budget int, end_char long"
     out = spark.createDataFrame([], schema)
     for block in blocks(benchmark, block_chars):
         held, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
@@ -171,15 +178,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
             matcher = _matcher(name, held, rate)
             for batch in batches:
                 rows = [
-                    (doc_id, matcher.items[n][0], d, k, end)
+                    (doc_id, None if matcher.items[n][0] is None else str(matcher.items[n][0]), d, k, end)
                     for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)
                     for n, d, k, end in matcher.matches(text)
                 ]
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "end_char"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64", "distance": "int32", "budget": "int32", "end_char": "int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "end_char"])
 
         out = out.unionByName(docs.mapInPandas(search, schema))
-    return out
+    return out.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})
 
 
 def holds_leak(text: Column, block, rate: float = ERROR_RATE) -> Column:
