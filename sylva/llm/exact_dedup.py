@@ -1,34 +1,39 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
-The index has one record for each distinct normalised text. Its 64-bit hash addresses a directory of 2**g cells; cells
-that share a bucket share its file range. A bucket with more than ``capacity`` records is split on its next bit, and the
-directory doubles when a split needs a bit it doesn't have. Whether a bucket splits depends only on the records, so the
-directory is derived from record counts by hash prefix (at most 2**MAX_DEPTH numbers) and the records are bulk-loaded:
-owner tasks take contiguous ranges of buckets, that is ranges of the hash, and write them sorted. Records with equal
-hashes form a chain and are told apart by comparing bytes: the length and the 32-byte SHA-256 of the normalised text.
-Texts themselves are read once and never shuffled.
-
-Groups of copies: records are pre-aggregated before the shuffle, so a text that fills a third of the table costs one row
-a task. Lookups of frequent records go by broadcast (at most HOT_RECORDS records can have 1/HOT_RECORDS of all rows
-each); all others by a shuffled join in which no key can have more rows than that.
-
-Defined cases: NULL counts as the empty text; of equal texts the smallest doc_id stays (a NULL doc_id only if all are
-NULL; rows that share text and smallest doc_id are all kept, as they can't be told apart); an empty table gives an empty
-result; extra columns are ignored by ``group_copies``.
+The 64-bit hash of the normalised text addresses a directory of 2**depth cells; cells that share a bucket share its range
+of the index files. A bucket with more than ``capacity`` hashes is split on its next bit, and the directory doubles when a
+split needs a bit it doesn't have. Whether a bucket splits depends on the hashes alone, so the directory is derived from
+counts by hash prefix, level by level, as a table in the shared folder. It has at most 2**MOST_LEVELS cells, which hashes
+of distinct texts don't need below 10**11 records; a bucket that is overfull there stays whole and right.
+
+Hashes that occur once are chains of one. Where a hash repeats, the normalised texts themselves are fetched and compared
+byte by byte: they are aggregated by (hash, text), which combines copies in each task before anything moves, so a text
+that fills a third of the table costs one record a task, and texts that don't repeat never move. That yields the row that
+stays and the group's size. Owner tasks then take contiguous ranges of buckets, chain the records of equal hash in order
+of their bytes, and write them sorted to the index files.
+
+Rows look their record up by bucket, hash, length and SHA-256. Frequent records go by broadcast (at most HOT_RECORDS
+records can have 1/HOT_RECORDS of all rows each); all others by a shuffled join in which no key can have more rows.
+
+Defined cases: NULL counts as the empty text; of equal texts the row with the smallest doc_id stays (a NULL doc_id only if
+all are NULL), and of rows that share that doc_id, too, exactly one; an empty table gives an empty result; extra columns
+are ignored by ``group_copies``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, spool
+from .common import SPACE_RUN, by_ids, semi_counted, spool
 
-CAPACITY = 100_000
-MAX_DEPTH = 14
+CAPACITY = 8_192
 HOT_RECORDS = 2_000
+#: Levels counted at first beyond those that even buckets would need; more are added while a bucket is overfull.
+SPARE_LEVELS = 4
+MOST_LEVELS = 26
 RECORD = ["bucket", "hash", "n_bytes", "sha"]
 
 
@@ -37,73 +42,75 @@ def normalise(text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, n_bytes, sha): what the index compares, of every row."""
+    """(doc_id, row, hash, n_bytes, sha) of every row; ``row`` tells equal rows apart once it is written."""
     text = normalise(F.col("text"))
-    return docs.select("doc_id", F.xxhash64(text).alias("hash"), F.octet_length(text).alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha"))
-
-
-@dataclass(frozen=True)
-class Directory:
-    """cells[p] is the first cell of the bucket that owns hash prefix p; depth bits address a cell."""
-
-    depth: int
-    cells: tuple[int, ...]
-
-    def bucket_of(self, hash_: Column) -> Column:
-        if not self.depth:
-            return F.lit(0)
-        return F.get(F.array(*map(F.lit, self.cells)), prefix(hash_, self.depth)) if self.depth <= 6 else _lookup(self, hash_)
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("hash"), F.octet_length(text).alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha"))
 
 
 def prefix(hash_: Column, depth: int) -> Column:
     """The top ``depth`` bits of the hash."""
-    return F.shiftrightunsigned(hash_, 64 - depth).cast("int") if depth else F.lit(0)
-
-
-def _lookup(directory: Directory, hash_: Column) -> Column:
-    """Binary form of the cells, two bytes each, so that a directory is one literal of at most 32 kB."""
-    packed = b"".join(c.to_bytes(2, "big") for c in directory.cells)
-    at = prefix(hash_, directory.depth) * 2 + 1
-    return F.conv(F.hex(F.substring(F.lit(packed), at, F.lit(2))), 16, 10).cast("int")
-
-
-def build_directory(counts: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> Directory:
-    """``counts``: records by ``max_depth``-bit prefix. Splits overfull buckets; doubles the directory as they need."""
-    buckets, done, depth = [(0, 0, sum(counts.values()))], [], 0  # (prefix, local depth, records)
-    while buckets:
-        p, local, n = buckets.pop()
-        if n <= capacity or local == max_depth:
-            done.append((p, local))
-            continue
-        local += 1
-        depth = max(depth, local)
-        for child in (2 * p, 2 * p + 1):
-            low, high = child << (max_depth - local), (child + 1) << (max_depth - local)
-            buckets.append((child, local, sum(counts.get(q, 0) for q in range(low, high))))
-    cells = [0] * (1 << depth)
-    for p, local in done:
-        first = p << (depth - local)
-        cells[first : first + (1 << (depth - local))] = [first] * (1 << (depth - local))
-    return Directory(depth, tuple(cells))
-
-
-def build_index(rows: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[Directory, DataFrame]:
-    """The directory, and the records (bucket, hash, n_bytes, sha, keep_id, group_size) read from shared files."""
-    records = spool(rows.groupBy("hash", "n_bytes", "sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "records")
-    counts = {r["p"]: r["count"] for r in records.groupBy(prefix(F.col("hash"), max_depth).alias("p")).count().collect()}  # at most 2**max_depth
-    directory = build_directory(counts, capacity, max_depth)
-    owned = records.withColumn("bucket", directory.bucket_of(F.col("hash")))
-    owners = max(1, len(set(directory.cells)))
-    index = owned.repartitionByRange(min(owners, 2_000), "bucket", "hash").sortWithinPartitions("bucket", "hash", "n_bytes", "sha") if owners > 1 else owned.sortWithinPartitions("hash")
-    return directory, spool(index, "index")
+    return F.shiftrightunsigned(hash_, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def build_directory(hashes: DataFrame, capacity: int = CAPACITY, most: int = MOST_LEVELS) -> tuple[int, DataFrame]:
+    """Depth and cells (cell, bucket) of the directory of distinct ``hashes`` (hash); a bucket's number is its first cell.
+
+    A prefix is a bucket if its hashes fit and those of the prefix that is one bit shorter don't."""
+    levels = min(most, max(0, math.ceil(math.log2(max(1, hashes.count()) / capacity))) + SPARE_LEVELS)
+    while True:
+        fine = hashes.groupBy(prefix(F.col("hash"), levels).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        every = fine.select(F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"), "p", "n")
+        counts = spool(every.groupBy("level", F.expr(f"shiftright(p, {levels} - level)").alias("q")).agg(F.sum("n").alias("n")), "prefixes")
+        if levels >= most or counts.where((F.col("level") == levels) & (F.col("n") > capacity)).isEmpty():
+            break
+        levels = min(most, levels + SPARE_LEVELS)
+    above = counts.where(F.col("n") > capacity).select((F.col("level") + 1).alias("level"), F.col("q").alias("parent"))
+    fits = counts.where((F.col("n") <= capacity) | (F.col("level") == levels)).withColumn("parent", F.shiftright("q", 1))
+    buckets = spool(fits.where("level = 0").select("level", "q").unionByName(fits.where("level > 0").join(above, ["level", "parent"]).select("level", "q")), "buckets")
+    depth = buckets.agg(F.max("level")).first()[0] or 0
+    first = F.expr(f"shiftleft(q, {depth} - level)")
+    cells = buckets.select(F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {depth} - level)") - 1)).alias("cell"), first.alias("bucket"))
+    return depth, spool(cells, "directory")
+
+
+def addressed(rows: DataFrame, depth: int, directory: DataFrame) -> DataFrame:
+    """``rows`` (hash, ...) with the bucket that the directory names."""
+    return by_ids(rows.withColumn("cell", prefix(F.col("hash"), depth)), directory, "cell", "inner").drop("cell")
+
+
+def compared(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(hash, n_bytes, sha, keep_id, group_size) of the distinct texts whose hash repeats, compared by their bytes."""
+    texts = docs.select("doc_id", normalise(F.col("text")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    same = semi_counted(texts, repeated, ["hash"], "rows").groupBy("hash", "text").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return same.select("hash", F.octet_length("text").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
+
+
+def build_index(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY) -> tuple[int, DataFrame, DataFrame]:
+    """Depth and directory, and the index (bucket, hash, chain, n_bytes, sha, keep_id, group_size) read from shared files;
+    ``chain`` numbers the records of one hash."""
+    met = spool(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("keep_id"), F.first("n_bytes").alias("n_bytes"), F.first("sha").alias("sha")), "met")
+    depth, directory = build_directory(met.select("hash"), capacity)
+    once = met.where("rows = 1").select("hash", "n_bytes", "sha", "keep_id", F.col("rows").alias("group_size"))
+    records = addressed(once.unionByName(compared(docs, met.where("rows > 1").select("hash", "rows"))), depth, directory)
+    owners = min(2_000, max(1, directory.select("bucket").distinct().count()))
+    chain = F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("n_bytes", "sha"))
+    owned = records.repartitionByRange(owners, "bucket", "hash").withColumn("chain", chain)
+    return depth, directory, spool(owned, "index")
 
 
 def group_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row of ``docs``."""
     rows = spool(fingerprints(docs), "fingerprints")
-    directory, index = build_index(rows, capacity)
-    rows = rows.withColumn("bucket", directory.bucket_of(F.col("hash")))
+    depth, directory, index = build_index(docs, rows, capacity)
+    rows = addressed(rows, depth, directory)
     share = max(2, index.agg(F.sum("group_size")).first()[0] or 0) / HOT_RECORDS
-    hot = F.broadcast(index.where(F.col("group_size") >= share))  # at most HOT_RECORDS rows
-    found = rows.join(hot, RECORD).unionByName(rows.join(hot.select(*RECORD), RECORD, "left_anti").join(index.where(F.col("group_size") < share), RECORD))
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    index = index.select(*RECORD, "keep_id", "group_size")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    hot = index.where(F.col("group_size") >= share)  # at most HOT_RECORDS rows
+    often = rows.join(F.broadcast(hot), RECORD)
+    first = often.where(stays).groupBy(*RECORD).agg(F.min("row").alias("first"))
+    often = often.join(F.broadcast(first), RECORD).withColumn("kept", F.col("row") == F.col("first")).drop("first")
+    others = rows.join(F.broadcast(hot.select(*RECORD)), RECORD, "left_anti").join(index.where(F.col("group_size") < share), RECORD)
+    order = Window.partitionBy(*RECORD).orderBy(F.col("doc_id").asc_nulls_last(), "row")
+    others = others.withColumn("kept", F.row_number().over(order) == 1)
+    return often.unionByName(others.select(*often.columns)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))

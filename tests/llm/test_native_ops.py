@@ -75,7 +75,7 @@ def test_copies_by_brute_force(docs, awkward, capacity):
         want = []
         for text, ids in groups.items():
             keep = min((i for i in ids if i is not None), default=None)
-            want += [(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+            want += [(i, keep, len(ids), i == keep and ids.index(i) == n, hashlib.sha256(text.encode()).hexdigest()) for n, i in enumerate(ids)]
         got = [tuple(r) for r in exact_dedup.group_copies(df, capacity).collect()]
         assert Counter(got) == Counter(want)
     assert exact_dedup.group_copies(empty_like(awkward)).count() == 0
@@ -87,12 +87,35 @@ def test_hot_copies(spark):
     assert {r["kept"]: (r["n"], r["g"]) for r in got} == {True: (20001, 10000), False: (9999, 10000)}
 
 
-def test_directory_doubles_only_where_needed():
-    counts = dict.fromkeys(range(16), 1) | {0: 50, 1: 50}
-    d = exact_dedup.build_directory(counts, capacity=60, max_depth=4)
-    assert d.depth == 4 and d.cells[0] == 0 and d.cells[1] == 1 and d.cells[2] == d.cells[3] == 2
-    assert d.cells[8:] == (8,) * 8
-    assert exact_dedup.build_directory({}, 10, 4).depth == 0
+def test_directory_doubles_only_where_needed(spark):
+    top = [(p, i) for p in range(16) for i in range(50 if p in (0, 1) else 1)]
+    hashes = spark.createDataFrame([((p - 16 if p > 7 else p) * 2**60 + i,) for p, i in top], "hash long")
+    depth, cells = exact_dedup.build_directory(hashes, 60)
+    got = {r["cell"]: r["bucket"] for r in cells.collect()}
+    assert depth == 4 and got[0] == 0 and got[1] == 1 and got[2] == got[3] == 2 and {got[c] for c in range(8, 16)} == {8}
+    assert exact_dedup.build_directory(hashes.where("false"), 10)[0] == 0
+    neighbours = hashes.where("hash >= 0 AND hash < 50")  # their first bits are equal, so the bucket can't be split
+    assert exact_dedup.build_directory(neighbours, 2, 9)[0] == 9
+
+
+def test_equal_hashes_are_told_apart_by_bytes(spark, monkeypatch):
+    """A chain of colliding texts: two hash values for all texts."""
+    real = F.xxhash64
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: F.pmod(real(c), F.lit(2)))
+    df = spark.createDataFrame([(i, f"text {i % 40}") for i in range(120)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.group_copies(df, 5).collect()}
+    assert got == {i: (i % 40, 3, i < 40) for i in range(120)}
+
+
+def test_one_of_equal_rows_stays(spark):
+    df = spark.createDataFrame([(1, "x"), (1, " x"), (1, "x"), (2, "x"), (None, "y"), (None, "y"), (1, "z"), (1, "z")], "doc_id long, text string")
+    for hot in (1, 2_000):
+        exact_dedup.HOT_RECORDS, kept = hot, exact_dedup.HOT_RECORDS
+        try:
+            got = exact_dedup.group_copies(df).where("kept").collect()
+        finally:
+            exact_dedup.HOT_RECORDS = kept
+        assert sorted((r["doc_id"] or 0, r["group_size"]) for r in got) == [(0, 2), (1, 1), (1, 2), (1, 3)]
 
 
 SECRET_TEXTS = [
