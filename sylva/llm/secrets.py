@@ -2,7 +2,7 @@
 
 Base kinds are leftmost non-overlapping matches of fixed patterns. The entropy kind takes the runs of token characters
 that contain letters and digits and slides a window over each for two character classes, hexadecimal and base64. The
-window keeps a count of each character and the sum of c*log2(c); one character comes in and one goes out at a step, so a
+window keeps the sum of c*log2(c) over its characters' counts c; one character comes in and one goes out at a step, so a
 step changes two counts. A run is a secret if a window of a class reaches the class's entropy, unless the allow list
 knows it or a base span covers it.
 
@@ -15,6 +15,7 @@ columns are kept.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,10 @@ ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme",
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
-    r"^[a-z]+([-_/=+][a-z]+|[-_/=+]?[0-9]{1,4})*$",
+    r"^[a-z]++(?:[-_/=+][a-z]++|[-_/=+]?[0-9]{1,4}+)*+$",  # possessive: a matcher that can't go back needs no stack
 )
+#: Matches of a text that are walked together: arrays grow by append inside a chunk, and chunks are joined at the end.
+CHUNK = 512
 
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -48,18 +51,27 @@ _SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 def _spans(text: Column, pattern: str, rank: int, keep) -> Column:
     """Spans of the matches of ``pattern`` for which ``keep(match number)`` holds; the text is split only if one is there."""
     gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if rank == 0 else matches
+    none = F.array().cast(_SPAN)
+
+    def state(at: Column, old: Column | None, out: Column) -> Column:
+        texts = (gaps, matches, values) if old is None else (old["gaps"], old["matches"], old["values"])
+        return F.struct(at.alias("at"), texts[0].alias("gaps"), texts[1].alias("matches"), texts[2].alias("values"), out.alias("out"))
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(state["gaps"], i))
-        end = start + F.length(F.get(state["matches"], i))
+    def step(s: Column, i: Column) -> Column:
+        start = s["at"] + F.length(F.get(s["gaps"], i))
+        end = start + F.length(F.get(s["matches"], i))
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), end.alias("end")))
-        kept = F.when(keep(state, i), F.concat(state["out"], span)).otherwise(state["out"])
-        return F.struct(end.alias("at"), state["gaps"].alias("gaps"), state["matches"].alias("matches"), state["values"].alias("values"), kept.alias("out"))
+        return state(end, s, F.when(keep(s, i), F.concat(s["out"], span)).otherwise(s["out"]))
 
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if rank == 0 else matches
-    first = F.struct(F.lit(0).alias("at"), gaps.alias("gaps"), matches.alias("matches"), values.alias("values"), F.array().cast(_SPAN).alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.regexp_count(text, F.lit(pattern)) - 1), first, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(_SPAN))
+    def chunk(s: Column, c: Column) -> Column:
+        numbers = F.sequence(c * CHUNK, F.least((c + 1) * CHUNK, F.size(s["matches"])) - 1)
+        walked = F.aggregate(numbers, state(s["at"], s, none), step)
+        return F.get(F.transform(F.array(walked), lambda w: state(w["at"], s, F.concat(s["out"], F.array(w["out"])))), 0)  # walked once
+
+    chunks = F.sequence(F.lit(0), F.floor((F.regexp_count(text, F.lit(pattern)) - 1) / CHUNK).cast("int"))
+    walked = F.aggregate(chunks, state(F.lit(0), None, F.array().cast(f"array<{_SPAN}>")), chunk, lambda s: F.flatten(s["out"]))
+    return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -72,37 +84,30 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*found))
 
 
-def _clogc(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-
-
 def window_entropy(string: Column, alphabet: str, window: int = WINDOW) -> Column:
     """Greatest Shannon entropy of ``window`` consecutive characters of the alphabet; 0 where there are fewer.
 
-    A character outside the alphabet empties the window."""
-    code = lambda i: F.instr(F.lit(alphabet), F.substring(string, i, F.lit(1)))
-    codes = F.transform(F.sequence(F.lit(1), F.length(string)), code)
-
-    def step(s: Column, i: Column) -> Column:
-        new = F.get(s["codes"], i)
-        old = F.when(s["held"] >= window, F.get(s["codes"], i - window)).otherwise(F.lit(0))
-        c_new, c_old = F.get(s["counts"], new), F.get(s["counts"], old)
-        change = F.when(new == old, F.lit(0.0)).otherwise(_clogc(c_new + 1) - _clogc(c_new) + F.when(old > 0, _clogc(c_old - 1) - _clogc(c_old)).otherwise(F.lit(0.0)))
-        counts = F.transform(s["counts"], lambda c, k: c + F.when((k == new), 1).otherwise(0) - F.when((k == old) & (k > 0), 1).otherwise(0))
-        held = F.least(s["held"] + 1, F.lit(window))
-        total = s["clogc"] + change
-        entropy = F.when(held == window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-        on = new > 0
+    A step lets one character in and one out, and changes the sum of c*log2(c) by what these two counts change; a
+    character outside the alphabet empties the window."""
+    clogc = lambda n: F.get(F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)]), n)
+    count = lambda held, c: F.length(held) - F.length(F.replace(held, c, F.lit("")))
+    lowest = lambda s: F.when(F.length(s["held"]) == window, F.least(s["lowest"], s["clogc"])).otherwise(s["lowest"])
+
+    def step(s: Column, c: Column) -> Column:
+        full = F.length(s["held"]) == window
+        out = F.when(full, F.substring(s["held"], 1, 1)).otherwise(F.lit(""))
+        n_in, n_out = count(s["held"], c), count(s["held"], out)
+        change = F.when(c == out, F.lit(0.0)).otherwise(clogc(n_in + 1) - clogc(n_in) + F.when(full, clogc(n_out - 1) - clogc(n_out)).otherwise(F.lit(0.0)))
+        known = F.instr(F.lit(alphabet), c) > 0
         return F.struct(
-            s["codes"].alias("codes"),
-            F.when(on, counts).otherwise(F.array_repeat(F.lit(0), len(alphabet) + 1)).alias("counts"),
-            F.when(on, held).otherwise(F.lit(0)).alias("held"),
-            F.when(on, total).otherwise(F.lit(0.0)).alias("clogc"),
-            F.when(on, F.greatest(s["best"], entropy)).otherwise(s["best"]).alias("best"),
+            F.when(known, F.concat(F.when(full, F.substring(s["held"], 2, window)).otherwise(s["held"]), c)).otherwise(F.lit("")).alias("held"),
+            F.when(known, s["clogc"] + change).otherwise(F.lit(0.0)).alias("clogc"),
+            lowest(s).alias("lowest"),
         )
 
-    first = F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0).alias("held"), F.lit(0.0).alias("clogc"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(string) - 1), first, step, lambda s: s["best"])
+    first = F.struct(F.lit("").alias("held"), F.lit(0.0).alias("clogc"), F.lit(math.inf).alias("lowest"))
+    least = F.aggregate(F.split(string, ""), first, step, lowest)
+    return F.greatest(F.lit(0.0), F.lit(math.log2(window)) - least / window)
 
 
 def is_secret(string: Column) -> Column:

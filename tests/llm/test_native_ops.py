@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -161,6 +162,24 @@ def test_secrets_by_brute_force(spark, docs):
     assert n["assign"] and n["access"] and n["hex"] and n["entropy"]
 
 
+def test_secrets_in_long_runs(spark):
+    """Long runs, many matches and many segments; none may exhaust a stack or take time with the square."""
+    n = 100_000
+    texts = ["ab-" * n + "1", "a" * (10 * n), "0" * (10 * n), "x1" * n + " y", "token=abcdef1 " * 20_000, "ab/c" * n + "=Zx8Qm2Lp9Rt4Vb7Nc1Wd", "- " * n, "550e8400-" * n, "AKIA" * n]
+    for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        base = base_of(r["text"])
+        assert [tuple(s) for s in r["base_spans"]] == base
+        assert {s["start"] for s in r["secret_spans"]} >= {b[0] for b in base}
+
+
+def test_allowed_words_as_a_plain_pattern():
+    """The possessive pattern allows what the plain one does."""
+    rng, plain = random.Random(1), re.compile(r"^[a-z]+([-_/=+][a-z]+|[-_/=+]?[0-9]{1,4})*$")
+    for _ in range(20_000):
+        text = "".join(rng.choice("aab1--_/A") for _ in range(rng.randrange(1, 14)))
+        assert bool(re.search(secrets.ALLOWED[-1], text)) == bool(plain.search(text)), text
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "é token=" + "f" * 30 + " end"), (2, "clean"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.scan(df)).collect()}
