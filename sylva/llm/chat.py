@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import WORD
+
 PART = "struct<type:string,text:string,ref:string,size:bigint>"
 # The letter of each attachment kind and the unit of size (pixels, milliseconds, pages) that is one token.
 KINDS = (("image", "i", 784), ("audio", "a", 40), ("document", "d", 1))
@@ -54,26 +56,26 @@ def visit(parts: Column) -> Column:
     of each attachment in order; words plus attachment tokens. Unknown part types count as text."""
     letter = F.create_map(*[F.lit(x) for k, c, _ in KINDS for x in (k, c)])
     unit = F.create_map(*[F.lit(x) for k, _, u in KINDS for x in (k, u)])
-    tokens = lambda p: F.when(_is_text(p), F.coalesce(F.regexp_count(p["text"], F.lit(r"\S+")), F.lit(0)).cast("long")).otherwise(F.ceil(F.coalesce(p["size"], F.lit(0)) / F.element_at(unit, p["type"])))
-    files = F.filter(parts, lambda p: ~_is_text(p))
-    numbered = F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.size(F.filter(F.slice(parts, 1, i), lambda q: ~_is_text(q))).alias("number")))
-    body = F.array_join(
-        F.transform(numbered, lambda x: F.when(_is_text(x["part"]), escape(x["part"]["text"])).otherwise(F.concat(F.lit("\\p"), F.element_at(letter, x["part"]["type"]), x["number"].cast("string"), F.lit(";")))), ""
-    )
-    attachments = F.transform(files, lambda p, i: F.struct(i.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens")))
+    tokens = lambda p: F.when(_is_text(p), F.coalesce(F.regexp_count(p["text"], F.lit(WORD)), F.lit(0)).cast("long")).otherwise(F.ceil(F.coalesce(p["size"], F.lit(0)) / F.element_at(unit, p["type"])))
+    places = F.filter(F.transform(parts, lambda p, i: F.when(_is_text(p), -1).otherwise(i)), lambda i: i >= 0)
+
+    def piece(p: Column, i: Column, files: Column) -> Column:
+        number = (F.array_position(files, i) - 1).cast("string")
+        return F.when(_is_text(p), escape(p["text"])).otherwise(F.concat(F.lit("\\p"), F.element_at(letter, p["type"]), number, F.lit(";")))
+
+    pieces = F.get(F.transform(F.array(places), lambda files: F.transform(parts, lambda p, i: piece(p, i, files))), 0)  # places are found once
+    attachments = F.transform(F.filter(parts, lambda p: ~_is_text(p)), lambda p, i: F.struct(i.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens")))
     total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + tokens(p))
-    return F.struct(body.alias("body"), attachments.alias("attachments"), total.alias("tokens"))
+    return F.struct(F.array_join(pieces, "").alias("body"), attachments.alias("attachments"), total.alias("tokens"))
 
 
 def format_turns(turns: DataFrame, content: str | None = None) -> DataFrame:
-    """One row (conv_id, formatted, attachments, tokens) for each conversation of rows (conv_id, turn, role, text or
-    ``content``, an array of parts); attachments keep the turn's place in the conversation."""
-    if content:
-        seen = turns.withColumn("_visit", visit(F.coalesce(F.col(content), F.array().cast(f"array<{PART}>"))))
-        body, attachments, tokens = F.col("_visit.body"), F.col("_visit.attachments"), F.col("_visit.tokens")
-        line = seen.select("conv_id", F.struct("turn", escape_role(F.col("role")).alias("role"), body.alias("body"), attachments.alias("attachments"), tokens.alias("tokens")).alias("t"))
-    else:  # text alone: the visitor's result is the escaped text
-        line = turns.select("conv_id", F.struct("turn", escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("body"), F.array().cast("array<struct<number:int,type:string,ref:string,tokens:bigint>>").alias("attachments"), F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens")).alias("t"))
+    """One row (conv_id, formatted, attachments, tokens) for each conversation of rows (conv_id, turn, role, and text or
+    ``content``, an array of parts; plain text is visited as one text part); attachments keep the turn's place in the
+    conversation."""
+    parts = F.coalesce(F.col(content), F.array().cast(f"array<{PART}>")) if content else text_parts(F.col("text"))
+    seen = turns.select("conv_id", "turn", escape_role(F.col("role")).alias("role"), visit(parts).alias("seen"))
+    line = seen.select("conv_id", F.struct("turn", "role", "seen.body", "seen.attachments", "seen.tokens").alias("t"))
     held = line.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     opened = lambda t: F.concat(F.lit('<turn role="'), t["role"], F.lit('">'))
     learnt = lambda t: F.when(t["role"] == LEARN_ROLE, F.concat(F.lit("<learn>"), t["body"], F.lit("</learn>"))).otherwise(t["body"])

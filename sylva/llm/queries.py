@@ -84,6 +84,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learnt").cast("long").alias("loss_chars"),
         F.sha2("learnt", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "tokens",
     )
 
 
@@ -122,7 +124,8 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 e AS (SELECT *, replace(replace(text, '\', '\b'), '<', '\l') AS body, replace(replace(replace(role, '\', '\b'), '<', '\l'), '"', '\q') AS name FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, name, body)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, name, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<turn role="' || name || '">' || body || '</turn>') + 1 + CASE WHEN role = 'assistant' THEN length('<learn></learn>') ELSE 0 END) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<turn role="' || name || '">' || body || '</turn>') + 1 + CASE WHEN role = 'assistant' THEN length('<learn></learn>') ELSE 0 END) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS BIGINT) AS tokens
 FROM e GROUP BY conv_id
 """,
 }
