@@ -1,12 +1,15 @@
 """Main-text extraction by tag-path ratios.
 
-Every text node has a path of tags (with class) from the root. Text length and punctuation are aggregated for each path:
-length and punctuation per node, smoothed over neighbouring paths in page order, fused by multiplication, and paths above
-a threshold (a share of the standard deviation) are content paths. Content chooses the node that holds it: the article
-or main element with most content, else the deepest element with most of the content; its blocks are the main text, less
-what page structure marks as no article text (navigation, headers, footers, sidebars, notices, adverts, forms, comments).
+Every text node has a path of tags (with class) from the root. Text length and punctuation are aggregated for each path,
+divided by its number of texts, smoothed over neighbouring paths in page order, fused by multiplication, and scaled by
+what the path's structure says (article elements for, navigation, adverts, forms, comments and the like against); paths
+from a threshold on (a share of the standard deviation) are content paths. The characters of content paths choose the
+node that holds the main text: the deepest container with most of them, or the article element around it. Of its blocks
+those on content paths stay, and short ones (headings, one-word paragraphs) unless structure or links speak against them.
+A page whose classes say nothing is decided by its ratios alone, and one that is wrapped in a class that speaks against it
+as a whole isn't lost, as ratios only compare.
 
-One page is one row and its text goes through one call; nothing is shuffled.
+One page is one row and its text goes through one call, in time and memory proportional to the page; nothing is shuffled.
 
 Defined cases: NULL or empty html gives the empty text; broken markup is read as far as it goes (unclosed elements end
 with their parent, a tag cut off at the end is dropped); a page without markup is one block; blocks with equal text are
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,7 +38,9 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("article aside body div dl footer form header html main nav ol section table td th ul".split())
 ARTICLE = frozenset(("article", "main"))
-# Structure that is never article text: elements, words of class or id, roles.
+# Elements that hold a line and no page: they don't become the node that holds the main text.
+LINES = frozenset("address blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre table tbody tfoot thead tr ul".split())
+# Structure that speaks against article text: elements, words of class or id, roles.
 SKIP_TAGS = frozenset("aside button canvas dialog footer form head iframe input menu nav noscript object script select style svg template textarea".split())
 SKIP_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
@@ -42,10 +48,12 @@ SKIP_WORDS = frozenset(
 SKIP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 PUNCTUATION = ".,;:!?…。，、；：！？"
 
-#: Share of the standard deviation of the fused ratios above which a path is content, and of the smoothing's neighbours.
+#: Share of the standard deviation of the fused ratios from which a path is content, and weights of the smoothing.
 THRESHOLD = 0.4
 SMOOTHING = (0.25, 0.5, 0.25)
-#: Share of all content that an element must hold to be chosen on pages without an article element.
+#: What structure scales a path's ratio by: inside an article element, and where it speaks against the path.
+FOR, AGAINST = 4.0, 0.02
+#: Share of the content that a container must have to hold the main text.
 MASS = 0.75
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)""", re.S)
@@ -55,49 +63,62 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "skip", "in_article", "content", "depth", "_path")
+    """An element. ``path`` is a number: equal paths have equal numbers on a page."""
 
-    def __init__(self, tag: str, attributes: str, parent: Node | None):
-        self.tag, self.parent = tag, parent
-        self.depth = parent.depth + 1 if parent else 0
+    __slots__ = ("tag", "name", "parent", "against", "in_article", "mass", "inside", "number", "path", "open_p", "shown")
+
+    def __init__(self, tag: str, attributes: str, parent: Node | None, number: int, paths: dict[tuple[int, str], int]):
+        self.tag, self.parent, self.number = tag, parent, number
         self.in_article = tag in ARTICLE or bool(parent and parent.in_article)
-        self.content, self._path = 0.0, ""
+        self.mass, self.inside, self.shown = 0.0, False, False
         self.name, found = tag, {}
         for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
             found.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
         if "class" in found:
             self.name = f"{tag}.{'.'.join(found['class'].split())}"
-        self.skip = bool(parent and parent.skip) or tag in SKIP_TAGS or (tag == "header" and not self.in_article)
-        if not self.skip and found and tag not in ("html", "body", "article", "main"):
+        self.against = bool(parent and parent.against) or tag in SKIP_TAGS or (tag == "header" and not self.in_article)
+        if not self.against and found and tag not in ("html", "body", "article", "main"):
             words = set(_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}"))
-            self.skip = bool(words & SKIP_WORDS) or ("header" in words and not self.in_article) or found.get("role") in SKIP_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+            self.against = bool(words & SKIP_WORDS) or ("header" in words and not self.in_article) or found.get("role") in SKIP_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+        self.path = paths.setdefault((parent.path if parent else -1, self.name), len(paths))
+        self.open_p = self if tag == "p" else parent.open_p if parent and tag not in SCOPE else None
+
+    def scale(self) -> float:
+        return (FOR if self.in_article else 1.0) * (AGAINST if self.against else 1.0)
 
-    def path(self) -> str:
-        """Names from the root; kept, as many texts share a node."""
-        if not self._path:
-            chain = [self]
-            while chain[-1].parent is not None and not chain[-1].parent._path:
-                chain.append(chain[-1].parent)
-            for node in reversed(chain):
-                node._path = f"{node.parent._path}/{node.name}" if node.parent else node.name
-        return self._path
+    def names(self) -> str:
+        out, node = [], self
+        while node is not None:
+            out.append(node.name)
+            node = node.parent
+        return "/".join(reversed(out))
 
 
 class Block:
-    __slots__ = ("parts", "node", "paths", "linked", "size")
+    __slots__ = ("parts", "node", "texts", "linked", "size")
 
     def __init__(self, node: Node):
-        self.node, self.parts, self.paths, self.linked, self.size = node, [], [], 0, 0
+        self.node, self.parts, self.texts, self.linked, self.size = node, [], [], 0, 0
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text outside of skipped structure, in order."""
-    root = Node("#page", "", None)
-    node, links, blocks, block = root, 0, [], None
+    """The page's blocks of visible text, in order."""
+    paths: dict[tuple[int, str], int] = {}
+    root = Node("#page", "", None, 0, paths)
+    node, count, links, blocks, block = root, 0, 0, [], None
+    opened: Counter[str] = Counter()
+
+    def shut(last: Node) -> None:
+        """Close the open elements up to and with ``last``."""
+        nonlocal node, links
+        while node is not last.parent:
+            links -= node.tag == "a"
+            opened[node.tag] -= 1
+            node = node.parent
 
     def text(raw: str) -> None:
         nonlocal block
-        if node.skip or not raw:
+        if node.tag in UNSEEN or not raw:
             return
         if block is None:
             block = Block(node)
@@ -105,7 +126,7 @@ def blocks_of(page: str) -> list[Block]:
         decoded = html.unescape(raw) if "&" in raw else raw
         block.parts.append(decoded)
         if (n := len("".join(decoded.split()))):
-            block.paths.append((node, n, sum(map(decoded.count, PUNCTUATION))))
+            block.texts.append((node, n, sum(map(decoded.count, PUNCTUATION))))
             block.size += n
             block.linked += n if links else 0
 
@@ -119,97 +140,110 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE and tag not in UNSEEN:
             block = None
         if m[1]:  # an end tag closes up to its element, if that is open
-            open_ = node
-            while open_ is not None and open_.tag != tag:
-                open_ = open_.parent
-            if open_ is not None and open_.parent is not None:
-                while node is not open_:
-                    links -= node.tag == "a"
-                    node = node.parent
-                links -= node.tag == "a"
-                node = node.parent
+            if opened[tag] > 0:
+                last = node
+                while last.tag != tag:
+                    last = last.parent
+                shut(last)
             continue
         if tag == "br" and block is not None:
             block.parts.append(" ")
-        closes = {"p"} if tag in CLOSES_P else SIBLINGS.get(tag, set())
-        if closes:
-            open_ = node
-            while open_.parent is not None and open_.tag not in closes and (open_.tag not in SCOPE or (tag in ("td", "th", "tr") and open_.tag in ("td", "th"))):
-                open_ = open_.parent
-            if open_.tag in closes:
-                while node is not open_.parent:
-                    links -= node.tag == "a"
-                    node = node.parent
+        if tag in CLOSES_P:
+            if node.open_p is not None:
+                shut(node.open_p)
+        elif (closes := SIBLINGS.get(tag)) and any(opened[x] > 0 for x in closes):
+            last = node
+            while last.parent is not None and last.tag not in closes and (last.tag not in SCOPE or (tag in ("td", "th", "tr") and last.tag in ("td", "th"))):
+                last = last.parent
+            if last.tag in closes:
+                shut(last)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else len(page)
         elif tag not in VOID:
-            node = Node(tag, m[3], node)
+            count += 1
+            node = Node(tag, m[3], node, count, paths)
+            opened[tag] += 1
             links += tag == "a"
     text(page[at:])
     return blocks
 
 
-def content_paths(blocks: list[Block]) -> set[str]:
-    """Paths whose smoothed, fused ratios reach the threshold."""
-    chars: dict[str, list[float]] = {}
+def content(blocks: list[Block]) -> dict[int, Node]:
+    """Numbers of the paths whose smoothed, fused and scaled ratios reach the threshold, each with a node of that path."""
+    chars: dict[int, list] = {}
     for b in blocks:
-        for node, n, marks in b.paths:
-            got = chars.setdefault(node.path(), [0, 0, 0])
+        for node, n, marks in b.texts:
+            got = chars.setdefault(node.path, [0, 0, 0, node])
             got[0] += n
             got[1] += marks
             got[2] += 1
-    paths = list(chars)  # page order of their first text
-    ratios = [[chars[p][0] / chars[p][2], chars[p][1] / chars[p][2]] for p in paths]
+    if not chars:
+        return {}
+    found = list(chars.values())  # page order of their first text
 
     def smooth(x: list[float]) -> list[float]:
         padded = [x[0], *x, x[-1]]
         return [sum(w * padded[i + k] for k, w in enumerate(SMOOTHING)) for i in range(len(x))]
 
-    if not paths:
-        return set()
-    length, marks = (smooth([r[k] for r in ratios]) for k in (0, 1))
-    fused = [a * (1 + b) for a, b in zip(length, marks, strict=True)]
+    length, marks = (smooth([f[k] / f[2] for f in found]) for k in (0, 1))
+    fused = [a * (1 + b) * f[3].scale() for a, b, f in zip(length, marks, found, strict=True)]
     mean = sum(fused) / len(fused)
     limit = THRESHOLD * (sum((x - mean) ** 2 for x in fused) / len(fused)) ** 0.5
-    return {p for p, x in zip(paths, fused, strict=True) if x >= limit}
+    return {p: f[3] for (p, f), x in zip(chars.items(), fused, strict=True) if x >= limit}
+
+
+def content_paths(blocks: list[Block]) -> set[str]:
+    """The content paths by their names."""
+    return {node.names() for node in content(blocks).values()}
+
+
+def holder_of(blocks: list[Block], chosen: dict[int, Node]) -> Node:
+    """The node that holds the main text; marks the nodes inside of it."""
+    seen: list[Node] = []
+    total = 0.0
+    for b in blocks:
+        for node, n, _ in b.texts:
+            if node.path in chosen:
+                node.mass += n * node.scale()
+                total += n * node.scale()
+            while node is not None and not node.shown:
+                node.shown = True
+                seen.append(node)
+                node = node.parent
+    seen.sort(key=lambda x: x.number)  # parents come before their children
+    for node in reversed(seen):
+        if node.parent is not None:
+            node.parent.mass += node.mass
+    holder = seen[0]
+    for node in seen:  # at most one child of a holder has so much
+        if node.parent is holder and node.mass >= MASS * total:
+            holder = node
+    while holder.parent is not None and (holder.tag in INLINE or holder.tag in LINES):
+        holder = holder.parent
+    around = holder
+    while around is not None and around.tag not in ARTICLE:
+        around = around.parent
+    holder = around or holder
+    for node in seen:
+        node.inside = node is holder or bool(node.parent and node.parent.inside)
+    return holder
 
 
 def extract(page: str | None) -> str:
     """The main text: blocks joined by line feeds, white space inside a block as one space."""
-    if not page:
-        return ""
-    blocks = [b for b in blocks_of(page) if b.size]
+    blocks = [b for b in blocks_of(page) if b.size] if page else []
     if not blocks:
         return ""
-    chosen = content_paths(blocks)
-    total, nodes = 0.0, {}
-    for b in blocks:
-        for node, n, _ in b.paths:
-            worth = n if node.path() in chosen else 0
-            total += worth
-            up = node
-            while up is not None:
-                up.content += worth
-                nodes[id(up)] = up
-                up = up.parent
-    articles = [x for x in nodes.values() if x.tag in ARTICLE]
-    if articles:
-        inner = [x for x in articles if x.tag == "article"] or articles
-        holder = max(inner, key=lambda x: (x.content, -x.depth))
-        if holder.content < 0.5 * max(x.content for x in articles):  # one of many teasers in a main element
-            holder = max(articles, key=lambda x: x.content)
-    else:
-        holder = max((x for x in nodes.values() if x.content >= MASS * total and x.tag not in INLINE and x.tag != "p"), key=lambda x: x.depth)
-
-    def inside(node: Node) -> bool:
-        while node is not None and node is not holder:
-            node = node.parent
-        return node is holder
+    chosen = content(blocks)
+    holder_of(blocks, chosen)
+
+    def kept(b: Block) -> bool:
+        first = b.texts[0][0]
+        return first.inside and (first.path in chosen or not first.against and (first.in_article or 2 * b.linked <= b.size))
 
-    kept = [b for b in blocks if inside(b.node) and (holder.tag in ARTICLE or 2 * b.linked <= b.size or b.paths[0][0].path() in chosen)]
-    lines = (_SPACE.sub(" ", "".join(b.parts)).strip("\x20\t\n\r\x0b\x0c") for b in kept)
+    lines = (_SPACE.sub(" ", "".join(b.parts)).strip("\x20\t\n\r\x0b\x0c") for b in blocks if kept(b))
     return "\n".join(x for x in lines if x)
 
 

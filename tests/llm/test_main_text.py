@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,32 @@ def test_deep_and_long_pages():
     assert extract("<" * 50000) == "<" * 50000
 
 
+def test_deep_pages_take_time_with_their_length():
+    began = time.perf_counter()
+    assert extract("<div>x" * 160_000).count("x") == 120_000  # each div holds the next; the deepest with MASS of all is chosen
+    assert extract("<span>" * 100_000 + "<p>a" * 20_000).startswith("a\na")
+    assert extract("<p>a</i>" * 100_000 + "</div>" * 100_000).count("a") == 100_000
+    assert time.perf_counter() - began < 60
+
+
+def without_structure(page):
+    """The page with all its sectioning elements as div, and classes that say nothing."""
+    names = {}
+    page = re.sub(r"<(/?)(article|nav|footer|aside|header|main)\b", r"<\1div", page)
+    return re.sub(r'class="([^"]*)"', lambda m: f'class="c{names.setdefault(m[1], len(names))}"', page)
+
+
+def test_ratios_decide_where_structure_says_nothing(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    same = sum(extract(without_structure(p)) == by_hand(p) for p in pages)
+    assert same >= 0.9 * len(pages)
+
+
+def test_a_page_wrapped_in_a_telling_class_is_not_lost():
+    body = f"<div class=text><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar><a href=x>y</a></div>"
+    assert extract(f"<body><div class='page-banner'>{body}</div></body>") == f"Head\n{LONG.strip()}\n{LONG.strip()}"
+
+
 def test_ratios_choose_paragraphs():
     page = f"<body><div class=a><p>{LONG}</p><p>{LONG}</p></div><div class=b><span>x</span></div><div class=c><span>y</span></div><div class=d><span>z</span></div></body>"
     assert any(p.endswith("div.a/p") for p in content_paths(blocks_of(page))) and not any("div.d" in p for p in content_paths(blocks_of(page)))
