@@ -17,7 +17,8 @@ times the source's words and the excess is shared again by weight.
 
 Only DataFrame functions are used. Defined cases: NULL and empty texts have size 0 and take 0; a source without words has
 target 0; an empty table gives an empty result; repeated rows each get copies of their own; a NULL doc_id hashes as such;
-extra columns are kept.
+``repeat_copies`` keeps extra columns of any name, ``mix`` refuses to keep one that it returns itself; a mix that doesn't
+converge is an error.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spool, words_of
+from .common import broadcast_rows, release, spool, words_of
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
-STEPS = 40
+STEPS = 80
 TOLERANCE = 1e-9
 BUCKETS = 256
 _ONE = 1 << 20
@@ -58,6 +59,11 @@ def rate(multiplier: Column, size: Column, mean: Column, most: int = MOST) -> Co
     return F.least(F.lit(float(most)), F.exp(F.least(multiplier * size / mean, F.lit(50.0))))
 
 
+def exact_sum(value: Column) -> Column:
+    """A sum of doubles that doesn't depend on their order: each is taken to 12 decimals."""
+    return F.sum(value.cast("decimal(38,12)")).cast("double")
+
+
 def solve(sizes: DataFrame, sources: DataFrame, most: int = MOST, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """(sid, mean, lam) of the sources: Newton on the dual, kept inside a bracket; full sources get lam = 1e6."""
     used = sources.where((F.col("target") > 0) & (F.col("source_size") > 0)).withColumn("mean", F.col("source_size") / F.col("n"))
@@ -68,22 +74,26 @@ def solve(sizes: DataFrame, sources: DataFrame, most: int = MOST, steps: int = S
         tilt = rate(F.col("lam"), F.col("size"), F.col("mean"), most)
         words = F.col("n") * F.col("size")
         free = F.when(tilt < most, words * F.col("size") / F.col("mean") * tilt).otherwise(F.lit(0.0))
-        sums = at.groupBy("sid").agg(F.sum(words * tilt).alias("taken"), F.sum(free).alias("slope"))
+        sums = at.groupBy("sid").agg(exact_sum(words * tilt).alias("taken"), exact_sum(free).alias("slope"))
         gap = F.col("taken") - F.col("target")
         low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") - gap / F.greatest(F.col("slope"), F.lit(1e-300))
         bounded = F.greatest(F.col("lam") - 4, F.least(F.col("lam") + 4, newton))
         middle = F.when((low > -1e3) & (high < 1e3), (low + high) / 2).otherwise(F.col("lam") + F.when(gap < 0, 4.0).otherwise(-4.0))
         step = F.when((bounded > low) & (bounded < high), bounded).otherwise(middle)
-        near = F.abs(gap) <= F.col("target") * tolerance
-        state = spool(
+        near = F.abs(gap) <= F.greatest(F.col("target") * tolerance, F.lit(1e-6))
+        before, state = state, spool(
             state.join(sums, "sid", "left").select(
                 "sid", "mean", "target", F.when(F.col("done") | near, F.col("lam")).otherwise(step).alias("lam"), low.alias("low"), high.alias("high"), (F.col("done") | near | (high - low < 1e-13)).alias("done")
             ).withColumns({"low": F.coalesce("low", F.lit(-1e3)), "high": F.coalesce("high", F.lit(1e3))}),
             "multipliers",
         )
+        release(before)
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        if not state.where(~F.col("done")).isEmpty():
+            raise RuntimeError(f"the mix didn't converge in {steps} Newton steps")
     return state.select("sid", "mean", F.round("lam", 10).alias("lam"))
 
 
@@ -92,41 +102,55 @@ def size_class(size: Column) -> Column:
     return F.when(size < 256, size).otherwise(256 + F.floor(F.log(size / 256.0) * 64)).cast("int")
 
 
+#: What ``mix`` adds; columns that are kept can't have these names.
+RESULT = ("size", "source_size", "target", "copies")
+
+
 def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of every row with size, source_size, target and copies (0 to MOST)."""
+    if clash := set(keep) & set(RESULT):
+        raise ValueError(f"columns {sorted(clash)} are results of the mix")
+    return _mixed(docs, keep).select("_kept.*", *[F.col(f"_{c}").alias(c) for c in RESULT])
+
+
+def _mixed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(_kept, _size, _source_size, _target, _copies) of every row; what is kept is packed, so no name can clash."""
     sized = spool(docs.select("doc_id", "source", words_of(F.col("text")).alias("size")), "sized")
-    docs = sized if set(keep) <= {"doc_id", "source"} else docs.withColumn("size", words_of(F.col("text")))
     sizes = spool(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     sources = spool(targets(sizes), "sources")
     numbered = sizes.join(sources.select(F.col("source").alias("_s"), "sid"), F.col("source").eqNullSafe(F.col("_s"))).select("sid", "size", "n")
     solved = solve(numbered, sources)
-    known = sources.join(solved, "sid", "left").select(F.col("source").alias("_s"), "sid", "source_size", "target", "mean", "lam")
-    rows = docs.select(*keep, "size", *({"doc_id", "source"} - set(keep))).join(known, F.col("source").eqNullSafe(F.col("_s")))
+    known = spool(sources.join(solved, "sid", "left").select(F.col("source").alias("_s"), "sid", "source_size", "target", "mean", "lam"), "known")
+    known = F.broadcast(known) if known.count() <= broadcast_rows(known) else known  # one row a source
+    narrow = set(keep) <= {"doc_id", "source"}
+    packed = (sized if narrow else docs).select(F.struct(*keep).alias("_kept"), "doc_id", "source", F.col("size") if narrow else words_of(F.col("text")).alias("size"))
+    cell = ["sid", "class", "bucket"]
+    rows = _rated(packed, known)
+    rows = rows.withColumn("upto", F.sum("rate").over(Window.partitionBy(*cell).orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(_offsets(_rated(sized, known), cell), cell, "left")  # every cell has one; an inner join would count words again to look for NULL
+    end = F.col("offset") + F.col("upto") + _ONE // 2
+    copies = (F.floor(end / _ONE) - F.floor((end - F.col("rate")) / _ONE)).cast("long")
+    return rows.select("_kept", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.when(F.col("size") == 0, F.lit(0)).otherwise(copies).cast("long").alias("_copies"))
+
+
+def _rated(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, size, ...) with their source's facts, rate in 2**-20ths, size class and bucket."""
     exact = F.when(F.col("lam").isNull() | (F.col("size") == 0), F.lit(0.0)).otherwise(rate(F.col("lam"), F.col("size"), F.col("mean")))
-    rows = rows.withColumns({"_rate": F.floor(exact * _ONE).cast("long"), "_class": size_class(F.col("size")), "_bucket": F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")})
-    cell = ["sid", "_class", "_bucket"]
-    rows = rows.withColumn("_upto", F.sum("_rate").over(Window.partitionBy(*cell).orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
-    offsets = _offsets(sized, known, cell)
-    rows = rows.join(offsets, cell)
-    end = F.col("_offset") + F.col("_upto") + _ONE // 2
-    copies = (F.floor(end / _ONE) - F.floor((end - F.col("_rate")) / _ONE)).cast("long")
-    return rows.select(*keep, "size", "source_size", "target", F.when(F.col("size") == 0, F.lit(0)).otherwise(copies).cast("long").alias("copies"))
+    at = rows.join(known, F.col("source").eqNullSafe(F.col("_s")))
+    return at.withColumns({"rate": F.floor(exact * _ONE).cast("long"), "class": size_class(F.col("size")), "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")})
 
 
-def _offsets(docs: DataFrame, known: DataFrame, cell: list[str]) -> DataFrame:
+def _offsets(rated: DataFrame, cell: list[str]) -> DataFrame:
     """Running rate sum of a source ahead of each cell; sums of cells, then of classes, so no window is long."""
-    at = docs.select("doc_id", "source", "size").join(known, F.col("source").eqNullSafe(F.col("_s")))
-    exact = F.when(F.col("lam").isNull() | (F.col("size") == 0), F.lit(0.0)).otherwise(rate(F.col("lam"), F.col("size"), F.col("mean")))
-    sums = at.select("sid", size_class(F.col("size")).alias("_class"), F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("_bucket"), F.floor(exact * _ONE).cast("long").alias("_rate")).groupBy(*cell).agg(F.sum("_rate").alias("_sum"))
-    classes = sums.groupBy("sid", "_class").agg(F.sum("_sum").alias("_all"))
-    ahead = Window.partitionBy("sid").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.select("sid", "_class", F.coalesce(F.sum("_all").over(ahead), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("sid", "_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn("_in", F.coalesce(F.sum("_sum").over(inside), F.lit(0))).join(classes, ["sid", "_class"]).select(*cell, (F.col("_base") + F.col("_in")).alias("_offset"))
+    sums = rated.groupBy(*cell).agg(F.sum("rate").alias("sum"))
+    classes = sums.groupBy("sid", "class").agg(F.sum("sum").alias("all"))
+    ahead = Window.partitionBy("sid").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.select("sid", "class", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("sid", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("in", F.coalesce(F.sum("sum").over(inside), F.lit(0))).join(classes, ["sid", "class"]).select(*cell, (F.col("base") + F.col("in")).alias("offset"))
 
 
 def repeat_copies(docs: DataFrame) -> DataFrame:
-    """Pipeline form: every row as often as the mix takes it; columns unchanged."""
-    columns = docs.columns
-    mixed = mix(docs, columns)
-    return mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*columns)
+    """Pipeline form: every row as often as the mix takes it; columns unchanged, whatever their names."""
+    mixed = _mixed(docs, docs.columns).where(F.col("_copies") > 0)
+    return mixed.select("_kept", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_kept.*")
