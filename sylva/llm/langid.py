@@ -8,7 +8,8 @@ for that language's false-positive rate.
 Defined cases: NULL text, empty text and text without a letter are ``und`` with score 0; a text whose n-grams are in no
 filter gets the language with most training documents and score 0; ties go to the language with more training
 documents, then by code point; with nothing to learn from, every row is ``und``. Repeated rows are scored alike. Extra
-columns pass through untouched.
+columns pass through, but for columns called lang_pred, score or held_out, which ``identify`` replaces;
+``keep_identified`` keeps columns of any name.
 """
 
 from __future__ import annotations
@@ -195,9 +196,8 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, max_docs: int = 3000, top: int = 8000) -> DataFrame:
     """``docs`` with lang_pred, score and held_out; filters learnt from the rows that aren't held out."""
     filters = fit(docs.where(~held_out(F.col("doc_id"))), max_docs, top)
-    return docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("_lid", predict(filters, F.col("text"))).withColumns(
-        {"lang_pred": F.col("_lid.lang_pred"), "score": F.col("_lid.score")}
-    ).drop("_lid")
+    others = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    return docs.select(*others, held_out(F.col("doc_id")).alias("held_out"), predict(filters, F.col("text")).alias("score")).select(*others, "held_out", "score.lang_pred", "score.score")
 
 
 #: Documents whose best language explains less than this share of their n-grams are rejected.
@@ -207,4 +207,5 @@ MIN_SCORE = 0.2
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Pipeline form: the rows with a determined language; columns unchanged."""
     filters = fit(docs.where(~held_out(F.col("doc_id"))))
-    return docs.withColumn("_lid", predict(filters, F.col("text"))).where((F.col("_lid.lang_pred") != UNDETERMINED) & (F.col("_lid.score") >= min_score)).drop("_lid")
+    judged = docs.select(F.struct(*docs.columns).alias("doc"), predict(filters, F.col("text")).alias("found"))
+    return judged.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= min_score)).select("doc.*")
