@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, join_counted, spool
+from .common import by_ids, join_counted, release, spool
 
 WORDS = 4
 PERCENT = 85
@@ -177,9 +177,13 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return findable(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "row", "print", "text").mapInPandas(sign, "doc_id string, row long, print long, n int, key long, head array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _found_by() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("row"), F.xxhash64("text").alias("print")]
+
+
 def findable(docs: DataFrame) -> DataFrame:
     """(doc_id, row, print, text): row and print tell rows with different texts apart, even if ids are NULL or repeat."""
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("row"), F.xxhash64("text").alias("print"), "text")
+    return docs.select("doc_id", *_found_by(), "text")
 
 
 def heavy_tokens(heads: DataFrame) -> np.ndarray:
@@ -277,14 +281,17 @@ def connect(links: DataFrame) -> DataFrame:
     """(key, label) of every node of ``links`` (a, b): the smallest key of its component."""
     edges = spool(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
     labels = spool(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("key"), "label"), "labels")
+    held = labels
     while True:
         near = edges.join(labels, edges["v"] == labels["key"]).groupBy("u").agg(F.min("label").alias("near"))
         better = labels.join(near, labels["key"] == near["u"]).select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = better.join(labels.select(F.col("key").alias("label"), F.col("label").alias("far")), "label", "left")
         after = spool(jump.select("key", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        release(held)
         if after.where(F.col("old") != F.col("label")).isEmpty():
+            release(edges)
             return after.select("key", "label")
-        labels = after.select("key", "label")
+        held, labels = after, after.select("key", "label")
 
 
 def prefixes_of(docs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -391,6 +398,7 @@ def link_members(docs: DataFrame, nodes: DataFrame, members: DataFrame, sketches
         ends = close.select(F.col("a").alias("key")).unionByName(close.select(F.col("b").alias("key"))).distinct()
         texts = spool(texts_of(docs, spool(nodes.join(ends, "key", "left_semi"), "named")).dropDuplicates(["key"]), "texts")
         found = spool(verify(close, texts, percent), "links")
+        release(texts, close, lists, now)
         links = found if links is None else links.unionByName(found)
         labels = connect(links)
         if last:
@@ -398,32 +406,52 @@ def link_members(docs: DataFrame, nodes: DataFrame, members: DataFrame, sketches
     return labels
 
 
-def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+def placed(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, print, n, key) of every row of ``docs`` (doc_id, text), and (key, copies, component_id, label, row,
+    print) of each distinct set: its component's smallest doc_id, the component's own name, and a row that has the set."""
     signed = spool(signatures(docs, percent), "signed")
     nodes = spool(signed.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "print")).alias("at")).select("key", "first", "copies", "at.row", "at.print"), "nodes")
     heads = by_ids(signed.where(F.col("n") > 5).select("key", "row", "print", "n", "head"), nodes.select("row", "print"), ["row", "print"], "left_semi").dropDuplicates(["key"])
     prefixes = spool(prefixes_of(docs, heads, percent), "prefixes")
     found = postings(prefixes, boundary(prefixes, percent), percent)
     shared = spool(distinct_lists(found), "shared")
-    members = spool(join_counted(found, shared, ["signature"], "members"), "members")
-    weights = members.groupBy("key").agg(F.sum("members").alias("weight"))  # a set that shares much with many is a good hub
-    members = spool(members.drop("members").join(weights, "key"), "weighted")
+    held = spool(join_counted(found, shared, ["signature"], "members"), "members")
+    release(prefixes, shared)
+    weights = held.groupBy("key").agg(F.sum("members").alias("weight"))  # a set that shares much with many is a good hub
+    members = spool(held.drop("members").join(weights, "key"), "weighted")
     reps = by_ids(signed.select("key", "n", "row", "print", "sketch"), nodes.select("row", "print"), ["row", "print"], "left_semi")
     sketches = spool(reps.select("key", "n", "sketch").join(weights.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sketches")
+    release(held)
     labels = link_members(docs, nodes, members, sketches, percent)
-    ids = nodes.select("key", "copies", F.col("first").alias("component_id"))
+    release(members, sketches)
+    ids = nodes.select("key", "copies", F.col("first").alias("component_id"), F.col("key").alias("label"), "row", "print")
     if labels is not None:
         merged = nodes.join(labels, "key")
-        merged = merged.select("key", "label").join(merged.groupBy("label").agg(F.min("first").alias("least")), "label").select("key", "least")
-        ids = spool(ids.join(merged, "key", "left").withColumn("component_id", F.coalesce("least", "component_id")).drop("least"), "ids")
-    rows = signed.select("doc_id", "n", "key")
-    out = join_counted(rows.where(F.col("n") > 0), ids, ["key"], "copies").select("doc_id", "n", "component_id")
+        merged = merged.select("key", F.col("label").alias("named")).join(merged.groupBy(F.col("label").alias("named")).agg(F.min("first").alias("least")), "named")
+        ids = spool(ids.join(merged, "key", "left").withColumns({"component_id": F.when(F.col("named").isNull(), F.col("component_id")).otherwise(F.col("least")), "label": F.coalesce("named", "label")}).drop("least", "named"), "ids")
+    return signed.select("doc_id", "row", "print", "n", "key"), ids
+
+
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    rows, ids = placed(docs, percent)
+    out = join_counted(rows.where(F.col("n") > 0).select("doc_id", "n", "key"), ids.select("key", "copies", "component_id"), ["key"], "copies").select("doc_id", "n", "component_id")
     alone = rows.where(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pipeline form: of each component the rows with its smallest doc_id, and rows without words; columns unchanged."""
-    dropped = spool(components(docs.select("doc_id", "text"), percent).where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "dropped")
-    return by_ids(docs, dropped, "doc_id", "left_anti")
+    """Pipeline form, columns unchanged: of each component exactly one row stays, that with the smallest doc_id, NULL last,
+    then by a hash of the text, then by its other columns; rows without words all stay."""
+    rows, ids = placed(docs.select("doc_id", "text"), percent)
+    keepers = spool(ids.groupBy("label").agg(F.min(F.struct("row", "print")).alias("at")).select("at.row", "at.print"), "keepers")
+    some = rows.where(F.col("n") > 0).groupBy("row", "print").agg(F.count(F.lit(1)).alias("times"))
+    marked = some.join(keepers.withColumn("stays", F.lit(True)), ["row", "print"], "left")
+    dropped = spool(marked.where("stays IS NULL").select("row", "print"), "dropped")
+    repeated = spool(marked.where("stays AND times > 1").select("row", "print"), "repeated")
+    named = docs.select(F.struct(*docs.columns).alias("_doc"), *_found_by())
+    kept = by_ids(named, dropped, ["row", "print"], "left_anti")
+    if not repeated.isEmpty():
+        once = by_ids(kept, repeated, ["row", "print"], "left_semi").groupBy("row", "print").agg(F.min("_doc").alias("_doc"))
+        kept = by_ids(kept, repeated, ["row", "print"], "left_anti").select("_doc").unionByName(once.select("_doc"))
+    return kept.select("_doc.*")

@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sylva.llm import common
 from sylva.llm import ngram_join as nj
 
 
@@ -121,3 +123,25 @@ def test_sketches_bound_the_difference():
         d = nj.least_difference(nj.parity_sketch(a), nj.parity_sketch(b))
         assert d <= len(a) + len(b) - 2 * both and d == nj.least_difference(nj.parity_sketch(b), nj.parity_sketch(a))
     assert nj.least_difference(nj.parity_sketch(a), nj.parity_sketch(a)) == 0
+
+
+def test_keep_one_drops_only_copies(spark):
+    """One row of each group, whatever its ids; a row that shares its id with a dropped copy stays."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    near = lambda i: " ".join(base[: 80 - i])
+    rows = [(1, near(0), "a"), (5, near(1), "a"), (5, "a text that has nothing to do with the others", "a"), (1, near(0), "b"), (None, near(2), "a"), (None, near(2), "a")]
+    rows += [(None, "nobody knows this", "a"), (None, "nobody knows this", "b"), (7, None, "a"), (7, None, "a"), (8, "", "a"), (9, "two words", "z"), (10, "Two  words", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string").withColumn("row", F.lit(3)).withColumn("print", F.lit("p"))
+    got = Counter((r["doc_id"], r["text"], r["label"]) for r in nj.keep_one(df).collect())
+    assert got == Counter([rows[0], rows[2], rows[6], rows[8], rows[9], rows[10], rows[11]])
+    assert nj.keep_one(df).columns == df.columns and nj.keep_one(df.where("false")).count() == 0
+
+
+def test_shuffled_ways(spark, monkeypatch):
+    """The same results when nothing may be broadcast whole."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join([*base[: 59 - i % 3], f"v{i % 7}"])) for i in range(70)] + [(100 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(40)]
+    check(spark, rows)
