@@ -12,9 +12,9 @@ from sylva.functions.paths import path_key
 _LISTED = {"path": "path", "length": "size", "modificationTime": "mtime"}
 
 
-def _listing(spark: SparkSession, paths: list[str], recursive: bool) -> DataFrame:
+def _listing(spark: SparkSession, paths: list[str], recursive: bool, glob: str = "*") -> DataFrame:
     """binaryFile rows without content: the column is pruned, so no file is opened."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true").option("pathGlobFilter", glob)
     listed = read.load(paths).select(*[F.col(k).alias(v) for k, v in _LISTED.items()])
     return listed.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
 
@@ -23,53 +23,101 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def scan_inventory(spark: SparkSession, roots: list[str], policy: str = "unix") -> DataFrame:
-    """Workspace rows of all files below the roots. Exclusion and pruning are filters on the result (operators.scope);
-    on object stores or trees of 10**7 files and more, read an inventory table instead (``read_inventory``)."""
-    listed = _listing(spark, roots, True)
-    return listed.select("path", path_key(F.col("path"), policy).alias("path_key"), "size", "mtime", F.lit(False).alias("filtered"))
-
-
-def scan_single_files(spark: SparkSession, paths: list[str], policy: str = "unix") -> DataFrame:
-    """Workspace rows of single files; a missing file or a directory in its place gives no row."""
-    fs = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
+def _present(spark: SparkSession, paths: list[str], files_only: bool = False) -> list[str]:
+    """The paths that exist. What is there but can't be read is an error of the listing, not an absence."""
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     there = []
     for p in paths:
         at = fs.Path(p)
         store = at.getFileSystem(conf)
-        if store.exists(at) and store.getFileStatus(at).isFile():
+        if store.exists(at) and not (files_only and not store.getFileStatus(at).isFile()):
             there.append(p)
-    return scan_inventory(spark, there, policy) if there else empty(spark, schemas.WORKSPACE)
+    return there
+
+
+def scan_inventory(spark: SparkSession, roots: list[str], policy: str = "unix", excluded: list[str] = (), glob: str | None = None) -> DataFrame:
+    """Workspace rows of all files below the roots; a root that doesn't exist is zero files. Children of a root that are
+    in ``excluded`` aren't listed at all, deeper exclusions are filters on the result (operators.scope); ``glob`` restricts
+    file names. On object stores or trees of 10**7 files and more, read an inventory table (``read_inventory``)."""
+    roots = [x for r in _present(spark, roots) for x in _without(spark, r, excluded)]
+    if not roots:
+        return empty(spark, schemas.WORKSPACE)
+    listed = _listing(spark, roots, True) if glob is None else _listing(spark, roots, True, glob)
+    return listed.select("path", path_key(F.col("path"), policy).alias("path_key"), "size", "mtime", F.lit(False).alias("filtered"))
+
+
+def _without(spark: SparkSession, root: str, excluded: list[str]) -> list[str]:
+    """``root``, or its children without those that are excluded, if one is."""
+    skip = {x.rstrip("/") for x in excluded}
+    if root.rstrip("/") in skip:
+        return []
+    if not any(x.rsplit("/", 1)[0] == root.rstrip("/") for x in skip):
+        return [root]
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    children = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return [p for c in children if (p := f"{root.rstrip('/')}/{c.getPath().getName()}") not in skip]
+
+
+def scan_single_files(spark: SparkSession, paths: list[str], policy: str = "unix") -> DataFrame:
+    """Workspace rows of single files; a missing file or a directory in its place gives no row."""
+    return scan_inventory(spark, _present(spark, paths, files_only=True), policy)
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.WORKSPACE).parquet(path)
 
 
-def read_content(spark: SparkSession, roots: list[str], pending: DataFrame) -> DataFrame:
-    """(path, content) of the files in ``pending`` (path) only: semi-joined by path, so others' bytes go nowhere."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(roots)
-    files = read.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
-    return files.join(pending.select("path").distinct(), "path", "left_semi")
+#: Up to so many files are read by their own paths; more by one listing of the roots, of which only theirs are kept.
+READ_PATHS = 10_000
+
+
+def read_content(spark: SparkSession, roots: list[str], pending: DataFrame, most: int = READ_PATHS) -> DataFrame:
+    """(path, content) of the files in ``pending`` (path) only. A short list is loaded path by path, so no other file is
+    opened; with more, every file below the roots is read and those not asked for are dropped in the scan's own stage."""
+    wanted = pending.select("path").distinct()
+    few = wanted.limit(most + 1).collect()
+    read = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
+    if len(few) <= most:
+        load = _present(spark, [r["path"] for r in few])
+        if not load:
+            return empty(spark, "path string, content binary")
+        return read.load(load).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    files = read.option("recursiveFileLookup", "true").load(roots).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    return files.join(wanted, "path", "left_semi")
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(time, name) of the complete versions of a cache, oldest first: a directory counts once its _SUCCESS is there."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    root = fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return []
+    done = [(c.getPath(), fs.Path(c.getPath(), "_SUCCESS")) for c in store.listStatus(root) if c.isDirectory()]
+    return sorted((store.getFileStatus(mark).getModificationTime(), p.getName()) for p, mark in done if store.exists(mark))
 
 
 def load_digest_cache(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
-    """(cache, warning): the current version of the cache; an unreadable cache is a warning and an empty table."""
+    """(cache, warning): the newest complete version; an unreadable cache is a warning and an empty table."""
     try:
-        version = spark.read.text(f"{path}/CURRENT").first()[0]
-        return spark.read.schema(schemas.DIGEST_CACHE).parquet(f"{path}/{version}"), None
-    except (AnalysisException, TypeError) as e:
+        versions = _versions(spark, path)
+        if not versions:
+            return empty(spark, schemas.DIGEST_CACHE), f"digest cache not readable, starting empty: no complete version in {path}"
+        return spark.read.schema(schemas.DIGEST_CACHE).parquet(f"{path}/{versions[-1][1]}"), None
+    except AnalysisException as e:
         return empty(spark, schemas.DIGEST_CACHE), f"digest cache not readable, starting empty: {str(e)[:200]}"
 
 
-def save_digest_cache(cache: DataFrame, path: str, version: str, dirty: bool = True) -> bool:
-    """Write a new version directory, then point CURRENT at it; a failed write leaves the old version in use. Nothing is
-    written if nothing is new."""
+def save_digest_cache(cache: DataFrame, path: str, version: str, dirty: bool = True, keep: int = 2) -> bool:
+    """Write a version directory of its own; it is published by its _SUCCESS file, which Spark writes last, so a failed write
+    leaves the version before in use. All but the newest ``keep`` complete versions go. Nothing is written if nothing is new."""
     if not dirty:
         return False
-    cache.select("path_key", "size", "mtime", "digest").write.mode("errorifexists").parquet(f"{path}/{version}")
-    cache.sparkSession.range(1).select(F.lit(version).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
+    spark = cache.sparkSession
+    cache.select("path_key", "size", "mtime", "digest").write.mode("overwrite").parquet(f"{path}/{version}")
+    for _, old in _versions(spark, path)[:-keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return True
 
 

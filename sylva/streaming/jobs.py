@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,16 +70,13 @@ def trusted_runs(log: DataFrame, timeout: str = "10 minutes") -> DataFrame:
 
 def maintain_digest_cache(fingerprints: DataFrame, path: str, checkpoint: str, interval: str = "60 seconds"):
     """Writer that merges each micro-batch of (path_key, size, mtime, digest) into the cache at ``path`` and publishes a new
-    version. Bound a batch with maxFilesPerTrigger on the source; a batch that is replayed writes the same version again
-    under the same name and is skipped if it is there already."""
+    version. Bound a batch with maxFilesPerTrigger on the source. Merging a batch again changes nothing, so a batch that is
+    replayed after a crash is merged into the newest complete version under a name of its own; a half-written version is
+    never read."""
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        version = f"v{batch_id:010d}"
         current, _ = load_digest_cache(batch.sparkSession, path)
-        held = current.inputFiles() if hasattr(current, "inputFiles") else []
-        if any(f"/{version}/" in f for f in held):
-            return
         if not batch.isEmpty():
-            save_digest_cache(merge_digest_cache(current, batch), path, version)
+            save_digest_cache(merge_digest_cache(current, batch), path, f"v{batch_id:010d}-{uuid.uuid4().hex[:12]}")
 
     return fingerprints.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(processingTime=interval)
