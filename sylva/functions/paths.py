@@ -87,7 +87,7 @@ def is_under(path: Column, directory: Column, sep: str = "/") -> Column:
 def ancestors(c: Column, sep: str = "/") -> Column:
     """All proper ancestor directories and the path itself, from the root down: what turns containment into equality."""
     parts = F.split(c, r"\\" if sep == "\\" else "/")
-    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), sep))
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.call_function("substring_index", c, F.lit(sep), i))
     return F.transform(heads, lambda p, i: F.when((i == 0) & ((p == "") | p.rlike("^[A-Za-z]:$")), F.concat(p, F.lit(sep))).otherwise(p))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sylva.functions.digests import unchanged_since_sync
 from sylva.functions.messages import percent_skipped, split_positions
 from sylva.functions.paths import ancestors, client_syntax, parent_dir
+from sylva.operators.containment import small
 
 
 def class_counts(plan: DataFrame) -> DataFrame:
@@ -28,15 +29,22 @@ def summarize(plan: DataFrame, conflicts: DataFrame, mode: str, ok: bool = True,
 
 def inventory_totals(inventory: DataFrame, sep: str = "/") -> DataFrame:
     """One row (files, bytes, dirs): directories that hold a file or a directory of one."""
-    dirs = inventory.select(F.explode(ancestors(parent_dir(F.col("path_key"), sep), sep)).alias("d")).distinct().agg(F.count(F.lit(1)).alias("dirs"))
-    return inventory.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).crossJoin(dirs)
+    per = _by_parent(inventory, sep)
+    dirs = per.select(F.explode(ancestors(F.col("up"), sep)).alias("d")).distinct().agg(F.count(F.lit(1)).alias("dirs"))
+    return per.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).crossJoin(dirs)
+
+
+def _by_parent(inventory: DataFrame, sep: str) -> DataFrame:
+    """(up, files, bytes) of each directory that holds a file: paths are reduced before any is exploded."""
+    return inventory.groupBy(parent_dir(F.col("path_key"), sep).alias("up")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
 def inventory_totals_by_entry(inventory: DataFrame, entries: DataFrame, sep: str = "/") -> DataFrame:
     """(key, files, bytes) of each directory entry and of all (key NULL)."""
-    up = inventory.select("size", F.explode(ancestors(F.col("path_key"), sep)).alias("key"))
-    per = up.join(entries.where("kind = 'dir'").select("key").distinct(), "key")
-    return per.groupBy("key").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).unionByName(inventory.agg(F.lit(None).cast("string").alias("key"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")))
+    own = _by_parent(inventory, sep)
+    up = own.select("files", "bytes", F.explode(ancestors(F.col("up"), sep)).alias("key"))
+    per = up.join(small(entries.where("kind = 'dir'").select("key").distinct()), "key").groupBy("key").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    return per.unionByName(own.agg(F.lit(None).cast("string").alias("key"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")))
 
 
 def timestamp_stats(pending: DataFrame, have: DataFrame) -> DataFrame:

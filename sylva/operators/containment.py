@@ -1,8 +1,9 @@
 """Containment joins: directories and the files below them.
 
-A prefix join would compare every path with every directory. Here a path is exploded into its ancestors, and containment
-becomes equality on a directory key, which hashes, shuffles and broadcasts like any other equi-join. A path has as many
-ancestors as components, whatever the number of directories.
+A prefix join would compare every path with every directory. Here containment is equality on a directory key, which
+hashes, shuffles and broadcasts like any other equi-join. Where entries cover paths, the entries lie at a handful of
+depths, and a path has one prefix at each: a broadcast lookup a depth, so paths aren't multiplied and don't move. Where
+all directories of a path are asked for, it is exploded into its ancestors, after paths were reduced to their directories.
 """
 
 from __future__ import annotations
@@ -23,12 +24,23 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def covered(df: DataFrame, entries: DataFrame, key: str, sep: str = "/") -> DataFrame:
-    """Distinct values of ``key`` that an entry (kind, key) covers: a dir itself and all below it, a file exactly."""
-    paths = df.select(F.col(key).alias("_path")).distinct()
-    up = paths.select("_path", F.explode(ancestors(F.col("_path"), sep)).alias("_at")).withColumn("_self", F.col("_at") == F.col("_path"))
-    marks = small(entries.select(F.col("key").alias("_at"), "kind").distinct())
-    return up.join(marks, "_at").where((F.col("kind") == "dir") | F.col("_self")).select("_path").distinct()
+def _parts(c: Column, sep: str) -> Column:
+    """Number of components of an entry's key; 0 of a root, which ends with the separator."""
+    return F.when(F.endswith(c, F.lit(sep)), F.lit(0)).otherwise(F.size(F.split(c, r"\\" if sep == "\\" else "/")))
+
+
+def mark_covered(df: DataFrame, entries: DataFrame, key: str, mark: str, sep: str = "/") -> DataFrame:
+    """``df`` with boolean ``mark``: an entry (kind, key) covers the path in column ``key``: a dir itself and all below it,
+    a file exactly. A NULL path isn't covered."""
+    known = entries.select("kind", F.col("key").alias("_at"), _parts(F.col("key"), sep).alias("_n")).distinct()
+    depths = sorted((r["kind"] == "dir", r["_n"]) for r in known.select("kind", "_n").distinct().collect())  # at most the depth of a path
+    found = F.lit(False)
+    for i, (is_dir, n) in enumerate(sorted({(d, n if d else 0) for d, n in depths})):
+        at = known.where(f"kind = 'dir' AND _n = {n}" if is_dir else "kind <> 'dir'").select(F.col("_at").alias(f"_at{i}")).distinct().withColumn(f"_hit{i}", F.lit(True))
+        head = F.col(key) if not is_dir else F.substring_index(F.col(key), sep, n) if n else F.concat(F.substring_index(F.col(key), sep, 1), F.lit(sep))
+        df = df.join(small(at), head == F.col(f"_at{i}"), "left").drop(f"_at{i}")
+        found = found | F.coalesce(F.col(f"_hit{i}"), F.lit(False))
+    return df.withColumn(mark, found).drop(*[f"_hit{i}" for i in range(len(depths))])
 
 
 def covers(path: Column, entries: list[tuple[str, str]], sep: str = "/") -> Column:
@@ -52,7 +64,7 @@ def keep_covered(df: DataFrame, entries: DataFrame, key: str, sep: str = "/") ->
     few = _literal(entries)
     if few is not None:
         return df.where(covers(F.col(key), few, sep))
-    return df.join(covered(df, entries, key, sep).withColumnRenamed("_path", key), key, "left_semi")
+    return mark_covered(df, entries, key, "_covered", sep).where("_covered").drop("_covered")
 
 
 def drop_covered(df: DataFrame, entries: DataFrame, key: str, sep: str = "/") -> DataFrame:
@@ -60,7 +72,7 @@ def drop_covered(df: DataFrame, entries: DataFrame, key: str, sep: str = "/") ->
     few = _literal(entries)
     if few is not None:
         return df.where(~F.coalesce(covers(F.col(key), few, sep), F.lit(False)))
-    return df.join(covered(df, entries, key, sep).withColumnRenamed("_path", key), key, "left_anti")
+    return mark_covered(df, entries, key, "_covered", sep).where("NOT _covered").drop("_covered")
 
 
 def scope_filter(df: DataFrame, scope: DataFrame, key: str, sep: str = "/") -> DataFrame:
@@ -75,9 +87,8 @@ def scope_exclude(df: DataFrame, scope: DataFrame, key: str, sep: str = "/") ->
 
 def in_scope(df: DataFrame, scope: DataFrame, key: str, sep: str = "/") -> DataFrame:
     """``df`` with boolean in_scope: covered by an include and by no exclude."""
-    inside = covered(df, scope.where("role = 'include'"), key, sep)
-    inside = inside.join(covered(df, scope.where("role <> 'include'"), key, sep), "_path", "left_anti").select(F.col("_path").alias(key), F.lit(True).alias("_in"))
-    return df.join(inside, key, "left").withColumn("in_scope", F.coalesce("_in", F.lit(False))).drop("_in")
+    df = mark_covered(df, scope.where("role = 'include'"), key, "_in", sep)
+    return mark_covered(df, scope.where("role <> 'include'"), key, "_out", sep).withColumn("in_scope", F.col("_in") & ~F.col("_out")).drop("_in", "_out")
 
 
 def prune_dirs(df: DataFrame, pruned: DataFrame, key: str, sep: str = "/") -> DataFrame:
@@ -87,7 +98,7 @@ def prune_dirs(df: DataFrame, pruned: DataFrame, key: str, sep: str = "/") -> Da
 
 def tracked_pruned_dirs(pruned: DataFrame, depot: DataFrame, sep: str = "/") -> DataFrame:
     """Pruned directories that hold tracked files; they must not be pruned after all."""
-    held = depot.select(F.explode(ancestors(F.col("client_key"), sep)).alias("dir_key")).distinct()
+    held = depot.select(parent_dir(F.col("client_key"), sep).alias("up")).distinct().select(F.explode(ancestors(F.col("up"), sep)).alias("dir_key")).distinct()
     return pruned.join(held, "dir_key", "left_semi")
 
 
@@ -106,7 +117,8 @@ def list_directories(inventory: DataFrame, root: str, ignore_name: str = ".p4ign
     name = F.element_at(F.split("path_key", r"\\" if sep == "\\" else "/"), -1)
     name, wanted = (F.lower(name), ignore_name.lower()) if fold else (name, ignore_name)
     base = root.rstrip(sep)
-    at = inventory.where(F.startswith("path_key", F.lit(base + sep))).select(F.explode(ancestors(parent, sep)).alias("dir_key"), parent.alias("own"), (name == wanted).alias("ignore_file"))
+    own = inventory.where(F.startswith("path_key", F.lit(base + sep))).groupBy(parent.alias("own")).agg(F.bool_or(name == wanted).alias("ignore_file"))
+    at = own.select(F.explode(ancestors(F.col("own"), sep)).alias("dir_key"), "own", "ignore_file")
     at = at.where(F.length("dir_key") > len(base) + (1 if not base else 0))
     level = F.size(F.split(F.substr("dir_key", F.lit(len(base) + 2)), r"\\" if sep == "\\" else "/"))
     return at.groupBy("dir_key").agg(F.first(level).alias("depth"), F.bool_or(F.col("ignore_file") & (F.col("own") == F.col("dir_key"))).alias("ignore_here")).select("dir_key", "depth", (F.col("ignore_here") & (F.col("depth") >= 1)).alias("nested_ignore"))
@@ -120,6 +132,12 @@ def unmatched_entries(scope: DataFrame, depot: DataFrame, inventory: DataFrame,
     return scope.where("role = 'include'").join(hit, ["key", "kind"], "left_anti")
 
 
+def missing_roots(scope: DataFrame, inventory: DataFrame, sep: str = "/") -> DataFrame:
+    """Include entries of kind dir with no file below: they are zero local files and no error, and the store's side counts."""
+    held = inventory.select(parent_dir(F.col("path_key"), sep).alias("up")).distinct().select(F.explode(ancestors(F.col("up"), sep)).alias("key")).distinct()
+    return scope.where("role = 'include' AND kind = 'dir'").join(held, "key", "left_anti")
+
+
 def scope_matched(scope: DataFrame, unmatched: DataFrame) -> DataFrame:
     """One row: how many include entries matched something."""
     n = scope.where("role = 'include'").agg(F.count(F.lit(1)).alias("n"))

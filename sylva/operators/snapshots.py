@@ -33,6 +33,14 @@ def mark_winners(depot: DataFrame) -> DataFrame:
     return depot.withColumn("winner", F.row_number().over(order) == 1)
 
 
+def resolve_restore(files: DataFrame, depot: DataFrame) -> DataFrame:
+    """``files`` (client_key, ...) with depot_file and have_rev of the record that the path stands for, and error: what has
+    no record or was never synced can't be restored; refuse the run on any."""
+    record = pick_winner(depot).select("client_key", "depot_file", "have_rev")
+    error = F.when(F.col("depot_file").isNull(), "no record").when(F.col("have_rev").isNull(), "never synced")
+    return files.join(record, "client_key", "left").withColumn("error", error)
+
+
 def snapshot_as_of(revisions: DataFrame, change: int | None = None) -> DataFrame:
     """Target rows (depot_file, rev, action): of each exact path its latest revision up to a change; None: the head.
     Revisions without number or action don't count."""

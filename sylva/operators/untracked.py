@@ -15,9 +15,13 @@ def untracked_candidates(workspace: DataFrame, depot: DataFrame, scope_file_key:
     return rows if scope_file_key is None else rows.where(F.col("path_key") != scope_file_key)
 
 
-def map_paths(paths: DataFrame, view_map: DataFrame) -> DataFrame:
-    """``paths`` with depot_file (NULL without mapping) and unmapped (NULL without record)."""
-    return paths.join(view_map.select("path_key", "depot_file", "unmapped"), "path_key", "left")
+def map_paths(paths: DataFrame, view_map: DataFrame, strict: bool = False) -> DataFrame:
+    """``paths`` with depot_file (NULL without mapping) and unmapped (NULL without record); strict: a path without record
+    refuses the run."""
+    at = paths.join(view_map.select("path_key", "depot_file", "unmapped"), "path_key", "left")
+    if strict:
+        refuse_if_any(at.where("unmapped IS NULL"), "no_mapping", F.col("path_key"))
+    return at
 
 
 def cross_check(mapped: DataFrame, depot: DataFrame) -> DataFrame:

@@ -12,23 +12,28 @@ from pyspark.sql import functions as F
 
 from sylva.functions.digests import digest, missing_fields, unchanged_since_sync
 from sylva.functions.kinds import DELETED, action_for, digest_type, is_deleted_action, is_live_action
-from sylva.operators.snapshots import mark_winners, pick_winner
+from sylva.operators.snapshots import mark_winners
 
 ADDING = ("add", "move/add", "branch")
 _OUT = ["class", "pending", "side", "error"]
 
 
-def _case(*rules: tuple[Column, dict[str, str | Column]]) -> dict[str, Column]:
-    """Columns class, pending, side and error from ordered (condition, outcome) rules; the first that holds decides."""
+def _decided(rows: DataFrame, *rules: tuple[Column, dict[str, str | Column]]) -> DataFrame:
+    """``rows`` with class, pending, side and error from ordered (condition, outcome) rules; the first that holds decides.
+
+    One CASE gives the rule's number, from which the outcomes are read, so conditions are in the plan once."""
+    number = None
+    for i, (when, _) in enumerate(rules):
+        number = F.when(when, F.lit(i)) if number is None else number.when(when, F.lit(i))
     out = {}
     for name in _OUT:
-        column = None
-        for when, outcome in rules:
-            value = outcome.get(name)
-            value = value if isinstance(value, Column) else F.lit(value).cast("string")
-            column = F.when(when, value) if column is None else column.when(when, value)
+        values = [outcome.get(name) for _, outcome in rules]
+        column = F.get(F.array(*[F.lit(None if isinstance(v, Column) else v).cast("string") for v in values]), F.col("_rule"))
+        for i, v in enumerate(values):
+            if isinstance(v, Column):
+                column = F.when(F.col("_rule") == i, v).otherwise(column)
         out[name] = column
-    return out
+    return rows.withColumn("_rule", number).withColumns(out).drop("_rule")
 
 
 def _is(c: Column) -> Column:
@@ -46,8 +51,9 @@ def depot_pass(depot: DataFrame, workspace: DataFrame) -> DataFrame:
     missing = F.concat(F.lit("rule 1: "), missing_fields(c("head_type"), c("file_size")))
     no_digest = digest_type(c("head_type")).isNull()
     deleting = _is(c("action").isin(*DELETED))
-    return at.withColumns(
-        _case(
+    return _decided(
+        at,
+        *(
             (c("unsupported_type").isNotNull(), {"side": "handoff"}),
             (is_deleted_action(c("head_action")), {}),
             (_is(c("head_action") == "archive"), {"side": "archived"}),
@@ -59,8 +65,8 @@ def depot_pass(depot: DataFrame, workspace: DataFrame) -> DataFrame:
             (live & deleting, {}),
             (live & ~on_disk & _is(c("action").isin("edit", "integrate")), {"class": "reopen_delete"}),
             (live & ~on_disk & c("action").isNull(), {"class": "delete"}),
-            (live & ~on_disk, {"error": F.concat(F.lit("rule 2: opened for "), c("action"))}),
-            (live, {}),
+            (live & (c("action").isNull() | c("action").isin("edit", "integrate")), {}),
+            (live, {"error": F.concat(F.lit("rule 2: opened for "), c("action"))}),
             (c("head_action").isNull() & _is(c("action").isin(*ADDING)) & ~visible, {"class": "revert_add"}),
             (c("head_action").isNull() & _is(c("action").isin(*ADDING)), {}),
             (c("head_action").isNull(), {"error": F.concat(F.lit("rule 3: no head and opened for "), F.coalesce(c("action"), F.lit("nothing")))}),
@@ -78,8 +84,9 @@ def workspace_pass(workspace: DataFrame, winners: DataFrame) -> DataFrame:
     known = c("head_type").isNotNull() & c("file_size").isNotNull()
     differs = known & (c("head_type") == "binary") & (c("file_size") != c("disk_size"))
     deleted = is_deleted_action(c("head_action"))
-    return at.withColumns(
-        _case(
+    return _decided(
+        at,
+        *(
             (c("known").isNull(), {"class": "add"}),
             (c("unsupported_type").isNotNull(), {}),
             (no_type, {"side": "handoff"}),
@@ -106,9 +113,9 @@ _ROW = ["seq", "depot_file", "client_file", "client_key", "head_type", "head_rev
 def classify_open(depot: DataFrame, workspace: DataFrame) -> DataFrame:
     """Classified rows of the open decision table. A record and a file can each report; one row a (file, outcome) stays,
     and it carries the facts of the record that the path stands for."""
-    winners = pick_winner(depot)
-    first = depot_pass(mark_winners(depot), workspace).where(F.coalesce(*[F.col(x) for x in _OUT]).isNotNull())
-    second = workspace_pass(workspace, winners).where(F.coalesce(*[F.col(x) for x in _OUT]).isNotNull())
+    marked = mark_winners(depot)
+    first = depot_pass(marked, workspace).where(F.coalesce(*[F.col(x) for x in _OUT]).isNotNull())
+    second = workspace_pass(workspace, marked.where("winner").drop("winner")).where(F.coalesce(*[F.col(x) for x in _OUT]).isNotNull())
     second = second.withColumn("client_file", F.coalesce("client_file", "local")).withColumn("winner", F.lit(True))
     both = first.select(*_ROW, "winner").unionByName(second.select(*_ROW, "winner"))
     keys = ["client_key", *_OUT]
@@ -163,8 +170,9 @@ def classify_sync(depot: DataFrame, workspace: DataFrame, target: DataFrame) ->
     on_disk = c("local").isNotNull()
     gone = c("target_rev").isNull() | is_deleted_action(c("target_action"))
     known = c("head_type").isNotNull() & c("file_size").isNotNull()
-    out = at.withColumns(
-        _case(
+    out = _decided(
+        at,
+        *(
             (c("action").isNotNull(), {}),
             (~c("winner"), {}),
             (c("unsupported_type").isNotNull(), {"side": "handoff"}),

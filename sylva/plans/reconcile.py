@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sylva import schemas
 from sylva.functions.paths import path_key, separator
-from sylva.operators import audit, containment, feed, guards, snapshots, untracked
+from sylva.operators import audit, containment, feed, guards, ignore, snapshots, untracked
 from sylva.operators.guards import PlanRefused, refuse_errors, refuse_if_any
 from sylva.plans import classify
 
@@ -33,6 +33,7 @@ class Tables:
     content: DataFrame | None = None
     feed: DataFrame | None = None
     opened: DataFrame | None = None
+    pruned: DataFrame | None = None
 
 
 @dataclass
@@ -81,7 +82,11 @@ def reconcile(
 
     open: what brings the store up to date. clean: what brings the disk back to what was synced. sync with force: what
     brings the disk to the head or to a change; without force: the store's own preview, scope-checked. Refusals raise
-    PlanRefused before anything is returned."""
+    PlanRefused before anything is returned.
+
+    Ignore verdicts: open and clean take a file with a positive verdict as ignored, and what lies below a directory in
+    ``pruned`` as absent unless the store tracks it. A forced sync doesn't look at them until it deletes: then every
+    file to delete needs exactly one verdict, or the run is refused, and those that a verdict covers are left alone."""
     _check_options(mode, force, delete_untracked, as_of, verify_all, run_excludes)
     sep = separator(policy)
     depot = snapshots.dedupe_records(tables.depot, scope_entries)
@@ -90,9 +95,12 @@ def reconcile(
     else:
         target = snapshots.head_target(depot)
     workspace = tables.workspace
+    matched = _match_scope(tables.scope, depot, workspace, sep)
     if tables.scope is not None:
         depot = containment.scope_exclude(containment.scope_filter(depot, tables.scope, "client_key", sep), tables.scope, "client_key", sep)
         workspace = containment.scope_exclude(containment.scope_filter(workspace, tables.scope, "path_key", sep), tables.scope, "path_key", sep)
+    if mode != "sync":
+        workspace = _without_ignored(workspace, depot, tables, sep)
     if mode == "sync" and not force:
         return _normal_sync(spark, tables, target, policy, applied)
     if tables.revisions is not None:
@@ -100,33 +108,31 @@ def reconcile(
     rows = classify.classify_sync(depot, workspace, target) if mode == "sync" else classify.classify_open(depot, workspace)
     if mode == "sync":
         guards.empty_target_guard(target, depot)
-    rows = rows.persist()
-    try:
-        refuse_errors(rows, "classification")
-        side = {s: classify.side_report(rows, s) for s in ("unsynced", "archived", "handoff")}
-        if mode == "sync":
-            _sync_guards(rows, depot, target, tables.verdicts)
-        done = rows if mode != "clean" else classify.project_clean(rows)
-        have, cache = _or_empty(spark, tables.have, schemas.HAVE), _or_empty(spark, tables.digest_cache, schemas.DIGEST_CACHE)
-        computed = tables.digests
-        if computed is None and tables.content is not None:
-            todo = classify.needs_content(done.where("pending IS NOT NULL"), have, cache, verify_all).where("NOT unchanged AND found IS NULL")
-            computed = classify.fresh_digests(todo, tables.content)
-        pending_as = "pending" if mode != "clean" else None
-        done = _resolve(done, have, cache, _or_empty(spark, computed, "client_key string, computed string"), verify_all, pending_as)
-        refuse_errors(done, "digests")
-        if mode == "open" and native_parity:
-            done = classify.native_parity(done)
-        if mode == "open" and tables.view_map is not None:
-            done = classify.map_new_paths(done, tables.view_map)
-            refuse_errors(done, "no_mapping")
-        plan = classify.to_plan(done, mode, applied, force)
-        if delete_untracked:
-            plan = plan.unionByName(_untracked(tables, workspace, depot, scope_file, policy, applied))
-        conflicts = spark.createDataFrame([], schemas.CONFLICTS)
-        return PlanResult(plan, conflicts, side, audit.summarize(plan, conflicts, mode, applied=applied, force=force))
-    finally:
-        rows.unpersist()
+    rows = rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows.persist()  # guards, plan and reports read it
+    refuse_errors(rows, "classification")
+    if mode == "sync":
+        rows = _sync_guards(rows, depot, target, tables.verdicts)
+    side = {s: classify.side_report(rows, s) for s in ("unsynced", "archived", "handoff")}
+    done = rows if mode != "clean" else classify.project_clean(rows)
+    have, cache = _or_empty(spark, tables.have, schemas.HAVE), _or_empty(spark, tables.digest_cache, schemas.DIGEST_CACHE)
+    computed = tables.digests
+    if computed is None and tables.content is not None:
+        todo = classify.needs_content(done.where("pending IS NOT NULL"), have, cache, verify_all).where("NOT unchanged AND found IS NULL")
+        computed = classify.fresh_digests(todo, tables.content)
+    pending_as = "pending" if mode != "clean" else None
+    done = _resolve(done, have, cache, _or_empty(spark, computed, "client_key string, computed string"), verify_all, pending_as)
+    refuse_errors(done, "digests")
+    if mode == "open" and native_parity:
+        done = classify.native_parity(done)
+    if mode == "open" and tables.view_map is not None:
+        done = classify.map_new_paths(done, tables.view_map)
+        refuse_errors(done, "no_mapping")
+    plan = classify.to_plan(done, mode, applied, force)
+    if delete_untracked:
+        plan = plan.unionByName(_untracked(tables, workspace, depot, scope_file, policy, applied))
+    conflicts = spark.createDataFrame([], schemas.CONFLICTS)
+    side |= {"unmatched": matched[1], **({"timestamps": audit.timestamp_stats(rows.where("pending IS NOT NULL"), have), "risks": audit.risk_counts(rows, workspace)} if mode == "sync" else {})}
+    return PlanResult(plan, conflicts, side, audit.summarize(plan, conflicts, mode, scope_matched=matched[0], unmatched=matched[2], applied=applied, force=force))
 
 
 def _resolve(rows: DataFrame, have: DataFrame, cache: DataFrame, computed: DataFrame, verify_all: bool, open_words: str | None) -> DataFrame:
@@ -135,15 +141,39 @@ def _resolve(rows: DataFrame, have: DataFrame, cache: DataFrame, computed: DataF
     return done if open_words else done.withColumn("class", F.when(F.col("class") == "edit", "revert").otherwise(F.col("class")))
 
 
-def _sync_guards(rows: DataFrame, depot: DataFrame, target: DataFrame, verdicts: DataFrame | None) -> None:
+def _match_scope(scope: DataFrame | None, depot: DataFrame, workspace: DataFrame, sep: str) -> tuple[int | None, DataFrame | None, int]:
+    """(matched include entries, those that match nothing, their number); refused if there are entries and all miss."""
+    if scope is None:
+        return None, None, 0
+    missed = containment.unmatched_entries(scope, depot, workspace, sep).select("kind", "path", "key")
+    n, unmatched = scope.where("role = 'include'").count(), missed.count()
+    if n and n == unmatched:
+        refuse_if_any(missed, "no_entry_matched", F.col("path"))
+    return n - unmatched, missed, unmatched
+
+
+def _without_ignored(workspace: DataFrame, depot: DataFrame, tables: Tables, sep: str) -> DataFrame:
+    """``workspace`` without what lies in pruned directories that hold no tracked file, and with filtered set by verdicts."""
+    if tables.pruned is not None:
+        held = containment.tracked_pruned_dirs(tables.pruned, depot, sep)
+        workspace = containment.prune_dirs(workspace, tables.pruned.join(held, "dir_key", "left_anti"), "path_key", sep)
+    if tables.verdicts is None:
+        return workspace
+    before = workspace.select("path_key", F.col("filtered").alias("_before")).where("_before")  # what is marked already stays so
+    judged = ignore.apply_file_ignores(workspace, tables.verdicts).join(before, "path_key", "left")
+    return judged.withColumn("filtered", F.col("filtered") | F.coalesce("_before", F.lit(False))).select(*workspace.columns)
+
+
+def _sync_guards(rows: DataFrame, depot: DataFrame, target: DataFrame, verdicts: DataFrame | None) -> DataFrame:
+    """``rows`` less the deletions that an ignore verdict covers; a deletion without exactly one verdict refuses the run."""
     counts = guards.first_download_counts(rows, depot).first()
     if counts["refuse"]:
         raise PlanRefused("first_download", [], counts["never_synced"])
     doomed = rows.where(F.col("class") == "delete")
-    if verdicts is not None:
-        _, unjudged = guards.protect_deletes(doomed, verdicts)
-        refuse_if_any(unjudged, "verdict_completeness", F.col("client_file"))
-    refuse_if_any(guards.case_conflicts(doomed, depot, target), "case_conflict", F.col("depot_file"))
+    safe, unjudged = guards.protect_deletes(doomed, _or_empty(rows.sparkSession, verdicts, schemas.IGNORE_VERDICTS))
+    refuse_if_any(unjudged, "verdict_completeness", F.col("client_file"))
+    refuse_if_any(guards.case_conflicts(safe, depot, target), "case_conflict", F.col("depot_file"))
+    return rows.where(~F.coalesce(F.col("class") == "delete", F.lit(False))).unionByName(safe)
 
 
 def _untracked(tables: Tables, workspace: DataFrame, depot: DataFrame, scope_file: str | None, policy: str, applied: bool) -> DataFrame:

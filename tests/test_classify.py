@@ -74,7 +74,8 @@ OPEN = [
     ({"head_type": None, "file_size": None}, CHANGED, set()),
     ({"head_type": "apple"}, CHANGED, {"handoff"}),
     ({"action": "branch"}, None, {"rule 2"}),
-    ({"action": "branch"}, FILE, {"rule 7"}),
+    ({"action": "branch"}, FILE, {"rule 2", "rule 7"}),
+    ({"action": "branch"}, HIDDEN, {"rule 2"}),
     ({"head_action": None, "head_rev": None, "have_rev": None, "action": "add"}, None, {"revert_add"}),
     ({"head_action": None, "head_rev": None, "have_rev": None, "action": "move/add"}, HIDDEN, {"revert_add"}),
     ({"head_action": None, "head_rev": None, "have_rev": None, "action": "add"}, FILE, set()),
