@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from sylva import fixtures
 from sylva.functions import digests, kinds, messages, paths
-from sylva.operators import audit, batching, containment, feed, guards, ignore, snapshots, untracked
+from sylva.operators import audit, batching, containment, feed, guards, ignore, scope, snapshots, untracked
 from sylva.plans import classify
+from sylva.plans.reconcile import PlanResult, Tables, reconcile
 from sylva.sources import inventory, records, sinks
 
 TABLES = ("documents", "orders", "lineitem", "events", "pages", "customer")
@@ -684,7 +685,7 @@ def batch_ids(s: Snapshots) -> DataFrame:
 
 @query()
 def pack_batches(s: Snapshots) -> DataFrame:
-    """Fewest batches: a reset sum, which SQL can't say; tests compare with a loop."""
+    """Fewest batches: a reset sum, in SQL a recursion over each shard."""
     return batching.pack_batches(s.view("depot").select("seq", F.col("depot_file").alias("spec")), 2000, 50, 8)
 
 
@@ -694,3 +695,260 @@ def scope_documents(s: Snapshots) -> DataFrame:
     k = F.col("c_custkey")
     text = F.when(k % 8 == 0, F.lit('{"include": [{"dir": "a"}], "include": []}')).when(k % 4 == 0, F.concat(F.lit('{"include": [{"dir": "../'), k.cast("string"), F.lit('"}]}'))).otherwise(F.concat(F.lit('{"include": [{"dir": "src//'), k.cast("string"), F.lit('/./x"}], "exclude": [{"file": "a.txt"}]}')))
     return records.read_scope_documents(s.table("customer").select(k.alias("doc_id"), F.encode(text, "UTF-8").alias("content")))
+
+
+# ---- whole runs -------------------------------------------------------------------------------------------------------
+
+
+def _run(s: Snapshots, mode: str = "open", **options) -> PlanResult:
+    tables = {k: options.pop(k) for k in ("verdicts", "scope", "revisions", "view_map", "workspace") if k in options}
+    return reconcile(s.spark, Tables(**({"depot": s.depot, "workspace": s.workspace, "have": s.view("have"), "digests": s.computed} | tables)), mode, **options)
+
+
+def _judged(s: Snapshots) -> DataFrame:
+    """A verdict for every document."""
+    return s.table("documents").select(F.expr(fixtures.P).alias("path"), (F.col("doc_id") % 5 == 0).alias("ignored"), F.lit("rule").alias("source"))
+
+
+def _plan_of(result: PlanResult, *columns: str) -> DataFrame:
+    return result.plan.where("class <> 'handoff'").select(*columns)
+
+
+_register_sync(
+    "sync_protected_plan",
+    "SELECT substr(outcome, 7) AS class, client_file, target_rev AS rev FROM sync WHERE outcome LIKE 'class %' AND (outcome <> 'class delete' OR seq % 5 <> 0)",
+    lambda s: _plan_of(_run(s, "sync", force=True, verdicts=_judged(s)), "class", "client_file", "rev"),
+    "heads AS (SELECT depot_file, head_rev AS rev, head_action AS action FROM fx_depot WHERE head_rev IS NOT NULL AND head_action IS NOT NULL),\n" + _SYNC.replace("fx_target", "heads"),
+)
+
+_HISTORY = """SELECT depot_file, head_rev AS rev, CASE WHEN seq % 4 = 0 THEN 90 ELSE 10 END AS change, head_action AS action, raw_type, file_size, digest FROM fx_depot WHERE head_rev IS NOT NULL
+UNION ALL SELECT depot_file, have_rev, 5, 'edit', raw_type, file_size, digest FROM fx_depot WHERE head_rev IS NOT NULL AND have_rev <> head_rev"""
+
+
+def _as_of(s: Snapshots) -> DataFrame:
+    head, unsupported = kinds.parse_file_type(F.col("raw_type"))
+    history = s.sql(["fx_depot"], _HISTORY).withColumns({"head_type": head, "unsupported_type": unsupported}).drop("raw_type")
+    return _plan_of(_run(s, "sync", force=True, as_of=50, revisions=history, verdicts=_judged(s)), "class", "client_file", "rev")
+
+
+_register_sync(
+    "sync_as_of_plan",
+    "SELECT substr(outcome, 7) AS class, client_file, target_rev AS rev FROM sync WHERE outcome LIKE 'class %' AND (outcome <> 'class delete' OR seq % 5 <> 0)",
+    _as_of,
+    f"history AS ({_HISTORY}),\npast AS (SELECT depot_file, max(rev) AS rev, arg_max(action, rev) AS action FROM history WHERE change <= 50 GROUP BY depot_file),\n" + _SYNC.replace("fx_target", "past"),
+)
+
+_IGNORING = "seen AS (SELECT w.path, path_key, size, mtime_s, filtered OR coalesce(ignored, false) AS filtered, digest FROM fx_workspace w LEFT JOIN fx_verdicts v ON v.path = w.path),\n" + _OPEN.replace("fx_workspace", "seen")
+QUERIES["open_filtered_plan"] = lambda spark, sf_dir: _plan_of(_run(s := Snapshots(spark, sf_dir), verdicts=s.view("verdicts").withColumn("source", F.lit("rule"))), "class", "client_file")
+ORACLE_SQL["open_filtered_plan"] = fixtures.with_views([*_SNAPSHOT, "fx_verdicts"], "").rstrip() + ",\n" + _IGNORING + "\nSELECT class, client_file FROM decided WHERE class IS NOT NULL"
+
+_COVERED = "(({0} LIKE '/ws/src1/%' OR {0} LIKE '/ws/src2/en/%' OR {0} = '/ws/src3/en/d3.txt') AND {0} NOT LIKE '/ws/src1/fr/%')"
+_SCOPED = f"part AS (SELECT * FROM fx_depot WHERE {_COVERED.format('client_key')}), seen AS (SELECT * FROM fx_workspace WHERE {_COVERED.format('path_key')}),\n" + _OPEN.replace("fx_workspace", "seen").replace("fx_depot", "part")
+
+
+def _scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Snapshots(spark, sf_dir)
+    return _run(s, scope=s.view("scope")).summary.select("total", F.coalesce(F.col("counts")["add"], F.lit(0)).alias("n_add"), "scopeMatched", "unmatched")
+
+
+QUERIES["scope_summary"] = _scope_summary
+ORACLE_SQL["scope_summary"] = (
+    fixtures.with_views([*_SNAPSHOT, "fx_scope"], "").rstrip() + ",\n" + _SCOPED
+    + ", missed AS (SELECT count(*) AS n FROM fx_scope WHERE role = 'include' AND NOT EXISTS (SELECT 1 FROM (SELECT client_key AS p FROM fx_depot UNION ALL SELECT path_key FROM fx_workspace) s WHERE p = key OR (kind = 'dir' AND p LIKE key || '/%')))\n"
+    + 'SELECT count(*) AS total, count(CASE WHEN class = \'add\' THEN 1 END) AS n_add, 4 - (SELECT n FROM missed) AS "scopeMatched", (SELECT n FROM missed) AS unmatched FROM decided WHERE class IS NOT NULL'
+)
+
+# ---- columns, guards and lines ----------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, 'C:\Ws\' || source || '\' || lang || '\d' || doc_id || '.txt' AS windows, '/ws/' || lang || '/d' || doc_id AS relative, '/ws/' || source AS dir, '/ws/' || source AS bare, doc_id % 2 = 0 AS under FROM documents")
+def path_forms(s: Snapshots) -> DataFrame:
+    n, lit = F.col("doc_id").cast("string"), F.lit
+    top = F.concat(lit("/ws/"), "source")
+    return s.table("documents").select(
+        "doc_id",
+        paths.canonical_path(F.concat(lit("c:/Ws/"), "source", lit("/./x/../"), "lang", lit("\\d"), n, lit(".txt")), "C:\\base", "windows").alias("windows"),
+        paths.canonical_path(F.concat("source", lit("/../"), "lang", lit("//d"), n), "/ws").alias("relative"),
+        paths.directory_key(F.concat(top, lit("///"))).alias("dir"),
+        paths.strip_recursive_suffix(F.concat(top, lit("/.../..."))).alias("bare"),
+        paths.is_under(F.concat(top, F.when(F.col("doc_id") % 2 == 0, "/a").otherwise("x/a")), top).alias("under"),
+    )
+
+
+_KIND = "CASE doc_id % 5 WHEN 0 THEN 'binary' WHEN 1 THEN 'text' WHEN 2 THEN 'utf8' WHEN 3 THEN 'symlink' ELSE 'apple' END"
+
+
+@query(f"SELECT doc_id, {_KIND} AS kind, CASE doc_id % 5 WHEN 0 THEN md5(text) WHEN 1 THEN md5(replace(text, chr(13) || chr(10), chr(10))) WHEN 2 THEN md5(replace(text, chr(13) || chr(10), chr(10))) WHEN 3 THEN md5(replace(text, chr(92), '/') || chr(10)) END AS digest FROM documents")
+def digest_files(s: Snapshots) -> DataFrame:
+    """The bytes of every document as a file of one type or another; links are given by their target."""
+    kind, raw = F.expr(_KIND), F.encode("text", "UTF-8")
+    return s.table("documents").select("doc_id", kind.alias("kind"), digests.digest(raw, kind, F.when(kind == "symlink", F.col("text"))).alias("digest"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '^[\x00-\x7F]*$') AS safe, CASE WHEN regexp_matches(text, '^[\x00-\x7F]*$') THEN true ELSE text = upper(text) END AS same FROM documents")
+def ascii_texts(s: Snapshots) -> DataFrame:
+    return s.table("documents").select("doc_id", paths.ascii_safe(F.col("text")).alias("safe"), paths.case_equal_ascii(F.col("text"), F.upper("text")).alias("same"))
+
+
+@query("SELECT doc_id, text, 'd' || doc_id AS line FROM documents")
+def text_trims(s: Snapshots) -> DataFrame:
+    ends = F.get(F.array(*map(F.lit, ("\r\n", "\n", "\r", ""))), F.pmod("doc_id", F.lit(4)).cast("int"))
+    marked = digests.strip_bom(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")), "utf8")
+    return s.table("documents").select("doc_id", F.decode(marked, "UTF-8").alias("text"), digests.trim_line_ending(F.concat(F.lit("d"), F.col("doc_id").cast("string"), ends)).alias("line"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'missing head type, file size' WHEN doc_id % 2 = 0 THEN 'missing head type' WHEN doc_id % 3 = 0 THEN 'missing file size' END AS missing FROM documents")
+def missing_fields(s: Snapshots) -> DataFrame:
+    unless = lambda n, value: F.when(F.col("doc_id") % n != 0, value)
+    return s.table("documents").select("doc_id", digests.missing_fields(unless(2, F.lit("text")), unless(3, F.length("text"))).alias("missing"))
+
+
+@query(f"SELECT {fixtures.P} AS path FROM documents WHERE doc_id % 4 = 0")
+def refused_adds(s: Snapshots) -> DataFrame:
+    d = s.table("documents").select("doc_id", F.expr(fixtures.P).alias("path"), F.expr(fixtures.D).alias("depot_file"))
+    lines = d.select(F.concat(F.when(F.col("doc_id") % 4 == 0, F.col("path")).otherwise(F.col("depot_file")), F.lit(messages.REFUSED_ADD_SUFFIX)).alias("value"))
+    return ignore.refused_adds(lines, d)
+
+
+@query("SELECT count(*) > 0 AS prune FROM documents WHERE doc_id % 50 = 0")
+def prune_gate(s: Snapshots) -> DataFrame:
+    s.table("documents").createOrReplaceTempView("documents")
+    lines = s.spark.sql(_RULES).where("value <> '#WHAT' AND value NOT LIKE '%!keep'")
+    return ignore.prune_gate(ignore.ignore_rule_summary(lines), containment.list_directories(s.view("wide"), "/ws"), ".p4ignore")
+
+
+@query("SELECT DISTINCT CASE WHEN source = 'src1' THEN '/ws/src1' ELSE '/ws/' || source || '/fr' END AS dir_key FROM documents WHERE source = 'src1' OR lang = 'fr'")
+def prunable_dirs(s: Snapshots) -> DataFrame:
+    """src1 and all fr directories are ignored with their probes; of src2 only the directory itself."""
+    d = s.table("documents")
+    tops = d.select(F.concat(F.lit("/ws/"), "source").alias("dir_key"), "source", F.lit("").alias("lang"))
+    dirs = tops.unionByName(d.select(F.concat(F.lit("/ws/"), "source", F.lit("/"), "lang").alias("dir_key"), "source", "lang")).distinct()
+    probed = (F.col("source") == "src1") | (F.col("lang") == "fr")
+    asked = dirs.select(F.col("dir_key").alias("path"), (probed | (F.col("source") == "src2")).alias("ignored")).unionByName(dirs.select(F.concat("dir_key", F.lit("/__probe__")).alias("path"), probed.alias("ignored")))
+    return ignore.prunable_dirs(dirs, asked)
+
+
+@query("SELECT count(CASE WHEN source = 'src5' THEN 1 END) AS degraded, '/elsewhere/' || min(CASE WHEN source = 'src5' THEN doc_id END) AS example FROM documents")
+def degraded_paths(s: Snapshots) -> DataFrame:
+    path = F.when(F.col("source") == "src5", F.concat(F.lit("/elsewhere/"), F.col("doc_id").cast("string"))).otherwise(F.expr(fixtures.P))
+    return audit.degraded_paths(s.table("documents").select(F.col("doc_id").alias("seq"), path.alias("path")), "/ws", "cl")
+
+
+_SIDES = "(SELECT client_key AS p FROM fx_depot UNION ALL SELECT path_key FROM fx_workspace)"
+
+
+@query(f"SELECT count(*) AS scope_matched FROM fx_scope WHERE role = 'include' AND EXISTS (SELECT 1 FROM {_SIDES} s WHERE p = key OR (kind = 'dir' AND p LIKE key || '/%'))", ("fx_scope", "fx_depot", "fx_workspace"))
+def scope_matched(s: Snapshots) -> DataFrame:
+    scope = s.view("scope")
+    return containment.scope_matched(scope, containment.unmatched_entries(scope, s.depot, s.workspace))
+
+
+@query("SELECT '/ws/' || source || '/' || lang AS key FROM documents GROUP BY source, lang HAVING max(doc_id % 11) = 0 UNION SELECT '/ws/away/' || (doc_id % 7) FROM documents", ())
+def missing_roots(s: Snapshots) -> DataFrame:
+    """Directories all of whose documents are absent from disk, and some that nobody has."""
+    d = s.table("documents")
+    keys = d.select(F.concat(F.lit("/ws/"), "source", F.lit("/"), "lang").alias("key")).union(d.select(F.concat(F.lit("/ws/away/"), (F.col("doc_id") % 7).cast("string")))).distinct()
+    dirs = keys.select(F.lit("include").alias("role"), F.lit("dir").alias("kind"), F.col("key").alias("path"), "key")
+    return containment.missing_roots(dirs, s.workspace).select("key")
+
+
+@query("SELECT w.path AS client_file, d.depot_file, d.have_rev, CASE WHEN d.seq IS NULL THEN 'no record' WHEN d.have_rev IS NULL THEN 'never synced' END AS error FROM fx_workspace w LEFT JOIN fx_depot d ON d.client_key = w.path_key", ("fx_workspace", "fx_depot"))
+def resolve_restore(s: Snapshots) -> DataFrame:
+    return snapshots.resolve_restore(s.workspace.select(F.col("path").alias("client_file"), F.col("path_key").alias("client_key")), s.depot).select("client_file", "depot_file", "have_rev", "error")
+
+
+@query("SELECT 'e' || min(event_id) AS error, count(*) AS errors FROM events WHERE event_id % 4 = 1")
+def first_error(s: Snapshots) -> DataFrame:
+    return guards.first_error(s.table("events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error")))
+
+
+@query("SELECT count(*) AS total, (SELECT string_agg(depot_file, ',' ORDER BY depot_file) FROM (SELECT depot_file FROM fx_depot ORDER BY depot_file LIMIT 10) t) AS first FROM fx_depot", ("fx_depot",))
+def guard_samples(s: Snapshots) -> DataFrame:
+    return guards.samples(s.depot, F.col("depot_file")).select("total", F.array_join("samples", ",").alias("first"))
+
+
+@query("SELECT seq, depot_file FROM fx_depot", ("fx_depot",))
+def dedupe_candidates(s: Snapshots) -> DataFrame:
+    rows = s.depot.select("seq", "depot_file", F.lit("update").alias("class"), F.col("head_rev").alias("rev"), "client_file")
+    return snapshots.dedupe_candidates(rows.unionByName(rows.withColumn("seq", F.col("seq") + 10**7))).select("seq", "depot_file")
+
+
+@query("SELECT 'include' AS role, 'dir' AS kind, key FROM (SELECT DISTINCT '/ws/' || source AS key FROM documents) i UNION ALL SELECT 'exclude', 'dir', key FROM (SELECT DISTINCT '/ws/' || source || '/fr' AS key FROM documents WHERE lang = 'fr') e UNION ALL SELECT 'implicit', 'file', '/ws/.scope.json'")
+def built_scope(s: Snapshots) -> DataFrame:
+    """The sources as include entries of a document, their languages as targets too deep for it, French ones excluded."""
+    d = s.table("documents")
+    entry = lambda role, c: [F.lit(role).alias("role"), F.lit("dir").alias("kind"), c.alias("path")]
+    below = F.concat("source", F.lit("/./"), "lang")
+    config = d.select(*entry("include", F.col("source"))).union(d.select(*entry("include", below))).union(d.where("lang = 'fr'").select(*entry("exclude", below))).distinct()
+    built = scope.build_scope(s.spark, "/ws", config, True, scope_file=".scope.json")
+    return scope.sorted_scope(built).select("role", "kind", "key")
+
+
+@query("SELECT DISTINCT '/ws/' || source || '/' || lang AS key FROM documents WHERE source = 'src5' AND lang <> 'fr'")
+def dropped_targets(s: Snapshots) -> DataFrame:
+    d = s.table("documents")
+    entry = lambda c: [F.lit("dir").alias("kind"), c.alias("path"), c.alias("key")]
+    below = F.concat(F.lit("/ws/"), "source", F.lit("/"), "lang")
+    part = lambda df, c: df.select(*entry(c)).distinct()
+    return containment.dropped_targets(part(d, below), part(d.where("source <> 'src5'"), F.concat(F.lit("/ws/"), "source")), part(d.where("lang = 'fr'"), below)).select("key")
+
+
+@query("SELECT path_key AS key FROM fx_view_map WHERE NOT unmapped AND depot_file IS NOT NULL", ("fx_view_map",))
+def translated_targets(s: Snapshots) -> DataFrame:
+    targets = s.table("documents").select(F.expr(fixtures.D).alias("depot_file"), F.lit("file").alias("kind"))
+    return untracked.translate_depot_paths(targets, s.view("view_map")).select("key")
+
+
+@query("SELECT path, true AS ignored FROM fx_verdicts WHERE ignored AND path IN (SELECT path FROM fx_workspace) UNION ALL SELECT path, false FROM fx_workspace WHERE path NOT IN (SELECT path FROM fx_verdicts)", ("fx_verdicts", "fx_workspace"))
+def ignored_paths(s: Snapshots) -> DataFrame:
+    """Ignored files, and those that a strict run refuses to judge."""
+    ignored, unjudged = ignore.ignored_paths(s.workspace, s.view("verdicts"), strict=True)
+    return ignored.withColumn("ignored", F.lit(True)).unionByName(unjudged.withColumn("ignored", F.lit(False)))
+
+
+@query("SELECT path_key, CASE WHEN depot_file IS NULL THEN 'unmapped' END AS refused FROM fx_view_map WHERE path_key IN (SELECT path_key FROM fx_workspace)", ("fx_view_map", "fx_workspace"))
+def mapped_paths(s: Snapshots) -> DataFrame:
+    held = s.workspace.join(s.view("view_map").select("path_key"), "path_key", "left_semi")
+    return untracked.map_paths(held, s.view("view_map")).select("path_key", F.when(F.col("depot_file").isNull(), "unmapped").alias("refused"))
+
+
+@query(f"SELECT CASE WHEN seq % 2 = 0 THEN 'update_modified' ELSE 'delete_modified' END AS reason, CASE WHEN seq % 2 = 0 THEN 'not updated' ELSE 'not deleted' END AS action, \"depotFile\" AS file, rev FROM ({_FEED}) t WHERE seq % 7 = 1")
+def conflict_lines(s: Snapshots) -> DataFrame:
+    rows = feed.notices(_feed(s))[0].withColumns({"stage": F.lit(None).cast("string"), "applied": F.lit(False)})
+    at = lambda name: F.get_json_object("value", f"$.{name}")
+    return sinks.conflict_lines(rows).select(at("reason").alias("reason"), at("action").alias("action"), at("depotFile").alias("file"), at("rev").alias("rev"))
+
+
+@query(f"SELECT kind AS type, path FROM fx_scope WHERE role = 'include' AND NOT EXISTS (SELECT 1 FROM {_SIDES} s WHERE p = key OR (kind = 'dir' AND p LIKE key || '/%'))", ("fx_scope", "fx_depot", "fx_workspace"))
+def unmatched_lines(s: Snapshots) -> DataFrame:
+    lines = sinks.unmatched_lines(containment.unmatched_entries(s.view("scope"), s.depot, s.workspace))
+    return lines.select(F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.path").alias("path"))
+
+
+_register_open(
+    "handoff_lines",
+    "SELECT 'handoff' AS class, 'reconcile' AS action, client_file AS file FROM decided WHERE side = 'handoff'",
+    lambda s: sinks.handoff_lines(classify.to_plan(open_rows(s), "open")).select(F.get_json_object("value", "$.class").alias("class"), F.get_json_object("value", "$.action").alias("action"), F.get_json_object("value", "$.clientFile").alias("file")),
+)
+
+
+@query(f"SELECT doc_id AS seq, CASE doc_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'edit' ELSE 'edit' END AS class, {fixtures.D} AS depot_file, CASE WHEN doc_id % 3 <> 0 THEN 1 + doc_id % 5 END AS rev FROM documents WHERE doc_id % 8 <> 0")
+def native_reconcile_rows(s: Snapshots) -> DataFrame:
+    k = F.col("doc_id")
+    action = F.when(k % 3 == 0, "add").when(k % 3 == 1, "edit").otherwise("move/add")
+    value = F.to_json(F.struct(action.alias("action"), F.expr(fixtures.D).alias("depotFile"), F.when(k % 8 != 0, F.expr(fixtures.P)).alias("clientFile"), (1 + k % 5).cast("string").alias("workRev")))
+    return records.parse_native_reconcile(s.table("documents").select(k.alias("seq"), value.alias("value"))).select("seq", "class", "depot_file", "rev")
+
+
+@query("SELECT path_key FROM fx_workspace", ("fx_workspace",))
+def sorted_inventory(s: Snapshots) -> DataFrame:
+    return snapshots.sorted_inventory(s.workspace).select("path_key")
+
+
+ORACLE_SQL["pack_batches"] = """WITH RECURSIVE """ + fixtures.with_views(["fx_depot"], "")[5:].rstrip() + """,
+sized AS (SELECT seq, depot_file AS spec, strlen(depot_file) + 1 AS n, CAST(floor((seq - lo) / ceil((hi - lo + 1) / 8.0)) AS INTEGER) AS shard FROM fx_depot, (SELECT min(seq) AS lo, max(seq) AS hi FROM fx_depot) t),
+placed AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS r FROM sized),
+packed AS (SELECT seq, spec, shard, r, 0 AS batch, n AS used, 1 AS held FROM placed WHERE r = 1
+  UNION ALL SELECT s.seq, s.spec, s.shard, s.r, p.batch + CASE WHEN p.used + s.n > 2000 OR p.held >= 50 THEN 1 ELSE 0 END, CASE WHEN p.used + s.n > 2000 OR p.held >= 50 THEN s.n ELSE p.used + s.n END,
+    CASE WHEN p.used + s.n > 2000 OR p.held >= 50 THEN 1 ELSE p.held + 1 END FROM packed p JOIN placed s ON s.shard = p.shard AND s.r = p.r + 1)
+SELECT seq, spec, shard, batch FROM packed"""

@@ -63,7 +63,12 @@ def test_forced_sync(spark):
     t = Tables(depot, ws, have, revisions=spark.createDataFrame(rev, schemas.REVISIONS), digests=computed)
     base = {("/w/1", "revert"), ("/w/2", "restore"), ("/w/3", "update")}
     assert classes(reconcile(spark, t, "sync", force=True)) == base
+    with pytest.raises(PlanRefused, match="verdict_completeness"):  # a deletion that nobody judged
+        reconcile(spark, t, "sync", force=True, as_of=50)
+    t.verdicts = spark.createDataFrame([("/w/4", False, "x")], schemas.IGNORE_VERDICTS)
     assert classes(reconcile(spark, t, "sync", force=True, as_of=50)) == base | {("/w/4", "delete")}
+    t.verdicts = t.verdicts.withColumn("ignored", ~F.col("ignored"))
+    assert classes(reconcile(spark, t, "sync", force=True, as_of=50)) == base  # an ignored file isn't deleted
     t.verdicts = spark.createDataFrame([("/w/5", False, "x"), ("/w/6", False, "x")], schemas.IGNORE_VERDICTS)
     t.view_map = spark.createDataFrame([("/w/5", "//d/5", False), ("/w/6", "//d/6", True)], schemas.VIEW_MAP)
     assert classes(reconcile(spark, t, "sync", force=True, delete_untracked=True)) == base | {("/w/5", "untracked")}
@@ -75,6 +80,21 @@ def test_forced_sync(spark):
         reconcile(spark, t, "sync", force=True)
 
 
+def test_ignores_scope_and_pruning_of_a_run(spark, tables):
+    t = Tables(tables.depot, tables.workspace, tables.have, digests=tables.digests)
+    t.verdicts = spark.createDataFrame([("/w/3", True, "x"), ("/w/1", False, "x")], schemas.IGNORE_VERDICTS)
+    assert not any(f == "/w/3" for f, _ in classes(reconcile(spark, t)))
+    t.verdicts, t.pruned = None, spark.createDataFrame([("/w",)], "dir_key string")  # tracked files lie there
+    assert classes(reconcile(spark, t)) == classes(reconcile(spark, tables))
+    t.pruned, t.scope = None, spark.createDataFrame([("include", "file", "/w/1", "/w/1"), ("include", "dir", "/none", "/none")], schemas.SCOPE)
+    got = reconcile(spark, t)
+    assert classes(got) == {("/w/1", "edit")} and [r["path"] for r in got.side["unmatched"].collect()] == ["/none"]
+    assert (got.summary.first()["scopeMatched"], got.summary.first()["unmatched"]) == (1, 1)
+    t.scope = t.scope.where("kind = 'dir'")
+    with pytest.raises(PlanRefused, match="no_entry_matched"):
+        reconcile(spark, t)
+
+
 FEED = [
     (1, "stat", "//d/a", "/w/a", "added", "1", 0, None), (2, "stat", "//d/b", "/w/b", "refreshed", "2", 0, None), (3, "stat", "//d/a", "/w/a", "added", "1", 0, None), (4, "info", None, None, None, None, 1, "//d/c#3 - deleted as /w/c"),
     (5, "info", None, None, None, None, 1, "//d/e#3 - can't update modified file /w/e"), (6, "info", None, None, None, None, 1, "//d/e#3 - can't update modified file /w/e"), (7, "error", None, None, None, None, 2, "up-to-date"),
@@ -112,10 +132,14 @@ def test_files_on_disk(spark, tmp_path):
     root = str(tmp_path / "ws")
     inv = inventory.scan_inventory(spark, [root])
     assert {(os.path.relpath(r["path"], root), r["size"]) for r in inv.collect()} == {("a/b/x.txt", 5), ("a/y.bin", 2), ("skip/z.txt", 1), ("使用.txt", 4)}
+    assert inventory.scan_inventory(spark, [root, f"{root}/nowhere"], excluded=[f"{root}/skip"]).count() == 3
+    assert inventory.scan_inventory(spark, [f"{root}/nowhere"]).isEmpty() and inventory.scan_inventory(spark, [root], glob="*.bin").count() == 1
     single = inventory.scan_single_files(spark, [f"{root}/a/y.bin", f"{root}/none", f"{root}/a"])
     assert [os.path.relpath(r["path"], root) for r in single.collect()] == ["a/y.bin"]
     got = inventory.read_content(spark, [root], inv.where("path LIKE '%x.txt'")).collect()
     assert [bytes(r["content"]) for r in got] == [b"one\r\n"]
+    assert [bytes(r["content"]) for r in inventory.read_content(spark, [root], inv.where("path LIKE '%x.txt'"), most=0).collect()] == [b"one\r\n"]
+    assert inventory.read_content(spark, [root], inv.where("false")).isEmpty()
     cache, warning = inventory.load_digest_cache(spark, f"{tmp_path}/cache")
     assert cache.isEmpty() and "not readable" in warning
     fresh = inv.select("path_key", "size", "mtime", F.lit("d1").alias("digest"))
@@ -269,6 +293,29 @@ def test_cache_stream(spark, tmp_path):
     assert {r["path_key"]: r["digest"] for r in inventory.load_digest_cache(spark, f"{tmp_path}/cache")[0].collect()} == {"a": "1", "b": "2"}
 
 
+def test_cache_versions_after_a_crash(spark, tmp_path):
+    """A half-written version is never read, a batch merged twice changes nothing, and old versions go."""
+    row = lambda k, d: spark.createDataFrame([(k, 1, d)], "path_key string, size long, digest string").select("path_key", "size", F.timestamp_seconds(F.lit(1)).alias("mtime"), "digest")
+    at = f"{tmp_path}/cache"
+    held = lambda: {r["path_key"]: r["digest"] for r in inventory.load_digest_cache(spark, at)[0].collect()}
+    inventory.save_digest_cache(row("a", "1"), at, "v0-x")
+    (tmp_path / "cache" / "v1-y").mkdir()
+    (tmp_path / "cache" / "v1-y" / "part-0.parquet").write_bytes(b"half")
+    assert held() == {"a": "1"}
+    for name in ("v1-z", "v1-again"):
+        inventory.save_digest_cache(inventory.merge_digest_cache(inventory.load_digest_cache(spark, at)[0], row("b", "2")), at, name)
+        assert held() == {"a": "1", "b": "2"}
+    assert not (tmp_path / "cache" / "v0-x").exists()
+
+
+def test_strict_mapping_and_restore(spark):
+    files = spark.createDataFrame([("/w/a",), ("/w/b",)], "path_key string")
+    view = spark.createDataFrame([("/w/a", "//d/a", False)], schemas.VIEW_MAP)
+    with pytest.raises(PlanRefused, match="no_mapping"):
+        untracked.map_paths(files, view, strict=True)
+    assert untracked.map_paths(files, view).count() == 2
+
+
 def _key(v):
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
