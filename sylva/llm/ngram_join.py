@@ -406,12 +406,19 @@ def link_members(docs: DataFrame, nodes: DataFrame, members: DataFrame, sketches
     return labels
 
 
+def one_a_key(rows: DataFrame) -> DataFrame:
+    """One row of each key; only keys of sets that several rows have (NOT once) can be there twice, so only these move."""
+    return rows.where("once").unionByName(rows.where("NOT once").dropDuplicates(["key"]))
+
+
 def placed(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, print, n, key) of every row of ``docs`` (doc_id, text), and (key, copies, component_id, label, row,
     print) of each distinct set: its component's smallest doc_id, the component's own name, and a row that has the set."""
     signed = spool(signatures(docs, percent), "signed")
     nodes = spool(signed.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "print")).alias("at")).select("key", "first", "copies", "at.row", "at.print"), "nodes")
-    heads = by_ids(signed.where(F.col("n") > 5).select("key", "row", "print", "n", "head"), nodes.select("row", "print"), ["row", "print"], "left_semi").dropDuplicates(["key"])
+    at = nodes.select("row", "print", (F.col("copies") == 1).alias("once"))
+    heads = by_ids(signed.where(F.col("n") > 5).select("key", "row", "print", "n", "head"), at, ["row", "print"], "inner")
+    heads = one_a_key(heads).drop("once")
     prefixes = spool(prefixes_of(docs, heads, percent), "prefixes")
     found = postings(prefixes, boundary(prefixes, percent), percent)
     shared = spool(distinct_lists(found), "shared")
@@ -419,8 +426,8 @@ def placed(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     release(prefixes, shared)
     weights = held.groupBy("key").agg(F.sum("members").alias("weight"))  # a set that shares much with many is a good hub
     members = spool(held.drop("members").join(weights, "key"), "weighted")
-    reps = by_ids(signed.select("key", "n", "row", "print", "sketch"), nodes.select("row", "print"), ["row", "print"], "left_semi")
-    sketches = spool(reps.select("key", "n", "sketch").join(weights.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sketches")
+    reps = by_ids(signed.select("key", "n", "row", "print", "sketch"), at, ["row", "print"], "inner").join(weights.select("key"), "key", "left_semi")
+    sketches = spool(one_a_key(reps).select("key", "n", "sketch"), "sketches")
     release(held)
     labels = link_members(docs, nodes, members, sketches, percent)
     release(members, sketches)
