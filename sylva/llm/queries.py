@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, exact_dedup, langid, main_text, mixing, ngram_join, packing, secrets, sharding, toxicity
+from . import chat, decontaminate, divergence, exact_dedup, langid, main_text, mixing, ngram_join, packing, secrets, sharding, toxicity, variants
 from .common import documents, small_batches
 
 
@@ -100,8 +100,13 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return variants.group_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_toxicity, op4_exact_dedup, op5_language_id, op6_ngram_join, op7_main_text, op8_secrets, op9_mixing, op10_chat, op11_divergence, op12_packing)
+    f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_toxicity, op4_exact_dedup, op5_language_id, op6_ngram_join, op7_main_text, op8_secrets, op9_mixing, op10_chat, op11_divergence, op12_packing, op13_variants)
 }
 
 
@@ -153,5 +158,22 @@ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p -
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
   FROM (FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM s WHERE n > 0 AND p > q))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+""",
+    "op13_variants": f"""
+WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{variants.UPPER}', '{variants.LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n, hex(doc_id || ':' || run) AS h FROM d WHERE length(run) >= 7 GROUP BY ALL),
+crc AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(h) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, ({_crc_table()})[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS h FROM u),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM crc),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+near AS (SELECT word, count(*) AS n_near, max(other_n) AS most FROM pairs GROUP BY word),
+best AS (SELECT word, min(encode(other)) AS other, other_n FROM pairs JOIN near USING (word) WHERE other_n = most GROUP BY word, other_n),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN decode(other) END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM words w LEFT JOIN near USING (word) LEFT JOIN best USING (word)),
+chain AS (SELECT word, form AS last FROM forms WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.last = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.last AS root FROM chain c JOIN forms f ON c.last = f.word WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms LEFT JOIN ends USING (word)
 """,
 }
