@@ -5,6 +5,7 @@ targets, with no rate above MOST: ``min(MOST, exp(lambda_s * size / mean_s))``,
 is convex with one multiplier a source (a document is in one source, so the Hessian is diagonal); all multipliers take
 safeguarded Newton steps together, each step one distributed aggregation over the (source, size) histogram, which is
 exact, as a rate depends on nothing else. Multipliers live in a table that is written to the shared folder between steps.
+Every feasible target has a multiplier inside the bracket that the steps start from, so every feasible mix is solved.
 
 Rates become whole copies by systematic rounding along each source ordered by size: a document gets the integers that
 its piece of the running rate sum steps over. Sums are integers (2**-20ths), so reruns agree, and by partial summation a
@@ -30,7 +31,8 @@ from .common import broadcast_rows, release, spool, words_of
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
-STEPS = 80
+#: Rounds at most, and parts into which a round's grid divides a bracket.
+STEPS, POINTS = 40, 12
 TOLERANCE = 1e-9
 BUCKETS = 256
 _ONE = 1 << 20
@@ -65,35 +67,49 @@ def exact_sum(value: Column) -> Column:
 
 
 def solve(sizes: DataFrame, sources: DataFrame, most: int = MOST, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(sid, mean, lam) of the sources: Newton on the dual, kept inside a bracket; full sources get lam = 1e6."""
-    used = sources.where((F.col("target") > 0) & (F.col("source_size") > 0)).withColumn("mean", F.col("source_size") / F.col("n"))
+    """(sid, mean, lam) of the sources: Newton on the dual, kept inside a bracket; full sources get lam = 1e6.
+
+    The bracket comes from the data: with every text at least as long as the shortest one with words, the multiplier that
+    takes that one to the cap takes all, and log(target / source_size) times as much takes no more than the target. A round
+    is one aggregation that tries POINTS multipliers of each source at once: the Newton points of both ends of its bracket
+    and an even grid between them. So a bracket shrinks by the grid in the worst case and quadratically in the usual one."""
+    shortest = sizes.where("size > 0").groupBy("sid").agg(F.min("size").alias("shortest"))
+    used = sources.where((F.col("target") > 0) & (F.col("source_size") > 0)).join(shortest, "sid").withColumn("mean", F.col("source_size") / F.col("n"))
     full = F.col("target") >= F.col("source_size") * most * (1 - 1e-12)
-    state = spool(used.select("sid", "mean", "target", F.when(full, F.lit(1e6)).otherwise(F.lit(0.0)).alias("lam"), F.lit(-1e3).alias("low"), F.lit(1e3).alias("high"), full.alias("done")), "multipliers")
+    step = F.col("mean") / F.col("shortest")
+    low = F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size")) * step * (1 + 1e-9))
+    high = F.when(F.col("target") < F.col("source_size"), F.lit(0.0)).otherwise(F.log(F.lit(float(most))) * step * (1 + 1e-9))
+    none = F.lit(None).cast("double")
+    state = used.select("sid", "mean", "target", F.when(full, F.lit(1e6)).otherwise(F.lit(0.0)).alias("lam"), low.alias("low"), high.alias("high"), full.alias("done"), none.alias("above"), none.alias("below"))
+    state = spool(state, "multipliers")
     for _ in range(steps):
-        at = sizes.join(state.where(~F.col("done")), "sid")
+        inside = lambda x: F.when((x > F.col("low")) & (x < F.col("high")), x)
+        grid = F.transform(F.sequence(F.lit(0), F.lit(POINTS)), lambda k: F.col("low") + (F.col("high") - F.col("low")) * k / POINTS)
+        points = F.array_distinct(F.array_compact(F.concat(grid, F.array(F.col("high"), inside(F.col("above")), inside(F.col("below"))))))
+        tried = sizes.join(state.where(~F.col("done")).select("sid", "mean", "target", F.explode(points).alias("lam")), "sid")
         tilt = rate(F.col("lam"), F.col("size"), F.col("mean"), most)
         words = F.col("n") * F.col("size")
         free = F.when(tilt < most, words * F.col("size") / F.col("mean") * tilt).otherwise(F.lit(0.0))
-        sums = at.groupBy("sid").agg(exact_sum(words * tilt).alias("taken"), exact_sum(free).alias("slope"))
-        gap = F.col("taken") - F.col("target")
-        low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
-        newton = F.col("lam") - gap / F.greatest(F.col("slope"), F.lit(1e-300))
-        bounded = F.greatest(F.col("lam") - 4, F.least(F.col("lam") + 4, newton))
-        middle = F.when((low > -1e3) & (high < 1e3), (low + high) / 2).otherwise(F.col("lam") + F.when(gap < 0, 4.0).otherwise(-4.0))
-        step = F.when((bounded > low) & (bounded < high), bounded).otherwise(middle)
-        near = F.abs(gap) <= F.greatest(F.col("target") * tolerance, F.lit(1e-6))
-        before, state = state, spool(
-            state.join(sums, "sid", "left").select(
-                "sid", "mean", "target", F.when(F.col("done") | near, F.col("lam")).otherwise(step).alias("lam"), low.alias("low"), high.alias("high"), (F.col("done") | near | (high - low < 1e-13)).alias("done")
-            ).withColumns({"low": F.coalesce("low", F.lit(-1e3)), "high": F.coalesce("high", F.lit(1e3))}),
-            "multipliers",
+        sums = tried.groupBy("sid", "target", "lam").agg(exact_sum(words * tilt).alias("taken"), exact_sum(free).alias("slope")).withColumn("gap", F.col("taken") - F.col("target"))
+        newton = F.col("lam") - F.col("gap") / F.when(F.col("slope") > 0, F.col("slope"))
+        under, over = F.when(F.col("gap") <= 0, F.col("lam")), F.when(F.col("gap") >= 0, F.col("lam"))
+        ends = sums.groupBy("sid").agg(
+            F.max(under).alias("new_low"), F.min(over).alias("new_high"), F.max_by(newton, under).alias("new_above"), F.min_by(newton, over).alias("new_below"),
+            F.min(F.struct(F.abs("gap").alias("gap"), "lam")).alias("best"),
+        )
+        near = F.col("best.gap") <= F.greatest(F.col("target") * tolerance, F.lit(1e-6))
+        low, high = F.coalesce("new_low", "low"), F.coalesce("new_high", "high")
+        tight = high - low <= 1e-14 * F.greatest(F.abs(low), F.abs(high), F.lit(1.0))
+        moved = state.join(ends, "sid", "left").select(
+            "sid", "mean", "target", F.coalesce("best.lam", "lam").alias("lam"), low.alias("low"), high.alias("high"), (F.col("done") | near | tight).alias("done"), F.col("new_above").alias("above"), F.col("new_below").alias("below")
         )
+        before, state = state, spool(moved, "multipliers")
         release(before)
         if state.where(~F.col("done")).isEmpty():
             break
     else:
         if not state.where(~F.col("done")).isEmpty():
-            raise RuntimeError(f"the mix didn't converge in {steps} Newton steps")
+            raise RuntimeError(f"the mix didn't converge in {steps} rounds")
     return state.select("sid", "mean", F.round("lam", 10).alias("lam"))
 
 

@@ -198,7 +198,7 @@ def near_pairs(words: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
         bits = np.zeros((end - begin, 8), np.uint64)
         bits[table.column("block").to_numpy() - begin] = np.stack([table.column(c).to_numpy() for c in LANES], axis=1).view(np.uint64)
         edits = edits.unionByName(words.mapInArrow(_probe(filters, spark.sparkContext.broadcast(bits), begin), "word string, n long, edit string"))
-    return edits.join(words.select(F.col("word").alias("edit"), F.col("n").alias("other_n")), "edit").withColumnRenamed("edit", "other")
+    return edits.join(words.select(F.col("word").alias("edit"), F.col("n").alias("other_n")), "edit").select("word", "n", F.col("edit").alias("other"), "other_n")
 
 
 def group_variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, times: int = TIMES, filter_bytes: int = FILTER_BYTES) -> DataFrame:
