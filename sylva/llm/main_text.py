@@ -4,10 +4,15 @@ Every text node has a path of tags (with class) from the root. Text length and p
 divided by its number of texts, smoothed over neighbouring paths in page order, fused by multiplication, and scaled by
 what the path's structure says (article elements for, navigation, adverts, forms, comments and the like against); paths
 from a threshold on (a share of the standard deviation) are content paths. The characters of content paths choose the
-node that holds the main text: the deepest container with most of them, or the article element around it. Of its blocks
-those on content paths stay, and short ones (headings, one-word paragraphs) unless structure or links speak against them.
-A page whose classes say nothing is decided by its ratios alone, and one that is wrapped in a class that speaks against it
-as a whole isn't lost, as ratios only compare.
+node that holds the main text: the deepest container with most of them, or the article element around it.
+
+Inside of it every text node is judged. Those that structure speaks against go and the rest of their block stays. A block
+stays if one of its texts is on a content path. Below the threshold only the short lines that go with content stay: headings,
+paragraphs, list items and cells, if the container around them has content of its own (or is the holder); other boxes below
+the threshold go, inside an article, too. A short line that is mostly link goes, unless it is a heading. A word of a compound class on a line
+element (``related-text`` on a paragraph) is weak evidence, which length and punctuation without links outvote. A page whose
+classes say nothing is decided by its ratios alone, and one that is wrapped in a class that speaks against it as a whole
+isn't lost, as ratios only compare.
 
 One page is one row and its text goes through one call, in time and memory proportional to the page; nothing is shuffled.
 
@@ -45,14 +50,19 @@ SKIP_TAGS = frozenset("aside button canvas dialog footer form head iframe input
 SKIP_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+# Elements that are a line of text each.
+LINE_TAGS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 PUNCTUATION = ".,;:!?…。，、；：！？"
 
 #: Share of the standard deviation of the fused ratios from which a path is content, and weights of the smoothing.
 THRESHOLD = 0.4
 SMOOTHING = (0.25, 0.5, 0.25)
-#: What structure scales a path's ratio by: inside an article element, and where it speaks against the path.
-FOR, AGAINST = 4.0, 0.02
+#: What structure scales a path's ratio by: inside an article element, where it speaks against the path, and where weakly.
+FOR, AGAINST, WEAK = 4.0, 0.02, 0.5
+#: Characters and punctuation marks from which a block without many links outvotes weak evidence.
+LONG, MARKS = 40, 1
 #: Share of the content that a container must have to hold the main text.
 MASS = 0.75
 
@@ -65,26 +75,34 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 class Node:
     """An element. ``path`` is a number: equal paths have equal numbers on a page."""
 
-    __slots__ = ("tag", "name", "parent", "against", "in_article", "mass", "inside", "number", "path", "open_p", "shown")
+    __slots__ = ("tag", "name", "parent", "against", "weak", "in_article", "mass", "inside", "number", "path", "open_p", "shown", "rich", "line", "container")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None, number: int, paths: dict[tuple[int, str], int]):
         self.tag, self.parent, self.number = tag, parent, number
         self.in_article = tag in ARTICLE or bool(parent and parent.in_article)
-        self.mass, self.inside, self.shown = 0.0, False, False
+        self.mass, self.inside, self.shown, self.rich = 0.0, False, False, False
         self.name, found = tag, {}
         for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
             found.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
         if "class" in found:
             self.name = f"{tag}.{'.'.join(found['class'].split())}"
         self.against = bool(parent and parent.against) or tag in SKIP_TAGS or (tag == "header" and not self.in_article)
+        self.weak = bool(parent and parent.weak)
+        # the nearest element that isn't inline, which makes the block, and the nearest that holds more than a line
+        self.line = parent.line if parent and tag in INLINE else self
+        self.container = parent.container if parent and (tag in INLINE or tag in LINES or tag in LINE_TAGS) else self
         if not self.against and found and tag not in ("html", "body", "article", "main"):
-            words = set(_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}"))
-            self.against = bool(words & SKIP_WORDS) or ("header" in words and not self.in_article) or found.get("role") in SKIP_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+            named = f"{found.get('class', '')} {found.get('id', '')}"
+            words = set(_WORDS.findall(named))
+            telling = bool(words & SKIP_WORDS)
+            if telling and tag in LINE_TAGS and not set(named.split()) & SKIP_WORDS:
+                self.weak, telling = True, False
+            self.against = telling or ("header" in words and not self.in_article) or found.get("role") in SKIP_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
         self.path = paths.setdefault((parent.path if parent else -1, self.name), len(paths))
         self.open_p = self if tag == "p" else parent.open_p if parent and tag not in SCOPE else None
 
     def scale(self) -> float:
-        return (FOR if self.in_article else 1.0) * (AGAINST if self.against else 1.0)
+        return (FOR if self.in_article else 1.0) * (AGAINST if self.against else WEAK if self.weak else 1.0)
 
     def names(self) -> str:
         out, node = [], self
@@ -95,10 +113,12 @@ class Node:
 
 
 class Block:
-    __slots__ = ("parts", "node", "texts", "linked", "size")
+    """``parts`` are (node, decoded text, its characters without white space, those in links, punctuation marks)."""
+
+    __slots__ = ("parts", "node", "texts", "size")
 
     def __init__(self, node: Node):
-        self.node, self.parts, self.texts, self.linked, self.size = node, [], [], 0, 0
+        self.node, self.parts, self.texts, self.size = node, [], [], 0
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -124,11 +144,12 @@ def blocks_of(page: str) -> list[Block]:
             block = Block(node)
             blocks.append(block)
         decoded = html.unescape(raw) if "&" in raw else raw
-        block.parts.append(decoded)
-        if (n := len("".join(decoded.split()))):
-            block.texts.append((node, n, sum(map(decoded.count, PUNCTUATION))))
+        n = len("".join(decoded.split()))
+        marks = sum(map(decoded.count, PUNCTUATION)) if n else 0
+        block.parts.append((node, decoded, n, n if links else 0, marks))
+        if n:
+            block.texts.append((node, n, marks))
             block.size += n
-            block.linked += n if links else 0
 
     at = 0
     while m := _TOKEN.search(page, at):
@@ -147,7 +168,7 @@ def blocks_of(page: str) -> list[Block]:
                 shut(last)
             continue
         if tag == "br" and block is not None:
-            block.parts.append(" ")
+            block.parts.append((node, " ", 0, 0, 0))
         if tag in CLOSES_P:
             if node.open_p is not None:
                 shut(node.open_p)
@@ -237,14 +258,31 @@ def extract(page: str | None) -> str:
     if not blocks:
         return ""
     chosen = content(blocks)
-    holder_of(blocks, chosen)
+    holder = holder_of(blocks, chosen)
+    for b in blocks:
+        for node, _, _ in b.texts:
+            if node.path in chosen:
+                node.container.rich = True
+    lines = (_SPACE.sub(" ", "".join(kept(b, chosen, holder))).strip("\x20\t\n\r\x0b\x0c") for b in blocks)
+    return "\n".join(x for x in lines if x)
 
-    def kept(b: Block) -> bool:
-        first = b.texts[0][0]
-        return first.inside and (first.path in chosen or not first.against and (first.in_article or 2 * b.linked <= b.size))
 
-    lines = (_SPACE.sub(" ", "".join(b.parts)).strip("\x20\t\n\r\x0b\x0c") for b in blocks if kept(b))
-    return "\n".join(x for x in lines if x)
+def kept(block: Block, chosen: dict[int, Node], holder: Node) -> list[str]:
+    """The parts of a block that belong to the main text."""
+    mine = [p for p in block.parts if p[0].inside and (p[0].path in chosen or not p[0].against)]
+    size, linked, marks = (sum(p[k] for p in mine) for k in (2, 3, 4))
+    if not size:
+        return []
+    own = next(p[0] for p in mine if p[2])
+    told = size >= LONG and marks >= MARKS
+    heavy = 2 * linked > size and own.line.tag not in HEADINGS
+    if own.weak:
+        stays = told and not heavy
+    elif any(p[0].path in chosen for p in mine if p[2]):
+        stays = told or not heavy  # smoothing lifts a link beside a long paragraph
+    else:
+        stays = not heavy and own.line.tag in LINE_TAGS and (own.container.rich or own.container is holder)
+    return [p[1] for p in mine] if stays else []
 
 
 def main_text(page: Column) -> Column:

@@ -43,6 +43,17 @@ LONG = "This is a sentence of the article, with commas, and it goes on for a whi
         ("<main><p>x</p><form><input value='>'>name <p>inside</form><p>y</main>", "x\ny"),
         ("<p title='a > b'>quoted</p><p unclosed", "quoted"),
         ("<article><p>same</p><p>same</p></article>", "same\nsame"),
+        # one text node of a block speaks against itself only
+        ('<article><p><b class="share">Note</b> long real sentence of the story, with more words here.</p><p>Second one.</p></article>', "long real sentence of the story, with more words here.\nSecond one."),
+        (f"<article><p><span class='social'>Share</span> {LONG}</p><p>More.</p></article>", f"{LONG.strip()}\nMore."),
+        # a word of a compound class doesn't condemn a long paragraph, a class of its own does
+        (f"<article><p>{LONG}</p><p class='story related-text'>{LONG}</p><p class='subscribe-count'>{LONG}</p><p class='related-link'><a href=x>Other story</a></p><p class='advert'>{LONG}</p></article>", f"{LONG.strip()}\n{LONG.strip()}\n{LONG.strip()}"),
+        # inside an article boxes below the threshold go: adverts, link lists and comments that nothing labels
+        (f"<article><h1>T</h1><p>{LONG}</p><div><a href=x>Buy now and save</a></div><div class=z1>Only today</div><p>Short one.</p><ul class=z2><li><a href=1>Next</a><li><a href=2>Previous</a></ul><div class=z3><p>nice</p><p>agreed</p></div><p>{LONG}</p></article>", f"T\n{LONG.strip()}\nShort one.\n{LONG.strip()}"),
+        # and so they do where no article element is
+        (f"<body><div class=k><h2>T</h2><p>{LONG}</p><div><a href=x>Buy now and save</a></div><div class=z1>Only today</div><p>Short one.</p><div class=z3><p>nice</p><p>agreed</p></div><p>{LONG}</p></div><div class=z9><a href=q>Imprint</a></div></body>", f"T\n{LONG.strip()}\nShort one.\n{LONG.strip()}"),
+        # lists, tables and links of the text itself stay
+        (f"<article><p>{LONG} <a href=x>see there</a></p><ul><li>first point<li>second <a href=y>point</a></ul><table><tr><td>cell<td>other</table><blockquote>said so</blockquote></article>", f"{LONG}see there\nfirst point\nsecond point\ncell\nother\nsaid so".replace(LONG + "see", LONG.strip() + " see")),
     ],
 )
 def test_page_shapes(page, want):
@@ -92,3 +103,13 @@ def test_null_rows_and_extra_columns(spark):
 
     assert sorted(r["m"] for r in df.select("page_id", "text", main_text(F.col("html")).alias("m")).collect()) == ["", "x", "x"]
     assert df.where("false").select(main_text(F.col("html"))).count() == 0
+
+
+def test_ratios_decide_inside_an_article(monkeypatch):
+    """With ratios that say nothing, an unlabelled advert would stay."""
+    from sylva.llm import main_text
+
+    page = f"<article><p>{LONG}</p><p>{LONG}</p><div class=z1>Only today</div></article>"
+    assert "Only today" not in extract(page)
+    monkeypatch.setattr(main_text, "content", lambda blocks: {node.path: node for b in blocks for node, _, _ in b.texts})
+    assert "Only today" in extract(page)
