@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,14 +30,81 @@ def _bom(content: Column, mark: str) -> Column:
     return F.hex(F.substring(content, 1, len(mark) // 2)) == mark
 
 
+class Digester:
+    """The fingerprint of content that comes in chunks, equal to that of the whole, with a few bytes held back at most: a CR
+    that may belong to an LF, the first bytes until a byte order mark is told, a character that a chunk's end cuts.
+    ``kind`` is binary, text, or utf8 and symlink (a link stored as a file) for text with a mark. Malformed text after a
+    mark is decoded with a replacement character for each error."""
+
+    MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
+
+    def __init__(self, kind: str):
+        if kind not in ("binary", "text", "utf8", "symlink"):
+            raise ValueError(f"no digest rule for kind {kind!r}")
+        self.md5, self.binary = hashlib.md5(usedforsecurity=False), kind == "binary"
+        self.head: bytes | None = b"" if kind in ("utf8", "symlink") else None
+        self.decoder: codecs.IncrementalDecoder | None = None
+        self.cr = False
+
+    def update(self, chunk: bytes) -> None:
+        if self.head is not None:
+            self.head += chunk
+            if len(self.head) < 3:
+                return
+            chunk = self._after_mark()
+        self._text(chunk, False)
+
+    def _after_mark(self) -> bytes:
+        head, self.head = self.head, None
+        for mark, codec in self.MARKS:
+            if head.startswith(mark):
+                self.decoder = codecs.getincrementaldecoder(codec)("replace")
+                return head[len(mark) :]
+        return head
+
+    def _text(self, chunk: bytes, last: bool) -> None:
+        if self.decoder:
+            chunk = self.decoder.decode(chunk, last).encode("utf-8")
+        if self.binary:
+            self.md5.update(chunk)
+            return
+        if self.cr:
+            chunk = b"\r" + chunk
+        self.cr = chunk.endswith(b"\r") and not last
+        self.md5.update((chunk[:-1] if self.cr else chunk).replace(b"\r\n", b"\n"))
+
+    def hexdigest(self) -> str:
+        """Of all chunks; nothing may follow."""
+        self._text(self._after_mark() if self.head is not None else b"", True)
+        return self.md5.hexdigest()
+
+
+def symlink_digest(target: str) -> str:
+    return hashlib.md5((target.replace("\\", "/") + "\n").encode(), usedforsecurity=False).hexdigest()
+
+
+def _digest_with_replacement(content: Column) -> Column:
+    @F.pandas_udf("string")
+    def digests(content: pd.Series) -> pd.Series:
+        def one(raw: bytes | None) -> str | None:
+            if raw is None:
+                return None
+            digester = Digester("utf8")
+            digester.update(bytes(raw))
+            return digester.hexdigest()
+
+        return content.map(one, na_action="ignore").astype(object)
+
+    return digests(content)
+
+
 def digest_utf8(content: Column) -> Column:
-    """By byte order mark as UTF-8 text without the mark, LF line ends; without a mark the bytes as text. Content that is
-    malformed after a mark has no digest (NULL), which hands the file to the store."""
-    rest = lambda n: F.substr(content, F.lit(n))
-    plain = lambda text: F.md5(F.encode(F.replace(text, F.lit("\r\n"), F.lit("\n")), "UTF-8"))
-    utf16 = lambda charset: F.when((F.octet_length(content) % 2) == 0, plain(F.decode(rest(3), charset)))
-    utf8 = F.when(F.is_valid_utf8(rest(4).cast("string")), plain(F.decode(rest(4), "UTF-8")))
-    return F.when(_bom(content, "EFBBBF"), utf8).when(_bom(content, "FFFE"), utf16("UTF-16LE")).when(_bom(content, "FEFF"), utf16("UTF-16BE")).otherwise(digest_text(content))
+    """By byte order mark as UTF-8 text without the mark, LF line ends; without a mark the bytes as text. What is malformed
+    after a mark counts as replacement characters. UTF-16 and malformed UTF-8 leave the JVM, other content doesn't."""
+    utf8, utf16 = _bom(content, "EFBBBF"), _bom(content, "FFFE") | _bom(content, "FEFF")
+    rest = F.substr(content, F.lit(4))
+    well = utf8 & F.is_valid_utf8(rest.cast("string"))
+    return F.coalesce(_digest_with_replacement(F.when(utf16 | (utf8 & ~well), content)), F.when(well, digest_text(rest)).otherwise(digest_text(content)))
 
 
 def digest_symlink(target: Column) -> Column:

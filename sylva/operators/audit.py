@@ -9,6 +9,7 @@ from sylva.functions.digests import unchanged_since_sync
 from sylva.functions.messages import percent_skipped, split_positions
 from sylva.functions.paths import ancestors, client_syntax, parent_dir
 from sylva.operators.containment import small
+from sylva.operators.guards import refuse_if_any
 
 
 def class_counts(plan: DataFrame) -> DataFrame:
@@ -105,9 +106,12 @@ def failures_by_group(results: DataFrame) -> DataFrame:
 
 
 def unacknowledged(specs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Specs that no answer line names. A line acknowledges the longest known spec that ends before `` - ``."""
+    """Specs that no answer line names. A line acknowledges the longest known spec that ends before `` - ``. Answers none of
+    which names a known spec can't be read, and refuse the run: sending all specs again wouldn't help."""
     read = lines.select("value", F.explode(split_positions(F.col("value"))).alias("spec")).join(specs.select("spec").distinct(), "spec", "left_semi")
     named = read.groupBy("value").agg(F.max_by("spec", F.length("spec")).alias("spec")).select("spec").distinct()
+    if not specs.isEmpty() and not lines.isEmpty() and named.isEmpty():
+        refuse_if_any(lines, "unreadable_answers", F.col("value"))
     return specs.join(named, "spec", "left_anti")
 
 

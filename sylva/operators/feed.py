@@ -9,7 +9,7 @@ from sylva.functions.kinds import DELETED, native_class
 from sylva.functions.messages import classify_feed_record, parse_deleted_notice, parse_refusal
 from sylva.functions.paths import path_key
 from sylva.operators.containment import drop_covered, keep_covered
-from sylva.operators.guards import PlanRefused, refuse_if_any
+from sylva.operators.guards import refuse_if_any
 from sylva.operators.snapshots import conflicting_duplicates, dedupe_candidates, dedupe_refusals
 
 _CANDIDATE = ["seq", "class", "native_action", "depot_file", "client_file", "rev", "error"]
@@ -57,12 +57,12 @@ def scope_check(candidates: DataFrame, scope: DataFrame, policy: str = "unix", s
 
 
 def classify_feed(feed: DataFrame, opened: DataFrame, target: DataFrame, scope: DataFrame | None = None, policy: str = "unix") -> tuple[DataFrame, DataFrame]:
-    """(candidates, conflicts) of a preview. The run is refused if a record failed or can't be explained, if duplicates
-    disagree, if a candidate lies outside of the scope, or if files are opened and none of them is explained."""
+    """(candidates, conflicts) of a preview. The run is refused if a record failed, if duplicates
+    disagree, if a candidate lies outside of the scope, or if a notice can't be read and no opened file explains it."""
     kinds = feed_kinds(feed)
     refuse_if_any(kinds.where("record = 'failure'"), "feed_failure", F.coalesce("data", "code"), F.col("seq"))
     refusals, deletions, unexplained = notices(feed)
-    refuse_if_any(unexplained, "unexplained_notice", F.col("data"), F.col("seq"))
+    require_explained(unexplained, opened)
     extra = opened_candidates(opened, target)
     found = feed_candidates(feed).select(*_CANDIDATE).unionByName(deletions.select(*_CANDIDATE)).unionByName(extra.select(*_CANDIDATE))
     refuse_if_any(found.where("error IS NOT NULL"), "feed_record", F.col("error"), F.col("seq"))
@@ -79,6 +79,8 @@ def is_up_to_date(candidates: DataFrame, conflicts: DataFrame) -> bool:
     return candidates.isEmpty() and conflicts.isEmpty()
 
 
-def require_explained(opened: DataFrame, explained: DataFrame) -> None:
-    if not opened.isEmpty() and explained.isEmpty():
-        raise PlanRefused("opened_unexplained", [], opened.count())
+def require_explained(unexplained: DataFrame, opened: DataFrame) -> None:
+    """Notices (seq, data) that can't be read tell of files that the preview doesn't name: those are opened ones. Without
+    any opened file the answer is incomplete and refused."""
+    if opened.isEmpty():
+        refuse_if_any(unexplained, "unexplained_notice", F.col("data"), F.col("seq"))

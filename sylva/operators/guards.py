@@ -66,7 +66,9 @@ def first_download_counts(plan: DataFrame, depot: DataFrame) -> DataFrame:
 
 
 def protect_deletes(deletes: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(deletes that no verdict protects, deletes without exactly one verdict): the second must be empty."""
+    """(deletes that no verdict protects, deletes without exactly one verdict that says yes or no): the second must be
+    empty."""
     by = verdicts.groupBy("path").agg(F.count(F.lit(1)).alias("verdicts"), F.bool_or("ignored").alias("ignored"))
     at = deletes.join(by, deletes["client_file"] == by["path"], "left")
-    return at.where((F.col("verdicts") == 1) & ~F.col("ignored")).select(*deletes.columns), at.where(F.coalesce("verdicts", F.lit(0)) != 1).select(*deletes.columns)
+    unjudged = (F.coalesce("verdicts", F.lit(0)) != 1) | F.col("ignored").isNull()
+    return at.where(~unjudged & ~F.col("ignored")).select(*deletes.columns), at.where(unjudged).select(*deletes.columns)

@@ -143,9 +143,11 @@ def fresh_digests(todo: DataFrame, content: DataFrame, link_targets: bool = Fals
 def resolve_digests(classified: DataFrame, have: DataFrame, cache: DataFrame, computed: DataFrame, verify_all: bool = False) -> DataFrame:
     """Final rows: pending comparisons decided by time, then cached digest, then computed digest. ``computed``:
     (client_key, computed) of at least the rows that need it. A comparison without expected or actual digest is an error,
-    never equality."""
+    never equality. All rows go one way, so the classification is computed once; ``have``, ``cache`` and ``computed`` have
+    one row a file at most."""
     c = F.col
-    pending = needs_content(classified.where(c("pending").isNotNull()), have, cache, verify_all).join(computed, "client_key", "left")
+    waits = c("pending").isNotNull()
+    at = needs_content(classified, have, cache, verify_all).join(computed, "client_key", "left")
     actual = F.coalesce("found", "computed")
     same = F.when(c("unchanged"), F.lit(True)).otherwise(actual == c("digest"))
     verdict = (
@@ -155,10 +157,9 @@ def resolve_digests(classified: DataFrame, have: DataFrame, cache: DataFrame, co
         .when((c("pending") == "revert_delete") & ~same, "reopen_edit")
         .when((c("pending") == "revert") & ~same, "revert")
     )
-    error = F.when(~c("unchanged") & c("digest").isNull(), F.lit("no expected digest")).when(~c("unchanged") & actual.isNull(), F.lit("content not read"))
-    done = pending.withColumns({"class": F.when(error.isNull(), verdict), "error": error}).select(*classified.columns)
-    done = done.where(F.col("class").isNotNull() | F.col("error").isNotNull())
-    return classified.where(c("pending").isNull()).unionByName(done)
+    wrong = F.when(~c("unchanged") & c("digest").isNull(), F.lit("no expected digest")).when(~c("unchanged") & actual.isNull(), F.lit("content not read"))
+    done = at.withColumns({"class": F.when(~waits, c("class")).when(wrong.isNull(), verdict), "error": F.when(waits, wrong).otherwise(c("error"))})
+    return done.where(~waits | c("class").isNotNull() | c("error").isNotNull()).select(*classified.columns)
 
 
 def classify_sync(depot: DataFrame, workspace: DataFrame, target: DataFrame) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva import schemas
 from sylva.functions.paths import path_key, separator
-from sylva.operators import audit, containment, feed, guards, ignore, snapshots, untracked
+from sylva.operators import audit, containment, feed, guards, ignore, pruning, snapshots, untracked
 from sylva.operators.guards import PlanRefused, refuse_errors, refuse_if_any
 from sylva.plans import classify
+from sylva.sources import content
+from sylva.sources.tables import stored
 
 MODES = ("open", "clean", "sync")
 
@@ -19,7 +22,9 @@ MODES = ("open", "clean", "sync")
 @dataclass
 class Tables:
     """Inputs (see ``sylva.schemas``). What is None is an empty table; ``digests`` are (client_key, computed) of files
-    whose content was read, or ``content`` (client_key, content) to compute them from."""
+    whose content was read, or ``content`` (client_key, content) to compute them from. ``pruned`` are directories known to
+    be ignored; or ``rule_lines`` (the store's rule report) and ``ignore_lines`` (its answers about directories), from
+    which they are found."""
 
     depot: DataFrame
     workspace: DataFrame
@@ -34,6 +39,8 @@ class Tables:
     feed: DataFrame | None = None
     opened: DataFrame | None = None
     pruned: DataFrame | None = None
+    rule_lines: DataFrame | None = None
+    ignore_lines: DataFrame | None = None
 
 
 @dataclass
@@ -42,6 +49,7 @@ class PlanResult:
     conflicts: DataFrame
     side: dict[str, DataFrame] = field(default_factory=dict)
     summary: DataFrame | None = None
+    up_to_date: bool | None = None
 
 
 def _or_empty(spark: SparkSession, df: DataFrame | None, schema: str) -> DataFrame:
@@ -77,6 +85,10 @@ def reconcile(
     scope_file: str | None = None,
     applied: bool = False,
     run_excludes: bool = False,
+    prune: bool = True,
+    roots: tuple[str, ...] = (),
+    ignore_file: str | None = pruning.IGNORE_FILE,
+    read_files: bool = False,
 ) -> PlanResult:
     """Compare the snapshots and return the plan of a mode.
 
@@ -86,8 +98,13 @@ def reconcile(
 
     Ignore verdicts: open and clean take a file with a positive verdict as ignored, and what lies below a directory in
     ``pruned`` as absent unless the store tracks it. A forced sync doesn't look at them until it deletes: then every
-    file to delete needs exactly one verdict, or the run is refused, and those that a verdict covers are left alone."""
+    file to delete needs exactly one verdict, or the run is refused, and those that a verdict covers are left alone.
+
+    ``prune`` looks for ignored directories below ``roots`` (directory keys) if the tables hold a rule report and answers.
+    ``read_files`` reads the files that size, time and cache leave open where they are, in tasks and in constant memory."""
     _check_options(mode, force, delete_untracked, as_of, verify_all, run_excludes)
+    if as_of is not None and force and tables.revisions is None:
+        raise ValueError("as_of of a forced sync needs revisions, as the head isn't what was asked for")
     sep = separator(policy)
     depot = snapshots.dedupe_records(tables.depot, scope_entries)
     if mode == "sync" and tables.revisions is not None:
@@ -99,8 +116,13 @@ def reconcile(
     if tables.scope is not None:
         depot = containment.scope_exclude(containment.scope_filter(depot, tables.scope, "client_key", sep), tables.scope, "client_key", sep)
         workspace = containment.scope_exclude(containment.scope_filter(workspace, tables.scope, "path_key", sep), tables.scope, "path_key", sep)
+        if mode == "sync" and force:  # judged by the same scope, or paths outside would count as found
+            target = target.join(depot.select("depot_file").distinct(), "depot_file", "left_semi")
+    found = None
     if mode != "sync":
-        workspace = _without_ignored(workspace, depot, tables, sep)
+        if tables.pruned is None and tables.rule_lines is not None and tables.ignore_lines is not None:
+            found = _find_pruned(workspace, tables, roots, prune, ignore_file, sep)
+        workspace = _without_ignored(workspace, depot, tables, sep, found.pruned if found else tables.pruned)
     if mode == "sync" and not force:
         return _normal_sync(spark, tables, target, policy, applied)
     if tables.revisions is not None:
@@ -108,7 +130,7 @@ def reconcile(
     rows = classify.classify_sync(depot, workspace, target) if mode == "sync" else classify.classify_open(depot, workspace)
     if mode == "sync":
         guards.empty_target_guard(target, depot)
-    rows = rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows.persist()  # guards, plan and reports read it
+    rows = stored(rows, "classified")  # guards, plan and reports read it
     refuse_errors(rows, "classification")
     if mode == "sync":
         rows = _sync_guards(rows, depot, target, tables.verdicts)
@@ -119,6 +141,10 @@ def reconcile(
     if computed is None and tables.content is not None:
         todo = classify.needs_content(done.where("pending IS NOT NULL"), have, cache, verify_all).where("NOT unchanged AND found IS NULL")
         computed = classify.fresh_digests(todo, tables.content)
+    elif computed is None and read_files:
+        todo = classify.needs_content(done.where("pending IS NOT NULL"), have, cache, verify_all).where("NOT unchanged AND found IS NULL")
+        computed, unread = _read_digests(todo, workspace)
+        refuse_if_any(unread, "unreadable_file", F.concat_ws(": ", "path", "error"))
     pending_as = "pending" if mode != "clean" else None
     done = _resolve(done, have, cache, _or_empty(spark, computed, "client_key string, computed string"), verify_all, pending_as)
     refuse_errors(done, "digests")
@@ -131,6 +157,9 @@ def reconcile(
     if delete_untracked:
         plan = plan.unionByName(_untracked(tables, workspace, depot, scope_file, policy, applied))
     conflicts = spark.createDataFrame([], schemas.CONFLICTS)
+    if found:
+        facts = [(found.candidates, found.questions, found.fallback)]
+        side |= {"pruned": found.pruned, "pruning": spark.createDataFrame(facts, "candidates long, questions long, fallback string")}
     side |= {"unmatched": matched[1], **({"timestamps": audit.timestamp_stats(rows.where("pending IS NOT NULL"), have), "risks": audit.risk_counts(rows, workspace)} if mode == "sync" else {})}
     return PlanResult(plan, conflicts, side, audit.summarize(plan, conflicts, mode, scope_matched=matched[0], unmatched=matched[2], applied=applied, force=force))
 
@@ -152,11 +181,26 @@ def _match_scope(scope: DataFrame | None, depot: DataFrame, workspace: DataFrame
     return n - unmatched, missed, unmatched
 
 
-def _without_ignored(workspace: DataFrame, depot: DataFrame, tables: Tables, sep: str) -> DataFrame:
+def _find_pruned(workspace: DataFrame, tables: Tables, roots: tuple[str, ...], prune: bool, ignore_file: str | None, sep: str) -> pruning.Pruning:
+    """Ignored directories below the roots, by the recorded answers."""
+    listed = [containment.list_directories(workspace, r, pruning.IGNORE_FILE, sep=sep) for r in roots or ("",)]
+    directories = reduce(DataFrame.unionByName, listed).groupBy("dir_key").agg(F.min("depth").alias("depth"), F.bool_or("nested_ignore").alias("nested_ignore"))
+    return pruning.plan_pruning(directories, tables.rule_lines, pruning.answers_from(tables.ignore_lines), ignore_file, prune, sep=sep)
+
+
+def _read_digests(todo: DataFrame, workspace: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((client_key, computed), (path, error)) of files that must be read, at their own paths."""
+    at = todo.select("client_key", "head_type").join(workspace.select(F.col("path_key").alias("client_key"), "path", "size"), "client_key")
+    read = stored(content.fingerprint_files(at), "fingerprints")
+    computed = at.select("client_key", "path").distinct().join(read.where("error IS NULL"), "path").select("client_key", "computed")
+    return computed, read.where("error IS NOT NULL").select("path", "error")
+
+
+def _without_ignored(workspace: DataFrame, depot: DataFrame, tables: Tables, sep: str, pruned: DataFrame | None) -> DataFrame:
     """``workspace`` without what lies in pruned directories that hold no tracked file, and with filtered set by verdicts."""
-    if tables.pruned is not None:
-        held = containment.tracked_pruned_dirs(tables.pruned, depot, sep)
-        workspace = containment.prune_dirs(workspace, tables.pruned.join(held, "dir_key", "left_anti"), "path_key", sep)
+    if pruned is not None:
+        held = containment.tracked_pruned_dirs(pruned, depot, sep)
+        workspace = containment.prune_dirs(workspace, pruned.join(held, "dir_key", "left_anti"), "path_key", sep)
     if tables.verdicts is None:
         return workspace
     before = workspace.select("path_key", F.col("filtered").alias("_before")).where("_before")  # what is marked already stays so
@@ -199,4 +243,5 @@ def _normal_sync(spark: SparkSession, tables: Tables, target: DataFrame, policy:
     )
     plan = plan.withColumn("action", classify.action_for(F.col("mode"), F.col("class")))
     conflicts = refused.select("reason", F.when(F.col("reason") == "delete_modified", "not deleted").otherwise("not updated").alias("action"), "depot_file", "client_file", "rev", none.alias("stage"), F.lit(applied).alias("applied"))
-    return PlanResult(plan, conflicts, {}, audit.summarize(plan, conflicts, "sync", applied=applied))
+    # a run whose files are all refused is conclusive (ok), but not up to date: files differ and weren't touched
+    return PlanResult(plan, conflicts, {}, audit.summarize(plan, conflicts, "sync", applied=applied), feed.is_up_to_date(found, refused))

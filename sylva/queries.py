@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from sylva import fixtures
 from sylva.functions import digests, kinds, messages, paths
-from sylva.operators import audit, batching, containment, feed, guards, ignore, scope, snapshots, untracked
+from sylva.operators import audit, batching, containment, feed, guards, ignore, pruning, scope, snapshots, untracked
 from sylva.plans import classify
 from sylva.plans.reconcile import PlanResult, Tables, reconcile
-from sylva.sources import inventory, records, sinks
+from sylva.sources import content, inventory, records, sinks
+from sylva.sources.tables import running, stored
 
 TABLES = ("documents", "orders", "lineitem", "events", "pages", "customer")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -725,10 +726,13 @@ _HISTORY = """SELECT depot_file, head_rev AS rev, CASE WHEN seq % 4 = 0 THEN 90
 UNION ALL SELECT depot_file, have_rev, 5, 'edit', raw_type, file_size, digest FROM fx_depot WHERE head_rev IS NOT NULL AND have_rev <> head_rev"""
 
 
-def _as_of(s: Snapshots) -> DataFrame:
+def _revisions(s: Snapshots) -> DataFrame:
     head, unsupported = kinds.parse_file_type(F.col("raw_type"))
-    history = s.sql(["fx_depot"], _HISTORY).withColumns({"head_type": head, "unsupported_type": unsupported}).drop("raw_type")
-    return _plan_of(_run(s, "sync", force=True, as_of=50, revisions=history, verdicts=_judged(s)), "class", "client_file", "rev")
+    return s.sql(["fx_depot"], _HISTORY).withColumns({"head_type": head, "unsupported_type": unsupported}).drop("raw_type")
+
+
+def _as_of(s: Snapshots) -> DataFrame:
+    return _plan_of(_run(s, "sync", force=True, as_of=50, revisions=_revisions(s), verdicts=_judged(s)), "class", "client_file", "rev")
 
 
 _register_sync(
@@ -758,6 +762,21 @@ ORACLE_SQL["scope_summary"] = (
     + 'SELECT count(*) AS total, count(CASE WHEN class = \'add\' THEN 1 END) AS n_add, 4 - (SELECT n FROM missed) AS "scopeMatched", (SELECT n FROM missed) AS unmatched FROM decided WHERE class IS NOT NULL'
 )
 
+QUERIES["sync_scoped_plan"] = lambda spark, sf_dir: _scoped_sync(Snapshots(spark, sf_dir))
+ORACLE_SQL["sync_scoped_plan"] = (
+    fixtures.with_views([*_SNAPSHOT, "fx_scope"], "").rstrip() + f""",
+history AS ({_HISTORY}), past AS (SELECT depot_file, max(rev) AS rev, arg_max(action, rev) AS action FROM history WHERE change <= 50 GROUP BY depot_file),
+part AS (SELECT * FROM fx_depot WHERE {_COVERED.format('client_key')}), seen AS (SELECT * FROM fx_workspace WHERE {_COVERED.format('path_key')}),
+""" + _SYNC.replace("fx_target", "past").replace("fx_workspace", "seen").replace("fx_depot", "part")
+    + "\nSELECT substr(outcome, 7) AS class, client_file, target_rev AS rev FROM sync WHERE outcome LIKE 'class %' AND (outcome <> 'class delete' OR seq % 5 <> 0)"
+)
+
+
+def _scoped_sync(s: Snapshots) -> DataFrame:
+    """To a change, within a scope: records, files and target are narrowed alike."""
+    return _plan_of(_run(s, "sync", force=True, as_of=50, revisions=_revisions(s), verdicts=_judged(s), scope=s.view("scope")), "class", "client_file", "rev")
+
+
 # ---- columns, guards and lines ----------------------------------------------------------------------------------------
 
 
@@ -945,6 +964,62 @@ def sorted_inventory(s: Snapshots) -> DataFrame:
     return snapshots.sorted_inventory(s.workspace).select("path_key")
 
 
+@query("SELECT path_key, row_number() OVER (ORDER BY path_key) AS place FROM fx_workspace", ("fx_workspace",))
+def inventory_order(s: Snapshots) -> DataFrame:
+    """The sorted inventory with each row's place in the table as it comes out of the sort."""
+    placed = snapshots.sorted_inventory(s.workspace).select("path_key").withColumn("_at", F.monotonically_increasing_id())
+    return running(stored(placed, "order"), ["_at"], "place").select("path_key", "place")
+
+
+_CRLF = "replace(text, chr(10), chr(13) || chr(10))"
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN {_CRLF} ELSE replace({_CRLF}, chr(13) || chr(10), chr(10)) END) AS digest, strlen({_CRLF}) + CASE WHEN doc_id % 3 = 2 THEN 3 ELSE 0 END AS n_bytes FROM documents")
+def chunk_digests(s: Snapshots) -> DataFrame:
+    """Every document as a file with CR LF line ends, every third with a byte order mark, cut into chunks of 997 bytes."""
+    kind = F.get(F.array(*map(F.lit, ("binary", "text", "utf8"))), F.pmod("doc_id", F.lit(3)).cast("int"))
+    raw = F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8")
+    files = s.table("documents").select("doc_id", kind.alias("kind"), F.when(kind == "utf8", F.concat(F.unhex(F.lit("EFBBBF")), raw)).otherwise(raw).alias("raw"))
+    at = F.sequence(F.lit(0).cast("long"), F.greatest(F.octet_length("raw") - 1, F.lit(0)).cast("long"), F.lit(997).cast("long"))
+    chunks = files.select("doc_id", "kind", "raw", F.explode(at).alias("offset")).select("doc_id", "kind", "offset", F.substr("raw", (F.col("offset") + 1).cast("int"), F.lit(997)).alias("chunk"))
+    return content.fingerprint_chunks(chunks, "doc_id").select("doc_id", F.col("computed").alias("digest"), "n_bytes")
+
+
+@query()
+def fewest_batches(s: Snapshots) -> DataFrame:
+    """The fewest batches of the whole list, in its order."""
+    return batching.fewest_batches(s.view("depot").select("seq", F.col("depot_file").alias("spec")), 2000, 50).select("seq", "batch")
+
+
+ORACLE_SQL["fewest_batches"] = """WITH RECURSIVE """ + fixtures.with_views(["fx_depot"], "")[5:].rstrip() + """,
+placed AS MATERIALIZED (SELECT seq, strlen(depot_file) + 1 AS n, row_number() OVER (ORDER BY seq) AS r FROM fx_depot),
+packed AS (SELECT seq, r, CAST(0 AS BIGINT) AS batch, n AS used, 1 AS held FROM placed WHERE r = 1
+  UNION ALL SELECT s.seq, s.r, p.batch + CASE WHEN p.used + s.n > 2000 OR p.held >= 50 THEN 1 ELSE 0 END, CASE WHEN p.used + s.n > 2000 OR p.held >= 50 THEN s.n ELSE p.used + s.n END,
+    CASE WHEN p.used + s.n > 2000 OR p.held >= 50 THEN 1 ELSE p.held + 1 END FROM packed p JOIN placed s ON s.r = p.r + 1)
+SELECT seq, batch FROM packed"""
+
+
+_TOP, _ORDER = "'/ws/o' || (l_orderkey % 1000)", "l_orderkey % 1000 % 5"
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT {_TOP} AS dir_key, {_ORDER} AS k FROM lineitem), d AS (SELECT DISTINCT {_TOP} || '/' || l_orderkey AS dir_key, l_orderkey % 7 AS k FROM lineitem WHERE {_ORDER} <> 0),
+q AS (SELECT (SELECT count(*) + count(CASE WHEN k < 2 THEN 1 END) FROM t) + (SELECT count(*) + count(CASE WHEN k = 0 THEN 1 END) FROM d) AS questions)
+SELECT dir_key, questions FROM (SELECT dir_key FROM t WHERE k = 0 UNION ALL SELECT dir_key FROM d WHERE k = 0) p, q"""
+)
+def pruning_plan(s: Snapshots) -> DataFrame:
+    """Every fifth top directory is ignored with its content, of the next ones only the directory itself, and so is every
+    seventh order anywhere; the questions asked are the fewest that settle this."""
+    s.table("documents").createOrReplaceTempView("documents")
+    rules = s.spark.sql(_RULES).where("value <> '#WHAT' AND value NOT LIKE '%!keep'")
+    d = s.table("lineitem").select(F.expr(_TOP).alias("top"), F.expr(_ORDER).alias("k"), "l_orderkey")
+    seventh = d.where("l_orderkey % 7 = 0").select(F.concat_ws("/", "top", F.col("l_orderkey").cast("string")).alias("path"))
+    whole = d.where("k = 0").select(F.col("top").alias("path")).unionByName(seventh)
+    yes = whole.unionByName(whole.select(F.concat("path", F.lit("/__probe__")).alias("path"))).unionByName(d.where("k = 1").select(F.col("top").alias("path"))).distinct()
+    planned = pruning.plan_pruning(containment.list_directories(s.view("wide"), "/ws"), rules, pruning.answers_from(yes.select(F.concat("path", F.lit(" ignored")).alias("value"))))
+    return planned.pruned.withColumn("questions", F.lit(planned.questions).cast("long"))
+
+
 ORACLE_SQL["pack_batches"] = """WITH RECURSIVE """ + fixtures.with_views(["fx_depot"], "")[5:].rstrip() + """,
 sized AS (SELECT seq, depot_file AS spec, strlen(depot_file) + 1 AS n, CAST(floor((seq - lo) / ceil((hi - lo + 1) / 8.0)) AS INTEGER) AS shard FROM fx_depot, (SELECT min(seq) AS lo, max(seq) AS hi FROM fx_depot) t),
 placed AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS r FROM sized),

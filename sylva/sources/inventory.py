@@ -1,13 +1,18 @@
-"""Inventories of files, their content, and the fingerprint cache."""
+"""Inventories of files, and the fingerprint cache."""
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from sylva import schemas
 from sylva.functions.paths import path_key
+from sylva.operators.guards import refuse_if_any
+from sylva.sources.content import local_path
+from sylva.sources.walk import walk
 
 _LISTED = {"path": "path", "length": "size", "modificationTime": "mtime"}
 
@@ -35,57 +40,39 @@ def _present(spark: SparkSession, paths: list[str], files_only: bool = False) ->
     return there
 
 
-def scan_inventory(spark: SparkSession, roots: list[str], policy: str = "unix", excluded: list[str] = (), glob: str | None = None) -> DataFrame:
-    """Workspace rows of all files below the roots; a root that doesn't exist is zero files. Children of a root that are
-    in ``excluded`` aren't listed at all, deeper exclusions are filters on the result (operators.scope); ``glob`` restricts
-    file names. On object stores or trees of 10**7 files and more, read an inventory table (``read_inventory``)."""
-    roots = [x for r in _present(spark, roots) for x in _without(spark, r, excluded)]
-    if not roots:
-        return empty(spark, schemas.WORKSPACE)
-    listed = _listing(spark, roots, True) if glob is None else _listing(spark, roots, True, glob)
-    return listed.select("path", path_key(F.col("path"), policy).alias("path_key"), "size", "mtime", F.lit(False).alias("filtered"))
+def scan_inventory(spark: SparkSession, roots: list[str], policy: str = "unix", excluded: list[str] = (), glob: str | None = None, pruned: DataFrame | None = None) -> DataFrame:
+    """Workspace rows of all files below the roots; a root that doesn't exist is zero files. Nothing below a path in
+    ``excluded`` or a directory in ``pruned`` (dir_key) is listed, at any depth; ``glob`` restricts file names. A directory
+    that can't be listed refuses the inventory. ``sources.walk`` gives directories and totals, too. Trees of 10**7 files and
+    more in an object store are better read from an inventory table (``read_inventory``)."""
+    if any(local_path(r) is None for r in roots) and not excluded and pruned is None:  # another store, all of it: Spark's own listing
+        there = _present(spark, roots)
+        listed = _listing(spark, there, True, glob or "*") if there else None
+        return empty(spark, schemas.WORKSPACE) if listed is None else listed.select("path", path_key(F.col("path"), policy).alias("path_key"), "size", "mtime", F.lit(False).alias("filtered"))
+    out = spark.createDataFrame([(kind, x.rstrip("/")) for x in excluded for kind in ("dir", "file")], "kind string, path string")
+    walked = walk(spark, roots, out.withColumn("key", path_key(F.col("path"), policy)), pruned, policy)
+    refuse_if_any(walked.errors, "unreadable_directory", F.concat_ws(": ", "path", "error"))
+    name = F.element_at(F.split("path", "/"), -1)
+    return walked.files if glob is None else walked.files.where(name.rlike(_glob_pattern(glob)))
 
 
-def _without(spark: SparkSession, root: str, excluded: list[str]) -> list[str]:
-    """``root``, or its children without those that are excluded, if one is."""
-    skip = {x.rstrip("/") for x in excluded}
-    if root.rstrip("/") in skip:
-        return []
-    if not any(x.rsplit("/", 1)[0] == root.rstrip("/") for x in skip):
-        return [root]
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    children = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
-    return [p for c in children if (p := f"{root.rstrip('/')}/{c.getPath().getName()}") not in skip]
+def _glob_pattern(glob: str) -> str:
+    """A file name pattern (``*``, ``?``, ``[...]``) as a regular expression."""
+    return "^" + fnmatch.translate(glob).removesuffix(r"\Z").removesuffix(r"\z") + "$"
 
 
 def scan_single_files(spark: SparkSession, paths: list[str], policy: str = "unix") -> DataFrame:
     """Workspace rows of single files; a missing file or a directory in its place gives no row."""
-    return scan_inventory(spark, _present(spark, paths, files_only=True), policy)
+    there = _present(spark, paths, files_only=True)
+    if not there:
+        return empty(spark, schemas.WORKSPACE)
+    return _listing(spark, there, True).select("path", path_key(F.col("path"), policy).alias("path_key"), "size", "mtime", F.lit(False).alias("filtered"))
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.WORKSPACE).parquet(path)
 
 
-#: Up to so many files are read by their own paths; more by one listing of the roots, of which only theirs are kept.
-READ_PATHS = 10_000
-
-
-def read_content(spark: SparkSession, roots: list[str], pending: DataFrame, most: int = READ_PATHS) -> DataFrame:
-    """(path, content) of the files in ``pending`` (path) only. A short list is loaded path by path, so no other file is
-    opened; with more, every file below the roots is read and those not asked for are dropped in the scan's own stage."""
-    wanted = pending.select("path").distinct()
-    few = wanted.limit(most + 1).collect()
-    read = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
-    if len(few) <= most:
-        load = _present(spark, [r["path"] for r in few])
-        if not load:
-            return empty(spark, "path string, content binary")
-        return read.load(load).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
-    files = read.option("recursiveFileLookup", "true").load(roots).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
-    return files.join(wanted, "path", "left_semi")
-
-
 def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     """(time, name) of the complete versions of a cache, oldest first: a directory counts once its _SUCCESS is there."""
     fs = spark._jvm.org.apache.hadoop.fs

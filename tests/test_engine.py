@@ -16,7 +16,7 @@ from sylva import queries, schemas
 from sylva.operators import audit, batching, feed, ignore, snapshots, untracked
 from sylva.operators.guards import PlanRefused
 from sylva.plans.reconcile import Tables, reconcile
-from sylva.sources import inventory, records, sinks
+from sylva.sources import content, inventory, records, sinks
 from sylva.streaming import jobs
 from tests.test_classify import CHANGED, FILE, HIDDEN, OTHER, SAME, record, world
 
@@ -120,8 +120,13 @@ def test_normal_sync(spark, tables):
     assert errors.where("error IS NOT NULL").count() == 2
     empty = spark.createDataFrame([], "class string")
     assert feed.is_up_to_date(empty, empty) and not feed.is_up_to_date(empty, opened)
-    with pytest.raises(PlanRefused, match="opened_unexplained"):
-        feed.require_explained(opened, empty)
+    notices = spark.createDataFrame([(9, "hello")], "seq long, data string")
+    feed.require_explained(notices, opened)  # an opened file may be what it tells of
+    with pytest.raises(PlanRefused, match="unexplained_notice"):
+        feed.require_explained(notices, empty)
+    t.feed, t.opened, t.scope = spark.createDataFrame(FEED[4:], schemas.FEED), None, None  # refusals only
+    refused = reconcile(spark, t, "sync")
+    assert not refused.up_to_date and refused.plan.isEmpty() and (refused.summary.first()["ok"], refused.summary.first()["conflicts"]) == (True, 1)
 
 
 def test_files_on_disk(spark, tmp_path):
@@ -136,10 +141,9 @@ def test_files_on_disk(spark, tmp_path):
     assert inventory.scan_inventory(spark, [f"{root}/nowhere"]).isEmpty() and inventory.scan_inventory(spark, [root], glob="*.bin").count() == 1
     single = inventory.scan_single_files(spark, [f"{root}/a/y.bin", f"{root}/none", f"{root}/a"])
     assert [os.path.relpath(r["path"], root) for r in single.collect()] == ["a/y.bin"]
-    got = inventory.read_content(spark, [root], inv.where("path LIKE '%x.txt'")).collect()
+    got = content.read_content(inv.where("path LIKE '%x.txt'")).collect()
     assert [bytes(r["content"]) for r in got] == [b"one\r\n"]
-    assert [bytes(r["content"]) for r in inventory.read_content(spark, [root], inv.where("path LIKE '%x.txt'"), most=0).collect()] == [b"one\r\n"]
-    assert inventory.read_content(spark, [root], inv.where("false")).isEmpty()
+    assert content.read_content(inv.where("false")).isEmpty()
     cache, warning = inventory.load_digest_cache(spark, f"{tmp_path}/cache")
     assert cache.isEmpty() and "not readable" in warning
     fresh = inv.select("path_key", "size", "mtime", F.lit("d1").alias("digest"))
