@@ -6,13 +6,13 @@ split needs a bit it doesn't have. Whether a bucket splits depends on the hashes
 counts by hash prefix, level by level, as a table in the shared folder. It has at most 2**MOST_LEVELS cells, which hashes
 of distinct texts don't need below 10**11 records; a bucket that is overfull there stays whole and right.
 
-Hashes that occur once are chains of one. Where a hash repeats, the normalised texts themselves are fetched and compared
-byte by byte: they are aggregated by (hash, text), which combines copies in each task before anything moves, so a text
-that fills a third of the table costs one record a task, and texts that don't repeat never move. That yields the row that
-stays and the group's size. Owner tasks then take contiguous ranges of buckets, chain the records of equal hash in order
-of their bytes, and write them sorted to the index files.
+Owner tasks take contiguous ranges of (bucket, hash). Hashes that occur once are chains of one. Where a hash repeats, the
+normalised texts themselves go to its owner, which compares them byte by byte, finds the row that stays and the size of
+each group of equal texts, and chains the groups of one hash in the order of their bytes. Copies are combined in each task
+before anything moves and again under a few salts, so a text that fills a third of the table costs its owner SALTS records,
+and texts that don't repeat never move.
 
-Rows look their record up by bucket, hash, length and SHA-256. Frequent records go by broadcast (at most HOT_RECORDS
+Rows find their bucket by the directory and their place in the chain of their hash by length and SHA-256. Frequent records go by broadcast (at most HOT_RECORDS
 records can have 1/HOT_RECORDS of all rows each); all others by a shuffled join in which no key can have more rows.
 
 Defined cases: NULL counts as the empty text; of equal texts the row with the smallest doc_id stays (a NULL doc_id only if
@@ -31,6 +31,8 @@ from .common import SPACE_RUN, by_ids, semi_counted, spool
 
 CAPACITY = 8_192
 HOT_RECORDS = 2_000
+#: Records in which a text reaches its owner, at most.
+SALTS = 32
 #: Levels counted at first beyond those that even buckets would need; more are added while a bucket is overfull.
 SPARE_LEVELS = 4
 MOST_LEVELS = 26
@@ -78,24 +80,30 @@ def addressed(rows: DataFrame, depth: int, directory: DataFrame) -> DataFrame:
     return by_ids(rows.withColumn("cell", prefix(F.col("hash"), depth)), directory, "cell", "inner").drop("cell")
 
 
-def compared(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(hash, n_bytes, sha, keep_id, group_size) of the distinct texts whose hash repeats, compared by their bytes."""
+def combined(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(hash, text, keep_id, n) of the texts whose hash repeats: copies that lie in one task are one record, and those of a
+    text that is everywhere meet in SALTS records before they go to an owner."""
     texts = docs.select("doc_id", normalise(F.col("text")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    same = semi_counted(texts, repeated, ["hash"], "rows").groupBy("hash", "text").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return same.select("hash", F.octet_length("text").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
+    same = semi_counted(texts, repeated, ["hash"], "rows").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return same.groupBy("hash", "text", "salt").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).drop("salt")
 
 
 def build_index(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY) -> tuple[int, DataFrame, DataFrame]:
-    """Depth and directory, and the index (bucket, hash, chain, n_bytes, sha, keep_id, group_size) read from shared files;
-    ``chain`` numbers the records of one hash."""
+    """Depth and directory, and the index (bucket, hash, chain, n_bytes, sha, keep_id, group_size) read from shared files.
+
+    Each owner task has a range of (bucket, hash). It compares the texts of a hash byte by byte: equal ones become one
+    record, which gets the row that stays and the size of the group, and the records of one hash are its chain, in the
+    order of their bytes. A hash that occurs once is a chain of one and needs no text."""
     met = spool(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("keep_id"), F.first("n_bytes").alias("n_bytes"), F.first("sha").alias("sha")), "met")
     depth, directory = build_directory(met.select("hash"), capacity)
-    once = met.where("rows = 1").select("hash", "n_bytes", "sha", "keep_id", F.col("rows").alias("group_size"))
-    records = addressed(once.unionByName(compared(docs, met.where("rows > 1").select("hash", "rows"))), depth, directory)
+    once = met.where("rows = 1").select("hash", F.lit(None).cast("string").alias("text"), "keep_id", F.col("rows").alias("n"), "n_bytes", "sha")
+    again = combined(docs, met.where("rows > 1").select("hash", "rows")).withColumns({"n_bytes": F.lit(None).cast("int"), "sha": F.lit(None).cast("binary")})
     owners = min(2_000, max(1, directory.select("bucket").distinct().count()))
-    chain = F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("n_bytes", "sha"))
-    owned = records.repartitionByRange(owners, "bucket", "hash").withColumn("chain", chain)
-    return depth, directory, spool(owned, "index")
+    owned = addressed(once.unionByName(again), depth, directory).repartitionByRange(owners, "bucket", "hash")
+    same = owned.groupBy("bucket", "hash", "text").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.first("n_bytes").alias("n_bytes"), F.first("sha").alias("sha"))
+    chain = F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("text"))
+    known = same.select("bucket", "hash", chain.alias("chain"), F.coalesce("n_bytes", F.octet_length("text")).alias("n_bytes"), F.coalesce("sha", F.unhex(F.sha2("text", 256))).alias("sha"), "keep_id", "group_size")
+    return depth, directory, spool(known, "index")
 
 
 def group_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -104,13 +112,12 @@ def group_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     depth, directory, index = build_index(docs, rows, capacity)
     rows = addressed(rows, depth, directory)
     share = max(2, index.agg(F.sum("group_size")).first()[0] or 0) / HOT_RECORDS
-    index = index.select(*RECORD, "keep_id", "group_size")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     hot = index.where(F.col("group_size") >= share)  # at most HOT_RECORDS rows
     often = rows.join(F.broadcast(hot), RECORD)
     first = often.where(stays).groupBy(*RECORD).agg(F.min("row").alias("first"))
     often = often.join(F.broadcast(first), RECORD).withColumn("kept", F.col("row") == F.col("first")).drop("first")
     others = rows.join(F.broadcast(hot.select(*RECORD)), RECORD, "left_anti").join(index.where(F.col("group_size") < share), RECORD)
-    order = Window.partitionBy(*RECORD).orderBy(F.col("doc_id").asc_nulls_last(), "row")
+    order = Window.partitionBy("bucket", "hash", "chain").orderBy(F.col("doc_id").asc_nulls_last(), "row")
     others = others.withColumn("kept", F.row_number().over(order) == 1)
     return often.unionByName(others.select(*often.columns)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))

@@ -108,6 +108,25 @@ def test_equal_hashes_are_told_apart_by_bytes(spark, monkeypatch):
     assert got == {i: (i % 40, 3, i < 40) for i in range(120)}
 
 
+def test_owners_chain_by_bytes(spark, monkeypatch):
+    """All of a hash is in one owner's range; its chain numbers the distinct texts in the order of their bytes, each with the
+    copies that many tasks sent."""
+    real = F.xxhash64
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: F.pmod(real(c), F.lit(3)))
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 50).cast("string")).alias("text")).repartition(40)
+    rows = exact_dedup.spool(exact_dedup.fingerprints(docs), "fp")
+    _, _, index = exact_dedup.build_index(docs, rows, 1)
+    got = index.collect()
+    assert len(got) == 50 and all(r["group_size"] == 12 for r in got)
+    text_of = {hashlib.sha256(f"text {k}".encode()).digest(): f"text {k}" for k in range(50)}
+    chains = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["chain"]):
+        chains[r["bucket"], r["hash"]].append((r["chain"], text_of[bytes(r["sha"])], r["keep_id"]))
+    assert len(chains) == 3
+    for chain in chains.values():
+        assert [c for c, _, _ in chain] == list(range(1, len(chain) + 1)) and [t for _, t, _ in chain] == sorted(t for _, t, _ in chain) and all(t == f"text {k}" for _, t, k in chain)
+
+
 def test_one_of_equal_rows_stays(spark):
     df = spark.createDataFrame([(1, "x"), (1, " x"), (1, "x"), (2, "x"), (None, "y"), (None, "y"), (1, "z"), (1, "z")], "doc_id long, text string")
     for hot in (1, 2_000):
