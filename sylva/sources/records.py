@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sylva import schemas
 from sylva.functions.kinds import parse_action, parse_file_type
 from sylva.functions.paths import path_key, scope_path
+from sylva.sources.ordered import RANGE_BYTES, ordered_records
 
 # The keys of a tagged record.
 TAGGED_KEYS = ("depotFile", "clientFile", "headAction", "headType", "headRev", "haveRev", "digest", "fileSize", "action")
@@ -39,10 +40,20 @@ def parse_tagged_blocks(blocks: DataFrame, policy: str = "unix") -> DataFrame:
     )
 
 
-def parse_tagged_records(spark: SparkSession, path: str, policy: str = "unix", crlf: bool = False) -> DataFrame:
-    """Depot rows of a text file of blocks with blank lines between; the last block needs none."""
-    text = spark.read.option("lineSep", "\r\n\r\n" if crlf else "\n\n").text(path)
-    return parse_tagged_blocks(text.select(F.monotonically_increasing_id().alias("seq"), "value"), policy)
+def parse_tagged_records(spark: SparkSession, path: str, policy: str = "unix", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Depot rows of text files of blocks with blank lines between, LF or CR LF; the last block needs none. seq is the place
+    in the files, whatever the splits."""
+    return parse_tagged_blocks(ordered_records(spark, path, True, range_bytes), policy)
+
+
+def read_have(spark: SparkSession, path: str, policy: str = "unix") -> DataFrame:
+    """``parse_have`` of files of JSON lines."""
+    return parse_have(ordered_records(spark, path), policy)
+
+
+def read_where(spark: SparkSession, path: str, policy: str = "unix") -> DataFrame:
+    """``parse_where`` of files of JSON lines."""
+    return parse_where(ordered_records(spark, path), policy)
 
 
 def parse_have(lines: DataFrame, policy: str = "unix") -> DataFrame:
@@ -61,10 +72,11 @@ def parse_where(lines: DataFrame, policy: str = "unix") -> DataFrame:
     return rows.groupBy("path_key").agg(F.max_by(F.struct("depot_file", "unmapped"), "seq").alias("r")).select("path_key", "r.*")
 
 
-def read_preview_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Feed records of JSON lines; a line that is cut off fails the job, as an incomplete feed proves nothing."""
+def read_preview_feed(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Feed records of JSON lines in their order; a line that is cut off fails the job, as an incomplete feed proves nothing."""
     schema = schemas.FEED.replace("seq long, ", "")
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("seq", F.monotonically_increasing_id())
+    lines = ordered_records(spark, path, range_bytes=range_bytes)
+    return lines.select("seq", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("seq", "r.*")
 
 
 def parse_native_reconcile(lines: DataFrame) -> DataFrame:

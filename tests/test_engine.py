@@ -161,7 +161,7 @@ def test_text_records(spark, tmp_path):
     assert [(r["depot_file"], r["client_key"], r["head_rev"], r["head_type"], r["unsupported_type"], r["digest"], r["error"]) for r in rows] == [
         ("//d/a", "/w/a", 3, "text", None, "abc", None), ("//d/b", None, None, None, None, None, "unknown action: zap"), ("//d/c", None, None, None, "strange", None, None)]
     (tmp_path / "g.txt").write_bytes(block.replace("\n", "\r\n").encode() + b"\r\n\r\n" + block.encode())
-    assert records.parse_tagged_records(spark, str(tmp_path / "g.txt"), crlf=True).count() == 2
+    assert records.parse_tagged_records(spark, str(tmp_path / "g.txt")).count() == 2
     lines = lambda *x: spark.createDataFrame(list(enumerate(x)), "seq long, value string")
     have = records.parse_have(lines('{"code":"stat","path":"/A","syncTime":"5"}', '{"code":"stat","path":"/A","syncTime":"x"}', '{"code":"info","path":"/B"}', "cut {"), "unix")
     assert [tuple(r) for r in have.collect()] == [("/A", None)]
