@@ -971,6 +971,20 @@ def inventory_order(s: Snapshots) -> DataFrame:
     return running(stored(placed, "order"), ["_at"], "place").select("path_key", "place")
 
 
+_ITEM = "l_orderkey, l_partkey, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber END AS line"
+
+
+@query(
+    f"""WITH a AS (SELECT {_ITEM} FROM lineitem), b AS (SELECT {_ITEM} FROM lineitem WHERE l_orderkey % 101 <> 0 UNION ALL SELECT {_ITEM} FROM lineitem WHERE l_partkey % 97 = 0),
+n AS (SELECT l_orderkey, l_partkey, line, sum(x) AS n_a, sum(1 - x) AS n_b FROM (SELECT *, 1 AS x FROM a UNION ALL SELECT *, 0 FROM b) u GROUP BY ALL)
+SELECT l_orderkey, l_partkey, line, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b FROM n WHERE n_a <> n_b"""
+)
+def changed_rows(s: Snapshots) -> DataFrame:
+    """Line items against themselves without some orders and with some parts twice."""
+    items = s.table("lineitem").selectExpr("l_orderkey", "l_partkey", "CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber END AS line")
+    return audit.changed_rows(items, items.where("l_orderkey % 101 <> 0").unionByName(items.where("l_partkey % 97 = 0")))
+
+
 _CRLF = "replace(text, chr(10), chr(13) || chr(10))"
 
 

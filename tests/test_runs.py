@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,27 @@ def test_fewest_batches_of_the_whole_list(spark, seed, range_rows):
     many = batching.fewest_batches(df, 10**9, 10**9, 16, range_rows).groupBy("batch").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).orderBy("batch").collect()
     assert len(many) >= 16 and all(x["b"] < y["a"] for x, y in zip(many, many[1:], strict=False)) and [r["batch"] for r in many] == list(range(len(many)))
     assert batching.fewest_batches(df.where("false"), 10, 10).isEmpty() and batching.fewest_batches(df, 10**9, 10**9).select("batch").distinct().count() == 1
+
+
+@pytest.mark.parametrize(("levels", "bits"), [(1, 2), (3, 8), (4, 3)])
+def test_changed_rows(spark, monkeypatch, levels, bits):
+    """Repeats, NULL in each place, rows of one side only, a row that is very frequent, equal and empty tables."""
+    monkeypatch.setattr(audit, "LEVEL_BITS", bits)
+    rng = random.Random(levels)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "x", "y"]), k % 40) for k in range(1_500)] + [(None, None, 0)] * 700
+    other = [r for r in rows if rng.random() < 0.98] + [(7, "new", 7)] * 3 + rows[:5]
+    schema = "a int, b string, c int"
+    left, right = spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)
+    n, m = Counter(rows), Counter(other)
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in audit.changed_rows(left, right, levels).collect()}
+    assert got == {r: (n[r], m[r]) for r in n.keys() | m.keys() if n[r] != m[r]}
+    assert audit.same_multiset(left, left.repartition(7).select("c", "a", "b")) and not audit.same_multiset(left, right) and not audit.same_multiset(left, left.unionByName(left.limit(1)))
+    assert not audit.same_multiset(spark.createDataFrame([(None, 1)], "a int, b int"), spark.createDataFrame([(1, None)], "a int, b int"))
+    assert audit.changed_rows(left.limit(0), left.limit(0)).isEmpty() and not audit.same_multiset(left, left.drop("a"))
+
+
+def test_only_differing_ranges_move(spark):
+    """One row in 100,000 differs: the last shuffle reads a few rows a side."""
+    a = spark.range(100_000).withColumn("v", F.col("id") % 7)
+    b = a.withColumn("v", F.when(F.col("id") == 77, 9).otherwise(F.col("v")))
+    assert {tuple(r) for r in audit.changed_rows(a, b).collect()} == {(77, 0, 1, 0), (77, 9, 0, 1)}
