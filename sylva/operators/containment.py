@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.paths import ancestors, is_under, parent_dir
+from sylva.sources.tables import stored
 
 #: Up to so many entries a scope is a predicate that reaches the scan; more go by a join.
 PREDICATE_ENTRIES = 20
@@ -29,18 +30,43 @@ def _parts(c: Column, sep: str) -> Column:
     return F.when(F.endswith(c, F.lit(sep)), F.lit(0)).otherwise(F.size(F.split(c, r"\\" if sep == "\\" else "/")))
 
 
-def mark_covered(df: DataFrame, entries: DataFrame, key: str, mark: str, sep: str = "/") -> DataFrame:
+def _by_depth(entries: DataFrame, sep: str) -> list[tuple[str, int, DataFrame]]:
+    """(kind, depth, entries (key)) of the depths at which entries (kind, key) lie, files all at depth 0. The entries are
+    written once, and a depth with at most BROADCAST_ROWS of them is marked for broadcast."""
+    depth = F.when(F.col("kind") == "dir", _parts(F.col("key"), sep)).otherwise(0)
+    known = stored(entries.select("kind", "key", depth.alias("n")).distinct(), "entries")
+    counts = known.groupBy("kind", "n").count().collect()  # at most the depth of a path
+    parts = [(r["kind"], r["n"], r["count"], known.where((F.col("kind") == r["kind"]) & (F.col("n") == r["n"])).select("key")) for r in counts]
+    return [(kind, n, F.broadcast(part) if size <= BROADCAST_ROWS else part) for kind, n, size, part in sorted(parts, key=lambda x: x[:2])]
+
+
+def _head(path: Column, kind: str, n: int, sep: str) -> Column:
+    """What of a path equals the key of an entry of that kind and depth that covers it."""
+    if kind != "dir":
+        return path
+    return F.substring_index(path, sep, n) if n else F.concat(F.substring_index(path, sep, 1), F.lit(sep))
+
+
+def mark_covered(df: DataFrame, entries: DataFrame, key: str, mark: str, sep: str = "/", strict: bool = False) -> DataFrame:
     """``df`` with boolean ``mark``: an entry (kind, key) covers the path in column ``key``: a dir itself and all below it,
-    a file exactly. A NULL path isn't covered."""
-    known = entries.select("kind", F.col("key").alias("_at"), _parts(F.col("key"), sep).alias("_n")).distinct()
-    depths = sorted((r["kind"] == "dir", r["_n"]) for r in known.select("kind", "_n").distinct().collect())  # at most the depth of a path
+    a file exactly. A NULL path isn't covered. ``strict``: only what lies below a dir."""
     found = F.lit(False)
-    for i, (is_dir, n) in enumerate(sorted({(d, n if d else 0) for d, n in depths})):
-        at = known.where(f"kind = 'dir' AND _n = {n}" if is_dir else "kind <> 'dir'").select(F.col("_at").alias(f"_at{i}")).distinct().withColumn(f"_hit{i}", F.lit(True))
-        head = F.col(key) if not is_dir else F.substring_index(F.col(key), sep, n) if n else F.concat(F.substring_index(F.col(key), sep, 1), F.lit(sep))
-        df = df.join(small(at), head == F.col(f"_at{i}"), "left").drop(f"_at{i}")
-        found = found | F.coalesce(F.col(f"_hit{i}"), F.lit(False))
-    return df.withColumn(mark, found).drop(*[f"_hit{i}" for i in range(len(depths))])
+    depths = _by_depth(entries.where("kind = 'dir'") if strict else entries, sep)
+    for i, (kind, n, at) in enumerate(depths):
+        df = df.join(at.withColumnRenamed("key", f"_at{i}"), _head(F.col(key), kind, n, sep) == F.col(f"_at{i}"), "left")
+        hit = F.col(f"_at{i}").isNotNull()
+        found = found | (hit & (F.col(key) != F.col(f"_at{i}")) if strict else hit)
+    return df.withColumn(mark, found).drop(*[f"_at{i}" for i in range(len(depths))])
+
+
+def holding(entries: DataFrame, paths: DataFrame, sep: str = "/", strict: bool = False) -> DataFrame:
+    """(kind, key) of the entries (kind, key) that cover one of the ``paths`` (p) at least; ``strict``: that hold one below
+    them. A path is cut at the depths at which entries lie and looked up there; it is never exploded into its ancestors."""
+    out = entries.sparkSession.createDataFrame([], "kind string, key string")
+    for kind, n, at in _by_depth(entries.where("kind = 'dir'") if strict else entries, sep):
+        cut = paths.where(F.col("p").isNotNull()).select("p", _head(F.col("p"), kind, n, sep).alias("key")).join(at, "key")
+        out = out.unionByName((cut.where("p <> key") if strict else cut).select(F.lit(kind).alias("kind"), "key").distinct())
+    return out
 
 
 def covers(path: Column, entries: list[tuple[str, str]], sep: str = "/") -> Column:
@@ -55,8 +81,8 @@ def covers(path: Column, entries: list[tuple[str, str]], sep: str = "/") -> Colu
 
 
 def _literal(entries: DataFrame) -> list[tuple[str, str]] | None:
-    rows = entries.select("kind", "key").distinct().limit(PREDICATE_ENTRIES + 1).collect()
-    return [(r["kind"], r["key"]) for r in rows] if len(rows) <= PREDICATE_ENTRIES else None
+    rows = entries.select("kind", "key").limit(PREDICATE_ENTRIES + 1).collect()
+    return sorted({(r["kind"], r["key"]) for r in rows}) if len(rows) <= PREDICATE_ENTRIES else None
 
 
 def keep_covered(df: DataFrame, entries: DataFrame, key: str, sep: str = "/") -> DataFrame:
@@ -98,16 +124,14 @@ def prune_dirs(df: DataFrame, pruned: DataFrame, key: str, sep: str = "/") -> Da
 
 def tracked_pruned_dirs(pruned: DataFrame, depot: DataFrame, sep: str = "/") -> DataFrame:
     """Pruned directories that hold tracked files; they must not be pruned after all."""
-    held = depot.select(parent_dir(F.col("client_key"), sep).alias("up")).distinct().select(F.explode(ancestors(F.col("up"), sep)).alias("dir_key")).distinct()
-    return pruned.join(held, "dir_key", "left_semi")
+    held = holding(pruned.select(F.lit("dir").alias("kind"), F.col("dir_key").alias("key")), depot.select(F.col("client_key").alias("p")), sep, strict=True)
+    return pruned.join(held.select(F.col("key").alias("dir_key")), "dir_key", "left_semi")
 
 
 def topmost(entries: DataFrame, sep: str = "/") -> DataFrame:
     """Entries (kind, key, ...) that no other directory entry covers; of equal keys a directory stays."""
     first = entries.groupBy("key").agg(F.min_by(F.struct(*[c for c in entries.columns if c != "key"]), F.struct("kind", F.col("path") if "path" in entries.columns else F.col("key"))).alias("r")).select("key", "r.*")
-    up = first.select("key", F.explode(ancestors(F.col("key"), sep)).alias("_at")).where(F.col("_at") != F.col("key"))
-    under = up.join(small(first.where("kind = 'dir'").select(F.col("key").alias("_at"))), "_at", "left_semi").select("key").distinct()
-    return first.join(under, "key", "left_anti").select(*entries.columns)
+    return mark_covered(first, entries, "key", "_under", sep, strict=True).where("NOT _under").select(*entries.columns)
 
 
 def list_directories(inventory: DataFrame, root: str, ignore_name: str = ".p4ignore", fold: bool = False, sep: str = "/") -> DataFrame:
@@ -125,17 +149,17 @@ def list_directories(inventory: DataFrame, root: str, ignore_name: str = ".p4ign
 
 
 def unmatched_entries(scope: DataFrame, depot: DataFrame, inventory: DataFrame, sep: str = "/") -> DataFrame:
-    """Include entries with no row on either side. The exploded side is the distinct covered keys, never the entries."""
-    seen = depot.select(F.col("client_key").alias("p")).unionByName(inventory.select(F.col("path_key").alias("p"))).where("p IS NOT NULL")
-    up = seen.select(F.explode(ancestors(F.col("p"), sep)).alias("key"), "p").select("key", (F.col("key") == F.col("p")).alias("itself")).groupBy("key").agg(F.bool_or("itself").alias("itself"))
-    hit = up.join(small(scope.where("role = 'include'").select("key", "kind")), "key").where((F.col("kind") == "dir") | F.col("itself")).select("key", "kind")
-    return scope.where("role = 'include'").join(hit, ["key", "kind"], "left_anti")
+    """Include entries with no row on either side."""
+    seen = depot.select(F.col("client_key").alias("p")).unionByName(inventory.select(F.col("path_key").alias("p")))
+    included = scope.where("role = 'include'")
+    return included.join(holding(included.select("kind", "key"), seen, sep), ["key", "kind"], "left_anti").select(*scope.columns)
 
 
 def missing_roots(scope: DataFrame, inventory: DataFrame, sep: str = "/") -> DataFrame:
     """Include entries of kind dir with no file below: they are zero local files and no error, and the store's side counts."""
-    held = inventory.select(parent_dir(F.col("path_key"), sep).alias("up")).distinct().select(F.explode(ancestors(F.col("up"), sep)).alias("key")).distinct()
-    return scope.where("role = 'include' AND kind = 'dir'").join(held, "key", "left_anti")
+    roots = scope.where("role = 'include' AND kind = 'dir'")
+    held = holding(roots.select("kind", "key"), inventory.select(F.col("path_key").alias("p")), sep, strict=True)
+    return roots.join(held.select("key"), "key", "left_anti").select(*scope.columns)
 
 
 def scope_matched(scope: DataFrame, unmatched: DataFrame) -> DataFrame:
