@@ -103,6 +103,17 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, longer by underscores where ``df`` has a column of that name in any case: for columns that go again."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 1,000 rows or 32 MB, so that a Python worker's memory doesn't follow text length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

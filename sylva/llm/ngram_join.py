@@ -459,6 +459,6 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = docs.select(F.struct(*docs.columns).alias("_doc"), *_found_by())
     kept = by_ids(named, dropped, ["row", "print"], "left_anti")
     if not repeated.isEmpty():
-        once = by_ids(kept, repeated, ["row", "print"], "left_semi").groupBy("row", "print").agg(F.min("_doc").alias("_doc"))
+        once = by_ids(kept, repeated, ["row", "print"], "left_semi").groupBy("row", "print").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))  # columns of any type, maps too
         kept = by_ids(kept, repeated, ["row", "print"], "left_anti").select("_doc").unionByName(once.select("_doc"))
     return kept.select("_doc.*")

@@ -125,7 +125,8 @@ def entropy_spans(text: Column, base: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with base_spans and secret_spans (all, by start and kind): arrays of (start, rank, kind, end)."""
+    """``docs`` with base_spans and secret_spans (all, by start and kind): arrays of (start, rank, kind, end). Columns of these
+    names, results of an earlier scan for one, are replaced; all others are kept."""
     docs = docs.withColumn("base_spans", base_spans(F.col("text")))
     return docs.withColumn("secret_spans", F.sort_array(F.concat("base_spans", entropy_spans(F.col("text"), F.col("base_spans")))))
 

@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 LAW = "key"
 MAX_CELLS = 32_768
 _HEX = 13
@@ -47,17 +49,18 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], grown: Sequ
 def add_slots(df: DataFrame, key: str, order: Sequence[str], n_shards: int) -> DataFrame:
     """``df`` (with shard) plus slot: gapless from 0 in each shard, ordered by bucket, key and ``order``."""
     buckets = max(16, MAX_CELLS // max(1, n_shards))
-    df = df.withColumn("_bucket", _draw(F.coalesce(F.col(key).cast("string"), F.lit("")), "slot") % buckets)
-    ahead = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy("shard", "_bucket").count().select("shard", "_bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(key, *order))
-    ranked = df.withColumn("_rank", rank)
+    bucket, ahead_of, rank = free_names(df, "_bucket", "_offset", "_rank")
+    df = df.withColumn(bucket, _draw(F.coalesce(F.col(key).cast("string"), F.lit("")), "slot") % buckets)
+    ahead = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias("rows")).select("shard", bucket, F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias(ahead_of))
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(key, *order)))
     # at most buckets x n_shards rows, whatever the input
-    return ranked.join(F.broadcast(offsets), ["shard", "_bucket"]).withColumn("slot", F.col("_offset") + F.col("_rank") - 1).drop("_bucket", "_rank", "_offset")
+    return ranked.join(F.broadcast(offsets), ["shard", bucket]).withColumn("slot", F.col(ahead_of) + F.col(rank) - 1).drop(bucket, rank, ahead_of)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, weights: Sequence[float] | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document; text is read once and not shuffled."""
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document; text is read for
+    the sizes of the slots' buckets and for the rows, and isn't shuffled."""
     weights = list(weights or [1.0] * n_shards)
     sized = docs.select(
         "doc_id",

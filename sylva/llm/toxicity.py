@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 BITS = 21
 GRADES = 3
 #: Labelled documents that the model is fitted on, at most (about; chosen by a hash of doc_id).
@@ -167,6 +169,6 @@ def severity(model: OrdinalModel, text: Column) -> Column:
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``docs`` with expected_severity and grade."""
-    return docs.withColumn("_severity", severity(model, F.col("text"))).withColumns(
-        {"expected_severity": F.col("_severity.expected_severity"), "grade": F.col("_severity.grade")}
-    ).drop("_severity")
+    (own,) = free_names(docs, "_severity")
+    scored = docs.withColumn(own, severity(model, F.col("text")))
+    return scored.withColumns({"expected_severity": F.col(f"{own}.expected_severity"), "grade": F.col(f"{own}.grade")}).drop(own)

@@ -145,3 +145,12 @@ def test_shuffled_ways(spark, monkeypatch):
     base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
     rows = [(i, " ".join([*base[: 59 - i % 3], f"v{i % 7}"])) for i in range(70)] + [(100 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(40)]
     check(spark, rows)
+
+
+def test_keep_one_with_columns_that_have_no_order(spark):
+    """A MAP column, with and without a repeated row: one of equal rows stays."""
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, words, {"a": 1}), (1, words, {"a": 1}), (2, words + " x", {"b": 2}), (3, "other " * 3, None), (3, "other " * 3, None), (4, None, {}), (4, None, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, facts map<string,int>")
+    assert sorted((r["doc_id"], r["facts"] or {}) for r in nj.keep_one(docs).collect()) == [(1, {"a": 1}), (3, {}), (4, {}), (4, {})]
+    assert nj.keep_one(docs.dropDuplicates(["doc_id"])).count() == 3
