@@ -99,7 +99,7 @@ def test_digests(spark):
     text = [(b"a\r\nb\r\n", b"a\nb\n"), (b"a\r\nb\nc", b"a\nb\nc"), (b"a\r\r\n", b"a\r\n"), (b"a\r", b"a\r"), (b"", b""), (b"\r\n\r\n", b"\n\n"), (bytes(range(256)), bytes(range(256)))]
     run(spark, [(a, md5(b)) for a, b in text], digests.digest_text, "binary")
     utf8 = [(b"\xef\xbb\xbfa\r\nb", b"a\nb"), (b"plain\r\n", b"plain\n"), (b"\xef\xbb\xbf", b""), ("\ufeffä\r\n".encode("utf-16-le"), "ä\n".encode()), ("\ufeffä".encode("utf-16-be"), "ä".encode())]
-    run(spark, [(a, md5(b)) for a, b in utf8] + [(b"\xff\xfea", None), (b"\xef\xbb\xbf\xff", None)], digests.digest_utf8, "binary")
+    run(spark, [(a, md5(b)) for a, b in utf8] + [(b"\xff\xfea", md5("\ufffd".encode())), (b"\xef\xbb\xbf\xff", md5("\ufffd".encode()))], digests.digest_utf8, "binary")
     run(spark, [("a\\b", md5(b"a/b\n"))], digests.digest_symlink)
     df = spark.createDataFrame([(b"a\r\n", "text"), (b"a\r\n", "binary"), (b"a\r\n", "utf8"), (b"a", "apple"), (b"t\r\n", "symlink")], "c binary, t string")
     assert [r[0] for r in df.select(digests.digest(F.col("c"), F.col("t"))).collect()] == [md5(b"a\n"), md5(b"a\r\n"), md5(b"a\n"), None, md5(b"t\n")]
