@@ -128,25 +128,25 @@ def ascii_safe(c: Column) -> Column:
 
 
 def scope_path(c: Column, kind: Column) -> tuple[Column, Column]:
-    """(path, reason) of a path in a scope document: relative to the root, ``/`` only, literal; NULL path with a reason
-    where it is none. The order of the rules decides the reason."""
+    """(path, reason) of a path in a scope document: relative to the root, ``/`` only, literal; NULL path with a reason,
+    a code and a sentence, where it is none. The order of the rules decides the reason."""
     raw = F.split(c, "/")
     named = F.filter(raw, lambda p: (p != "") & (p != "."))
     levels = F.transform(F.sequence(F.lit(1), F.size(named)), lambda i: F.aggregate(F.slice(named, 1, i), F.lit(0), lambda n, p: n + F.when(p == "..", F.lit(-1)).otherwise(F.lit(1))))
     first_up = F.when(F.size(named) > 0, F.array_position(F.transform(levels, lambda n: n < 0), True)).otherwise(F.lit(0))
     first_dots = F.array_position(named, "...")
-    quoted = F.concat(F.lit('"'), c, F.lit('"'))
+    because = lambda code, why: F.concat(F.lit(f'{code}: "'), c, F.lit(f'" {why}'))
     path = F.array_join(_folded(raw), "/")
     steps_above = (first_up > 0) & ((first_dots == 0) | (first_up < first_dots))
     reason = (
-        F.when(F.length(c) == 0, F.lit("empty path"))
-        .when(F.instr(c, "\0") > 0, F.concat(quoted, F.lit(" contains a NUL byte")))
-        .when(F.instr(c, "\\") > 0, F.concat(quoted, F.lit(" contains a backslash; only / separates")))
-        .when(F.startswith(c, F.lit("/")), F.concat(quoted, F.lit(" is an absolute path; entries are relative to the client root")))
-        .when(c.rlike("^[A-Za-z]:"), F.concat(quoted, F.lit(" starts with a drive letter")))
-        .when(c.rlike("[*?]"), F.concat(quoted, F.lit(" contains a wildcard; entries are literal")))
-        .when(steps_above, F.concat(quoted, F.lit(" steps above the client root")))
-        .when(first_dots > 0, F.concat(quoted, F.lit(' contains "..."; a directory needs no suffix')))
-        .when((path == "") & (kind == "file"), F.concat(quoted, F.lit(" names the client root itself, which is no file")))
+        F.when(F.length(c) == 0, F.lit("empty: an entry needs a path"))
+        .when(F.instr(c, "\0") > 0, because("nul", "has the character of code 0"))
+        .when(F.instr(c, "\\") > 0, because("backslash", "parts its directories by something else than /"))
+        .when(F.startswith(c, F.lit("/")), because("absolute", "begins at a root, where entries begin below it"))
+        .when(c.rlike("^[A-Za-z]:"), because("drive", "begins with the name of a drive"))
+        .when(c.rlike("[*?]"), because("pattern", "may stand for several paths, where an entry names one"))
+        .when(steps_above, because("above", "leads out of the root on its way"))
+        .when(first_dots > 0, because("dots", "asks for all below a directory, which a directory does anyway"))
+        .when((path == "") & (kind == "file"), because("root", "is the root, where a file was announced"))
     )
     return F.when(reason.isNull(), F.when(path == "", F.lit(".")).otherwise(path)), reason

@@ -56,7 +56,7 @@ def build_scope(
     always wins. The scope file itself is an implicit exclusion."""
     sep = separator(policy)
     if config is None and targets is None:
-        raise PlanRefused("no_path", ["No path given"], 0)
+        raise PlanRefused("no_path", ["a run takes its paths from a scope document or from its own list, and has neither"], 0)
     nothing = spark.createDataFrame([], "kind string, path string, key string")
     excluded = excludes.select(*_ENTRY) if excludes is not None else nothing
     base = None
@@ -77,7 +77,7 @@ def build_scope(
     include = topmost(drop_covered(include, excluded.unionByName(implicit), "key", sep), sep)
     if include.isEmpty():
         shown = [f"{r['kind']} {r['path']}" for r in (base if base is not None else nothing).limit(10).collect()] or ["include <empty>"]
-        raise PlanRefused("no_overlap", ["the given paths do not overlap the configured scope", *shown], 0)
+        raise PlanRefused("no_overlap", ["no path of the run's list is in the scope document", *shown], 0)
     if targets is not None:
         lost = dropped_targets(targets.select(*_ENTRY), include, excluded.unionByName(implicit), sep)
         refuse_if_any(lost, "dropped_targets", F.col("path"))

@@ -101,41 +101,41 @@ def read_scope_documents(documents: DataFrame) -> DataFrame:
 
     def once(pairs: list[tuple[str, object]]) -> dict[str, object]:
         if len({k for k, _ in pairs}) < len(pairs):
-            raise Wrong("not valid JSON: duplicate key")
+            raise Wrong("twice: a field of one object is given two times")
         return dict(pairs)
 
     def read(raw: bytes | None) -> tuple[bool, list[tuple[str, str, str]]]:
         if raw is None or len(raw) > MAX_DOCUMENT:
-            raise Wrong("no document" if raw is None else "larger than 1 MiB")
+            raise Wrong("missing: there is no document" if raw is None else f"large: the document takes more than {MAX_DOCUMENT} bytes")
         try:
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
-            raise Wrong("not valid UTF-8") from None
+            raise Wrong("encoding: the document isn't written in UTF-8") from None
         try:
             doc = json.loads(text, object_pairs_hook=once)
         except (json.JSONDecodeError, RecursionError) as e:
-            raise Wrong(f"not valid JSON: {e}") from None
+            raise Wrong(f"syntax: the document can't be parsed ({e})") from None
         if not isinstance(doc, dict):
-            raise Wrong("the config must be a JSON object")
+            raise Wrong("object: the document is a value without fields")
         entries = []
         for key in doc:
             if key not in ("include", "exclude"):
-                raise Wrong(f'unknown field "{key}"; only "include" and "exclude" are known')
+                raise Wrong(f'field: nothing is known about "{key}" in a document')
         for role in ("include", "exclude"):
             items = doc.get(role, [])
             if not isinstance(items, list):
-                raise Wrong(f'"{role}" must be an array')
+                raise Wrong(f"list: {role} holds something else than entries")
             for item in items:
                 if not isinstance(item, dict):
-                    raise Wrong(f"{role}: an entry must be a JSON object")
+                    raise Wrong(f"object: {role} has an entry without fields")
                 for key in item:
                     if key not in ("dir", "file"):
-                        raise Wrong(f'{role}: unknown field "{key}"')
+                        raise Wrong(f'field: nothing is known about "{key}" in an entry of {role}')
                 if len(item) != 1:
-                    raise Wrong(f'{role}: expected exactly one of "dir" or "file"')
+                    raise Wrong(f"one: an entry of {role} names {len(item)} paths")
                 kind, path = next(iter(item.items()))
                 if not isinstance(path, str):
-                    raise Wrong(f'{role}: "{kind}" must be a string')
+                    raise Wrong(f"text: the {kind} of an entry of {role} isn't text")
                 entries.append((role, kind, path))
         return "include" in doc, entries
 
@@ -154,7 +154,7 @@ def read_scope_documents(documents: DataFrame) -> DataFrame:
 
     parsed = documents.select("doc_id", "content").mapInPandas(parse, _ENTRIES)
     path, reason = scope_path(F.col("raw"), F.col("kind"))
-    return parsed.select("doc_id", "include_given", "role", "kind", "place", F.when(F.col("kind").isNotNull(), path).alias("path"), F.coalesce(F.col("error"), F.when(F.col("kind").isNotNull() & reason.isNotNull(), F.concat(F.col("role"), F.lit(": "), reason))).alias("error"))
+    return parsed.select("doc_id", "include_given", "role", "kind", "place", F.when(F.col("kind").isNotNull(), path).alias("path"), F.coalesce(F.col("error"), F.when(F.col("kind").isNotNull() & reason.isNotNull(), F.concat(reason, F.lit(" ("), F.col("role"), F.lit(")")))).alias("error"))
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -66,12 +66,12 @@ def test_client_syntax(spark):
 def test_scope_paths(spark):
     rows = [
         ("src/deep", "dir", "src/deep", None), ("./src//deep/./", "dir", "src/deep", None), ("a/../b", "dir", "b", None), (".", "dir", ".", None), ("a/..", "dir", ".", None), ("使用 #1@x%.txt", "file", "使用 #1@x%.txt", None),
-        ("", "dir", None, "empty"), ("a\0b", "dir", None, "NUL"), ("a\\b", "dir", None, "backslash"), ("/abs", "dir", None, "absolute"), ("C:/w", "dir", None, "drive"), ("a/*.txt", "dir", None, "wildcard"), ("a?", "file", None, "wildcard"),
-        ("a/../../b", "dir", None, "above"), ("a/...", "dir", None, "..."), ("../...", "dir", None, "above"), (".../..", "dir", None, "..."), (".", "file", None, "root itself"), ("..", "file", None, "above"),
+        ("", "dir", None, "empty:"), ("a\0b", "dir", None, "nul:"), ("a\\b", "dir", None, "backslash:"), ("/abs", "dir", None, "absolute:"), ("C:/w", "dir", None, "drive:"), ("a/*.txt", "dir", None, "pattern:"), ("a?", "file", None, "pattern:"),
+        ("a/../../b", "dir", None, "above:"), ("a/...", "dir", None, "dots:"), ("../...", "dir", None, "above:"), (".../..", "dir", None, "dots:"), (".", "file", None, "root:"), ("..", "file", None, "above:"),
     ]
     path, reason = paths.scope_path(F.col("p"), F.col("k"))
     for r in spark.createDataFrame(rows, "p string, k string, want string, why string").select("*", path.alias("got"), reason.alias("reason")).collect():
-        assert r["got"] == r["want"] and (r["why"] is None) == (r["reason"] is None) and (r["why"] or "") in (r["reason"] or ""), r
+        assert r["got"] == r["want"] and (r["why"] is None) == (r["reason"] is None) and (r["reason"] or "").startswith(r["why"] or ""), r
 
 
 def test_case_equal(spark):
