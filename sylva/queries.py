@@ -286,14 +286,14 @@ def union_inventories(s: Snapshots) -> DataFrame:
 # ---- digests ----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, md5(replace(text, chr(10), chr(13) || chr(10))) AS raw, md5(text) AS normal FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'")
+@query("SELECT doc_id, md5(replace(text, chr(10), chr(13) || chr(10))) AS raw, md5(text) AS normal FROM documents")
 def digest_text_md5(s: Snapshots) -> DataFrame:
     """Text with CR LF line ends has the fingerprint of the text with LF."""
     crlf = F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8")
     return s.table("documents").select("doc_id", digests.digest_binary(crlf).alias("raw"), digests.digest_text(crlf).alias("normal"))
 
 
-@query("SELECT doc_id, md5(text) AS bom8, md5(text) AS le, md5(text) AS be FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'")
+@query("SELECT doc_id, d AS bom8, d AS le, d AS be FROM (SELECT doc_id, md5(replace(text, chr(13) || chr(10), chr(10))) AS d FROM documents) t")
 def digest_utf8_boms(s: Snapshots) -> DataFrame:
     """UTF-8 and both UTF-16 byte orders with a mark have the fingerprint of the plain text with LF line ends."""
     mark = lambda bom, charset: F.concat(F.unhex(F.lit(bom)), F.encode("text", charset))
@@ -322,11 +322,10 @@ def merge_cache(s: Snapshots) -> DataFrame:
     return inventory.merge_digest_cache(w, w.where("size % 2 = 0").withColumn("digest", F.lit("fresh"))).select("path_key", "digest")
 
 
-@query("SELECT CAST(doc_id AS BIGINT) AS doc_id, text, false AS replaced FROM documents WHERE lang = 'de'")
+@query("SELECT CAST(doc_id AS BIGINT) AS doc_id, text, false AS replaced FROM documents")
 def decode_charset(s: Snapshots) -> DataFrame:
-    """German texts as UTF-8; ``decode_charset_all`` has all documents and the fallback."""
-    docs = s.table("documents").where("lang = 'de'")
-    got = docs.select("doc_id", digests.decode_charset(F.encode("text", "UTF-8"), "utf8").alias("d"))
+    """All texts as UTF-8; ``decode_charset_all`` has the fallback, too."""
+    got = s.table("documents").select("doc_id", digests.decode_charset(F.encode("text", "UTF-8"), "utf8").alias("d"))
     return got.select("doc_id", "d.text", "d.replaced")
 
 
@@ -606,7 +605,7 @@ def file_type_map(s: Snapshots) -> DataFrame:
     return s.depot.select("seq", "head_type", "unsupported_type")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) < 1024 THEN length(text) || ' B' ELSE printf('%.2f KiB', length(text) / 1024.0) END AS size FROM documents WHERE length(text) < 1000000")
+@query("SELECT doc_id, CASE WHEN length(text) < 1024 THEN length(text) || ' B' WHEN length(text) < 1048576 THEN printf('%.2f KiB', length(text) / 1024.0) ELSE printf('%.2f MiB', length(text) / 1048576.0) END AS size FROM documents")
 def human_bytes(s: Snapshots) -> DataFrame:
     return s.table("documents").select("doc_id", messages.human_bytes(F.length("text").cast("long")).alias("size"))
 
