@@ -26,7 +26,7 @@ UNDETERMINED = "und"
 SIZES = (3, 4)
 HASHES = 3
 #: Code points handled at once; longer texts are walked in overlapping pieces.
-PIECE = 400_000
+PIECE = 100_000
 
 
 @dataclass(frozen=True)
