@@ -1025,10 +1025,11 @@ def pruning_plan(s: Snapshots) -> DataFrame:
     seventh order anywhere; the questions asked are the fewest that settle this."""
     s.table("documents").createOrReplaceTempView("documents")
     rules = s.spark.sql(_RULES).where("value <> '#WHAT' AND value NOT LIKE '%!keep'")
-    d = s.table("lineitem").select(F.expr(_TOP).alias("top"), F.expr(_ORDER).alias("k"), "l_orderkey")
-    seventh = d.where("l_orderkey % 7 = 0").select(F.concat_ws("/", "top", F.col("l_orderkey").cast("string")).alias("path"))
-    whole = d.where("k = 0").select(F.col("top").alias("path")).unionByName(seventh)
-    yes = whole.unionByName(whole.select(F.concat("path", F.lit("/__probe__")).alias("path"))).unionByName(d.where("k = 1").select(F.col("top").alias("path"))).distinct()
+    d = s.table("lineitem")
+    tops = d.select(F.expr(_TOP).alias("path"), F.expr(_ORDER).alias("k")).where("k < 2").distinct()
+    seventh = d.where("l_orderkey % 7 = 0").select("l_orderkey").distinct().select(F.expr(f"{_TOP} || '/' || l_orderkey").alias("path"))
+    whole = tops.where("k = 0").select("path").unionByName(seventh)
+    yes = whole.select(F.explode(F.array("path", F.concat("path", F.lit("/__probe__")))).alias("path")).unionByName(tops.where("k = 1").select("path"))
     planned = pruning.plan_pruning(containment.list_directories(s.view("wide"), "/ws"), rules, pruning.answers_from(yes.select(F.concat("path", F.lit(" ignored")).alias("value"))))
     return planned.pruned.withColumn("questions", F.lit(planned.questions).cast("long"))
 

@@ -132,6 +132,30 @@ def test_pruning_asks_as_little_as_it_can(spark, seed):
     assert pruning.plan_pruning(table.limit(0), rules, ask).pruned.isEmpty()
 
 
+def test_pruning_reads_its_tables_once(spark):
+    """Rows made of directories and of recorded answers, over three levels, by counting; each question is answered once."""
+    made = {"dirs": spark.sparkContext.accumulator(0), "lines": spark.sparkContext.accumulator(0), "answers": spark.sparkContext.accumulator(0)}
+
+    def counted(df, name, column):
+        seen = made[name]
+
+        @F.udf("string")
+        def same(x):
+            seen.add(1)
+            return x
+
+        return df.withColumn(column, same.asNondeterministic()(column))
+
+    dirs = [(f"/w/{'/'.join(p)}", len(p), False) for p in ("a", "b", "bc", "bd", "bce")]
+    lines = [f"/w/{x} ignored" for x in ("a", "a/__probe__", "b", "b/c/e", "b/c/e/__probe__")]
+    table = counted(spark.createDataFrame(dirs, "dir_key string, depth int, nested_ignore boolean"), "dirs", "dir_key")
+    known = pruning.answers_from(counted(spark.createDataFrame([(x,) for x in lines], "value string"), "lines", "value"))
+    rules = spark.createDataFrame([("#FILE /w/.p4ignore",)], "value string")
+    got = pruning.plan_pruning(table, rules, lambda q: counted(known(q), "answers", "value"))
+    assert {r["dir_key"] for r in got.pruned.collect()} == {"/w/a", "/w/b/c/e"} and got.questions == 8
+    assert {n: c.value for n, c in made.items()} == {"dirs": len(dirs), "lines": len(lines), "answers": len(lines)}
+
+
 def test_a_run_prunes(spark):
     """Files in ignored directories are no adds, but tracked ones among them are still compared; without pruning all count."""
     files = ["out/a.o", "out/sub/b.o", "out2/c.o", "held/d.o", "held/t", "src/e"]
