@@ -124,32 +124,27 @@ def unchanged_since_sync(mtime: Column, sync_time: Column) -> Column:
     return F.coalesce((F.abs(seconds - sync_time) <= 1) & (F.unix_micros(mtime) >= 0), F.lit(False))
 
 
-def decode_charset(content: Column, charset: str) -> Column:
-    """Struct (text, replaced): UTF-8 strictly, else as Windows-1252; other charsets with replacement. Spark decodes few
-    charsets, so this is an Arrow batch function."""
-    codec = CODECS.get(charset)
-
+def _decode_batches(content: Column, codec: str) -> Column:
     @F.pandas_udf("text string, replaced boolean")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def one(raw: bytes | None) -> tuple[str | None, bool | None]:
-            if raw is None:
-                return None, None
-            raw = bytes(raw)
-            if codec in (None, "utf-8"):
-                try:
-                    return raw.decode("utf-8"), False
-                except UnicodeDecodeError:
-                    text = raw.decode("cp1252", "replace")
-            else:
-                text = raw.decode(codec, "replace")
-            return text, "�" in text
-
         for batch in batches:
-            yield pd.DataFrame([one(x) for x in batch], columns=["text", "replaced"])
+            texts = [None if raw is None else bytes(raw).decode(codec, "replace") for raw in batch]
+            yield pd.DataFrame({"text": pd.Series(texts, dtype=object), "replaced": pd.Series([None if x is None else "\ufffd" in x for x in texts], dtype=object)})
 
     return decoded(content)
 
 
+def decode_charset(content: Column, charset: str) -> Column:
+    """Struct (text, replaced): UTF-8 strictly, else as Windows-1252; other charsets with replacement. Spark decodes few
+    charsets, so what isn't UTF-8 goes through Arrow batches of whole contents: bound them by ``small_batches``."""
+    codec = CODECS.get(charset, "utf-8")
+    if codec != "utf-8":
+        return _decode_batches(content, codec)
+    text = content.cast("string")
+    well = F.is_valid_utf8(text)
+    return F.when(well, F.struct(text.alias("text"), F.lit(False).alias("replaced"))).otherwise(_decode_batches(F.when(~well, content), "cp1252"))
+
+
 def strip_bom(content: Column, charset: str) -> Column:
     """Without the byte order mark of the given charset; another charset's mark is content."""
     mark = {"utf-8": "EFBBBF", "utf-16-le": "FFFE", "utf-16-be": "FEFF"}.get(CODECS.get(charset, ""), "")

@@ -7,7 +7,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from sylva.operators import audit, batching, containment, feed, guards, ignore,
 from sylva.plans import classify
 from sylva.plans.reconcile import PlanResult, Tables, reconcile
 from sylva.sources import content, inventory, records, sinks
-from sylva.sources.tables import running, stored
+from sylva.sources.tables import running, small_batches, stored
 
 TABLES = ("documents", "orders", "lineitem", "events", "pages", "customer")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -298,6 +297,7 @@ def digest_utf8_boms(s: Snapshots) -> DataFrame:
     """UTF-8 and both UTF-16 byte orders with a mark have the fingerprint of the plain text with LF line ends."""
     mark = lambda bom, charset: F.concat(F.unhex(F.lit(bom)), F.encode("text", charset))
     of = digests.digest_utf8
+    small_batches(s.spark)  # UTF-16 leaves the JVM
     return s.table("documents").select("doc_id", of(mark("EFBBBF", "UTF-8")).alias("bom8"), of(mark("FFFE", "UTF-16LE")).alias("le"), of(mark("FEFF", "UTF-16BE")).alias("be"))
 
 
@@ -333,13 +333,13 @@ def decode_charset(s: Snapshots) -> DataFrame:
 def decode_charset_all(s: Snapshots) -> DataFrame:
     """All documents: a quarter in Windows-1252 (other characters as ?), a quarter as UTF-8 and a byte that neither
     charset has, the rest as UTF-8. SQL can't encode Windows-1252, so tests compare with brute force."""
-
-    @F.pandas_udf("binary")
-    def cp1252(texts: pd.Series) -> pd.Series:
-        return pd.Series([x.encode("cp1252", "replace") if isinstance(x, str) else None for x in texts], dtype=object)
-
+    small_batches(s.spark)
+    high = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(128, 160)]
+    marks, bytes_ = "".join(c for _, c in high), "".join(b for b, c in high if c)
+    known = F.translate(F.regexp_replace("text", rf"[^\x00-\x7F\xA0-\xFF{marks}]", "?"), marks, bytes_)
+    cp1252 = F.encode(F.when(F.col("text").rlike(r"[^\x00-\x7F\xA0-\xFF]"), known).otherwise(F.col("text")), "ISO-8859-1")
     utf8, quarter = F.encode("text", "UTF-8"), F.pmod("doc_id", F.lit(4))
-    raw = F.when(quarter == 0, cp1252("text")).when(quarter == 1, F.concat(utf8, F.unhex(F.lit("81")))).otherwise(utf8)
+    raw = F.when(quarter == 0, cp1252).when(quarter == 1, F.concat(utf8, F.unhex(F.lit("81")))).otherwise(utf8)
     got = s.table("documents").select("doc_id", digests.decode_charset(raw, "utf8").alias("d"))
     return got.select("doc_id", "d.text", "d.replaced")
 

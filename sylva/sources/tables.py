@@ -34,6 +34,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows or 32 MB in this session, so that a Python worker's memory doesn't follow the
+    table or the length of its texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
 def running(df: DataFrame, order: list, into: str, value: str | None = None, rows: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with column ``into``: the running sum of ``value`` (1 a row if None) up to and with each row in the order.
 

@@ -1,10 +1,12 @@
 """Column functions, case by case."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sylva import queries
 from sylva.functions import digests, kinds, messages, paths
 
 
@@ -120,6 +122,48 @@ def test_charsets(spark):
     assert bytes(rows.select(digests.strip_bom(F.col("c"), "utf8")).first()[0]) == b"a" and bytes(rows.select(digests.strip_bom(F.col("c"), "utf16le")).first()[0]) == b"\xef\xbb\xbfa"
 
 
+def test_every_charset_by_brute_force(spark):
+    rng = random.Random(5)
+    raws = [bytes(range(256)), b"", None, b"\xc0\xaf", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xe2\x82", "ä€\U0001f600".encode(), b"\xef\xbf\xbd", b"\x80\x81", b"a\0b"]
+    raws += [bytes(rng.choices(range(256), k=rng.randrange(40))) for _ in range(200)] + [bytes([b]) for b in range(256)]
+    df = spark.createDataFrame(list(enumerate(raws)), "i int, c binary")
+
+    def want(raw, codec):
+        if raw is None:
+            return None, None
+        if codec == "utf-8":
+            try:
+                return raw.decode(), False
+            except UnicodeDecodeError:
+                codec = "cp1252"
+        text = raw.decode(codec, "replace")
+        return text, "\ufffd" in text
+
+    names = [*{c: n for n, c in kinds.CODECS.items()}.values(), "unknown"]
+    for row in df.select("i", *[digests.decode_charset(F.col("c"), n).alias(n) for n in names]).collect():
+        for n in names:
+            assert tuple(row[n]) == want(raws[row["i"]], kinds.CODECS.get(n, "utf-8")), (n, raws[row["i"]])
+
+
+def test_utf8_stays_in_the_jvm(spark, monkeypatch):
+    """Python gets nothing of a text that is UTF-8."""
+    monkeypatch.setattr(digests, "_decode_batches", lambda content, codec: F.struct(F.concat(F.lit(f"{codec} "), F.hex(content)).alias("text"), F.lit(True).alias("replaced")))
+    df = spark.createDataFrame([("ä".encode(),), (b"\xe4",), (b"",)], "c binary")
+    got = df.select(digests.decode_charset(F.col("c"), "utf8").alias("d"))
+    assert [tuple(r["d"]) for r in got.collect()] == [("ä", False), ("cp1252 E4", True), ("", False)]
+    sent = []
+    monkeypatch.setattr(digests, "_decode_batches", lambda content, codec: sent.append(content) or F.struct(F.lit("").alias("text"), F.lit(True).alias("replaced")))
+    digests.decode_charset(F.col("c"), "utf8")
+    assert [r[0] for r in df.select(sent[0]).collect()] == [None, b"\xe4", None]
+
+
+@pytest.mark.parametrize("name", ["decode_charset_all", "digest_utf8_boms"])
+def test_whole_texts_go_in_small_batches(spark, sf, name):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    queries.QUERIES[name](spark, sf)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(32 << 20)
+
+
 def test_messages(spark):
     one = lambda x, f: spark.createDataFrame([(x,)], "x string").select(f(F.col("x")).alias("y")).first()["y"]
     assert tuple(one("//d/a#b#12 - can't overwrite existing file C:\\w\\a - b", messages.parse_refusal)) == ("//d/a#b", "12", "overwrite_existing", "C:\\w\\a - b")
