@@ -157,7 +157,7 @@ def test_utf8_stays_in_the_jvm(spark, monkeypatch):
     assert [r[0] for r in df.select(sent[0]).collect()] == [None, b"\xe4", None]
 
 
-@pytest.mark.parametrize("name", ["decode_charset_all", "digest_utf8_boms"])
+@pytest.mark.parametrize("name", ["decode_charset", "decode_charset_all", "digest_utf8_boms"])
 def test_whole_texts_go_in_small_batches(spark, sf, name):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     queries.QUERIES[name](spark, sf)
