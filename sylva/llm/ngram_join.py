@@ -26,9 +26,11 @@ id unless alone; an empty table gives an empty result; extra columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +52,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BLOCK = 1 << 19
+_BLOCK = 1 << 17  # the arrays of a block stay in the cache
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -95,15 +97,22 @@ def _blocks(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _shingles(h: np.ndarray) -> np.ndarray:
-    if not len(h):
-        return np.zeros(0, np.int64)
-    w = min(WORDS, len(h))
-    last = len(h) - w + 1
+def _windows(h: np.ndarray, w: int) -> np.ndarray:
+    """The hash of every ``w`` words in a row."""
+    last = max(0, len(h) - w + 1)
     out = np.full(last, w, np.uint64)
     for k in range(w):
         out = _mix(out * np.uint64(0xFF51AFD7ED558CCD) + h[k : k + last])
-    return np.unique(out.view(np.int64))
+    return out.view(np.int64)
+
+
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    tokens = np.sort(tokens)
+    return tokens[np.concatenate(([True], tokens[1:] != tokens[:-1]))] if len(tokens) else tokens
+
+
+def _shingles(h: np.ndarray) -> np.ndarray:
+    return _distinct(_windows(h, min(WORDS, max(1, len(h)))))
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -114,8 +123,9 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     def flush() -> None:
         h, starts = word_hashes(b" ".join(d for _, d in held))
         cuts = np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for _, d in held)]))
+        whole = _windows(h, WORDS)  # those across two texts are left out
         for (i, _), a, b in zip(held, cuts, cuts[1:], strict=False):
-            out[i] = _shingles(h[a:b])
+            out[i] = _distinct(whole[a : b - WORDS + 1]) if b - a >= WORDS else _shingles(h[a:b])
         held.clear()
 
     size = 0
@@ -140,6 +150,11 @@ def prefix_length(n: int, c: int, percent: int = PERCENT) -> int:
     return min(n, n - (percent * n + 99) // 100 + c)
 
 
+def spare_length(q: int) -> int:
+    """How many tokens are kept beside a head of ``q``, to take the places of its heavy ones."""
+    return q // 4 + 8
+
+
 def _key(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens))).view(np.int64))
 
@@ -162,19 +177,31 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _lists(parts: list[np.ndarray | None]) -> pa.ListArray:
+    """A column of lists of 64-bit numbers, NULL for None."""
+    ends = np.cumsum([0, *(0 if x is None else len(x) for x in parts)])
+    values = pa.array(np.concatenate([np.zeros(0, np.int64), *(x for x in parts if x is not None)]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([x is None for x in parts], pa.bool_()))
+
+
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, key, row, print, head, sketch) of every row: set size, set hash, what finds the row again, the first
-    tokens by hash order, and the parity sketch."""
+    """(doc_id, row, print, n, key, head, spare, sketch) of every row: what finds the row again, set size, set hash, the
+    first tokens by hash order, a few that follow them, and the parity sketch."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(list(batch["text"]))
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "row": batch["row"], "print": batch["print"], "n": np.array([len(s) for s in sets], np.int32)}
-                | {"key": np.array([_key(s) for s in sets], np.int64), "head": [s[: prefix_length(len(s), 2, percent)] for s in sets], "sketch": [parity_sketch(s) for s in sets]}
-            )
+            sets = shingle_sets(batch["text"].to_pylist())
+            first = [prefix_length(len(s), 2, percent) for s in sets]
+            made = {
+                "n": pa.array([len(s) for s in sets], pa.int32()),
+                "key": pa.array([_key(s) for s in sets], pa.int64()),
+                "head": _lists([s[:q] for s, q in zip(sets, first, strict=True)]),
+                "spare": _lists([s[q : q + spare_length(q)] for s, q in zip(sets, first, strict=True)]),
+                "sketch": pa.array([parity_sketch(s) for s in sets], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict({c: batch[c] for c in ("doc_id", "row", "print")} | made)
 
-    return findable(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "row", "print", "text").mapInPandas(sign, "doc_id string, row long, print long, n int, key long, head array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return findable(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(sign, "doc_id long, row long, print long, n int, key long, head array<long>, spare array<long>, sketch binary")
 
 
 def _found_by() -> list[Column]:
@@ -186,13 +213,49 @@ def findable(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *_found_by(), "text")
 
 
-def heavy_tokens(heads: DataFrame) -> np.ndarray:
-    """Sorted heavy tokens: a bounded number, as the limit rises until HEAVY_MOST are left."""
-    counts = spool(heads.select(F.explode("head").alias("token")).groupBy("token").count().where(F.col("count") >= HEAVY), "heavy")
-    limit = HEAVY
-    while counts.where(F.col("count") >= limit).count() > HEAVY_MOST:
+def heavy_tokens(heads: DataFrame) -> tuple[np.ndarray, float]:
+    """Sorted heavy tokens, a bounded number, as the limit rises until HEAVY_MOST are left; and the mean list length that
+    a member of a light token's list meets (the sum of squared list lengths over the sum of lengths)."""
+    n = F.col("count")
+    counts = heads.select(F.explode("head").alias("token")).groupBy("token").count()
+    counts = spool(counts.groupBy(F.when(n >= HEAVY, F.col("token")).alias("token")).agg(F.sum(n).alias("count"), F.sum(n * n).alias("squares")), "heavy")
+    light = counts.where("token IS NULL").first()
+    heavy, limit = counts.where("token IS NOT NULL"), HEAVY
+    while heavy.where(n >= limit).count() > HEAVY_MOST:
         limit *= 2
-    return np.sort(counts.where(F.col("count") >= limit).select("token").toPandas()["token"].to_numpy(np.int64))
+    return np.sort(heavy.where(n >= limit).select("token").toPandas()["token"].to_numpy(np.int64)), light["squares"] / light["count"] if light else 0.0
+
+
+def among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ``tokens`` are in the sorted ``known``, by a binary search each: np.isin sorts all of ``known`` at every call."""
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
+def light_heads(heads: DataFrame, heavy, percent: int) -> DataFrame:
+    """(key, row, print, n, head) with heavy tokens last, from heads and spare tokens; head is NULL where these have too
+    few light ones and aren't the whole set. ``heavy``: a broadcast sorted array."""
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = heavy.value
+        for batch in batches:
+            lists = [(c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch["head"], batch["spare"])]
+            (first, ends), (more, more_ends) = lists
+            bad, bad_more = among(first, known), among(more, known)
+            sums = np.concatenate(([0], np.cumsum(bad)))
+            out = [first[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            for i in np.flatnonzero(sums[ends[1:]] > sums[ends[:-1]]):
+                mine, rest = slice(ends[i], ends[i + 1]), slice(more_ends[i], more_ends[i + 1])
+                tokens, m = np.concatenate((first[mine], more[rest])), np.concatenate((bad[mine], bad_more[rest]))
+                q = len(out[i])
+                if len(tokens) == batch["n"][i].as_py():
+                    out[i] = np.concatenate((tokens[~m], tokens[m]))[:q]
+                else:
+                    out[i] = light[:q] if len(light := tokens[~m]) >= q else None
+            yield pa.RecordBatch.from_pydict({c: batch[c] for c in ("key", "row", "print", "n")} | {"head": _lists(out)})
+
+    return heads.select("key", "row", "print", "n", "head", "spare").mapInArrow(order, "key long, row long, print long, n int, head array<long>")
 
 
 def light_first(texts: DataFrame, heavy, percent: int) -> DataFrame:
@@ -202,7 +265,7 @@ def light_first(texts: DataFrame, heavy, percent: int) -> DataFrame:
         known = heavy.value
         for batch in batches:
             sets = shingle_sets(list(batch["text"]))
-            masks = [np.isin(s, known, assume_unique=True) for s in sets]
+            masks = [among(s, known) for s in sets]
             heads = [np.concatenate((s[~m], s[m]))[: prefix_length(len(s), 2, percent)] for s, m in zip(sets, masks, strict=True)]
             yield pd.DataFrame({"key": batch["key"], "n": np.array([len(s) for s in sets], np.int32), "head": heads})
 
@@ -214,12 +277,9 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return by_ids(findable(docs), nodes.select("key", "row", "print"), ["row", "print"], "inner").select("key", "text")
 
 
-def boundary(prefixes: DataFrame, percent: int) -> int:
+def boundary(mean: float, percent: int) -> int:
     """Largest set size whose pair subsets cost no more than scanning its lists, at the mean list length that a member
-    of a list meets (the sum of squared list lengths over the sum of lengths; long lists go by hubs and cost no more
-    than their length)."""
-    lists = prefixes.select(F.explode("head").alias("token")).groupBy("token").count().where(F.col("count") < HEAVY).agg(F.sum(F.col("count") * F.col("count")).alias("s"), F.sum("count").alias("n")).first()
-    mean = (lists["s"] or 0) / max(1, lists["n"] or 0)
+    of a list meets (long lists go by hubs and cost no more than their length)."""
     size = 0
     while size < 2_000 and (q := prefix_length(size + 1, 2, percent)) * (q - 1) / 2 <= max(1, q - 1) * max(2.0, mean):
         size += 1
@@ -294,21 +354,16 @@ def connect(links: DataFrame) -> DataFrame:
         held, labels = after, after.select("key", "label")
 
 
-def prefixes_of(docs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """(key, n, head) of the nodes, heads in the global order; ``heads`` are by hash order."""
-    heavy = heavy_tokens(heads)
-    if not len(heavy):
-        return heads.select("key", "n", "head")
+def prefixes_of(docs: DataFrame, heads: DataFrame, heavy: np.ndarray, percent: int) -> list[DataFrame]:
+    """Spooled tables (key, n, head) that together have the nodes, heads in the global order; ``heads`` are by hash order.
+    Texts are fetched only where the spare tokens don't make up for the heavy ones."""
     held = docs.sparkSession.sparkContext.broadcast(heavy)
-
-    @F.pandas_udf("boolean")
-    def meets_heavy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([bool(np.isin(h, held.value, assume_unique=True).any()) for h in batch], dtype=bool)
-
-    marked = spool(heads.withColumn("mixed", meets_heavy("head")), "marked")
-    again = light_first(texts_of(docs, marked.where("mixed")), held, percent).dropDuplicates(["key"])  # repeated rows are found again each
-    return marked.where("NOT mixed").select("key", "n", "head").unionByName(again)
+    made = spool(light_heads(heads, held, percent), "prefixes")
+    short = made.where("head IS NULL")
+    if short.isEmpty():
+        return [made]
+    again = light_first(texts_of(docs, short), held, percent).dropDuplicates(["key"])  # repeated rows are found again each
+    return [made, spool(again, "again")]
 
 
 def hub_pairs(now: DataFrame, lists: DataFrame) -> DataFrame:
@@ -406,9 +461,11 @@ def link_members(docs: DataFrame, nodes: DataFrame, members: DataFrame, sketches
     return labels
 
 
-def one_a_key(rows: DataFrame) -> DataFrame:
-    """One row of each key; only keys of sets that several rows have (NOT once) can be there twice, so only these move."""
-    return rows.where("once").unionByName(rows.where("NOT once").dropDuplicates(["key"]))
+def one_a_key(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """One row of each key of ``rows``. ``several``: (key, row, print) of the sets that several rows have, with the row
+    that stays; only these are looked up, and only these can be there twice."""
+    once = by_ids(rows, several.select("key"), ["key"], "left_anti")
+    return once.unionByName(by_ids(rows, several, ["key", "row", "print"], "left_semi").dropDuplicates(["key"]))
 
 
 def placed(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -416,18 +473,19 @@ def placed(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     print) of each distinct set: its component's smallest doc_id, the component's own name, and a row that has the set."""
     signed = spool(signatures(docs, percent), "signed")
     nodes = spool(signed.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "print")).alias("at")).select("key", "first", "copies", "at.row", "at.print"), "nodes")
-    at = nodes.select("row", "print", (F.col("copies") == 1).alias("once"))
-    heads = by_ids(signed.where(F.col("n") > 5).select("key", "row", "print", "n", "head"), at, ["row", "print"], "inner")
-    heads = one_a_key(heads).drop("once")
-    prefixes = spool(prefixes_of(docs, heads, percent), "prefixes")
-    found = postings(prefixes, boundary(prefixes, percent), percent)
+    several = nodes.where("copies > 1").select("key", "row", "print")
+    heads = one_a_key(signed.where(F.col("n") > 5).select("key", "row", "print", "n", "head", "spare"), several)
+    heavy, mean = heavy_tokens(heads)
+    parts = prefixes_of(docs, heads, heavy, percent)
+    prefixes = reduce(DataFrame.unionByName, (part.where("head IS NOT NULL").select("key", "n", "head") for part in parts))
+    found = postings(prefixes, boundary(mean, percent), percent)
     shared = spool(distinct_lists(found), "shared")
     held = spool(join_counted(found, shared, ["signature"], "members"), "members")
-    release(prefixes, shared)
+    release(*parts, shared)
     weights = held.groupBy("key").agg(F.sum("members").alias("weight"))  # a set that shares much with many is a good hub
     members = spool(held.drop("members").join(weights, "key"), "weighted")
-    reps = by_ids(signed.select("key", "n", "row", "print", "sketch"), at, ["row", "print"], "inner").join(weights.select("key"), "key", "left_semi")
-    sketches = spool(one_a_key(reps).select("key", "n", "sketch"), "sketches")
+    reps = one_a_key(signed.select("key", "row", "print", "n", "sketch"), several).join(weights.select("key"), "key", "left_semi")
+    sketches = spool(reps.select("key", "n", "sketch"), "sketches")
     release(held)
     labels = link_members(docs, nodes, members, sketches, percent)
     release(members, sketches)

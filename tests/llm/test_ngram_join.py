@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -115,6 +116,32 @@ def test_repeated_near_copies(spark, times, heavy, monkeypatch):
     check(spark, rows)
 
 
+def test_many_heavy_tokens_cost_no_more_a_text(spark):
+    """2 million heavy tokens, the most there can be, and 4,000 texts in one task: a text must not go through all of them."""
+    known = np.sort(np.random.default_rng(3).integers(-(2**63), 2**63, nj.HEAVY_MOST, dtype=np.int64))
+    texts = spark.range(0, 4000, 1, 1).select(F.col("id").alias("key"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda x: F.concat(F.col("id"), F.lit("w"), x))).alias("text"))
+    began = time.monotonic()
+    assert nj.light_first(texts, spark.sparkContext.broadcast(known), 85).where(F.size("head") == nj.prefix_length(57, 2)).count() == 4000
+    assert time.monotonic() - began < 30
+
+
+def test_heads_from_spare_tokens(spark):
+    """The same heads as from whole texts; they are left to the texts only where head and spare have too few light tokens."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(9, 300))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tokens = np.unique(np.concatenate(nj.shingle_sets(texts)))
+    heads = common.spool(nj.signatures(docs), "heads")
+    fetched = []
+    for share in (0, 0.05, 0.3, 0.8, 1):
+        held = spark.sparkContext.broadcast(tokens[np.random.default_rng(2).random(len(tokens)) < share])
+        want = {r["key"]: r["head"] for r in nj.light_first(heads.join(docs, "doc_id").select("key", "text"), held, 85).collect()}
+        got = {r["key"]: r["head"] for r in nj.light_heads(heads, held, 85).collect()}
+        assert all(head is None or head == want[key] for key, head in got.items()) and got.keys() == want.keys()
+        fetched.append(sum(head is None for head in got.values()))
+    assert fetched[0] == fetched[1] == 0 and 200 < fetched[-1] < 400
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(5)
     for n, m, both in [(500, 500, 470), (500, 480, 0), (3, 4, 2), (40000, 39000, 38000), (700, 100, 100), (0, 5, 0)]:
